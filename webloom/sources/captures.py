@@ -19,7 +19,8 @@ def load_seed_lines(spark: SparkSession, *paths: str) -> DataFrame:
 def read_seeds(lines: DataFrame, line: str = "line") -> DataFrame:
     """Sites with a scheme, their host and registered domain; blank lines go."""
     text = strip(F.col(line))
-    sites = lines.withColumn("site", ensure_scheme(text)).filter(text != "").drop(line)
+    kept = [F.col(c) for c in lines.columns if c != line]
+    sites = lines.filter(text != "").select(*kept, ensure_scheme(text).alias("site"))
     return sites.withColumns({"host": hostname_of(F.col("site")), "domain": registered_domain(F.col("site"))})
 
 
