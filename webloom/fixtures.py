@@ -132,14 +132,19 @@ SQL: dict[str, str] = {
         from pages""",
 }
 
+_NEXT = "(select page_id, url, html, (page_id * 7 + 3) % (select count(*) from pages) as next_id from pages)"
+
 SPARK_SQL = {
-    "site_graph": """
+    "rich_pages": SQL["rich_pages"].replace(
+        "from pages p join pages q on q.page_id = (p.page_id * 7 + 3) % (select count(*) from pages)",
+        f"from {_NEXT} p join pages q on q.page_id = p.next_id",
+    ),
+    "site_graph": f"""
         select a.url as from_url, b.url as to_url
         from (select url, explode(array(page_id * 2 + 1, page_id * 2 + 2)) as child from pages) a
           join pages b on b.page_id = a.child
         union all
-        select a.url, b.url from pages a join pages b on b.page_id = (a.page_id * 7 + 3) % (select count(*) from pages)
-        """,
+        select a.url, b.url from {_NEXT} a join pages b on b.page_id = a.next_id""",
 }
 
 PROVIDER_TABLES = ["wayback", "commoncrawl", "otx", "urlscan", "virustotal", "grayhatwarfare", "shodan", "censys"]

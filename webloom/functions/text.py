@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -48,7 +49,7 @@ def unescape_html(c: Column) -> Column:
     Numeric ones need no semicolon. Named ones do, except the four markup characters, and those only where no letter,
     digit or ``=`` follows, as in an attribute value.
     """
-    names = F.create_map(*[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))])
+    names = F.from_json(F.lit(json.dumps({n: chr(p) for n, p in name2codepoint.items()})), "map<string,string>")
     reference = r"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|(?:amp|lt|gt|quot)(?![=A-Za-z0-9]))"
 
     def decoded(piece: Column) -> Column:

@@ -132,50 +132,45 @@ def pin(df: DataFrame, *names: str) -> DataFrame:
     below the generator that produces its input, so passing the values through a one-element ``explode`` stops it.
     """
     kept = [c for c in df.columns if c not in names]
-    boxed = df.select(*kept, F.explode(F.array(F.struct(*names))).alias("_pinned"))
-    return boxed.select(*kept, *[F.col(f"_pinned.{n}").alias(n) for n in names])
-
-
-def _split(df: DataFrame, text: str, p: str) -> DataFrame:
-    """Add ``{p}scheme, netloc, path, params, query, fragment`` of the tidied URL in ``text``."""
-    n = lambda name: F.col(p + name)
-    df = df.withColumn(p + "scheme_raw", F.regexp_extract(text, SCHEME, 1))
-    df = df.withColumn(
-        p + "rest",
-        F.when(n("scheme_raw") != "", rest_from(F.col(text), F.length(n("scheme_raw")) + 2)).otherwise(F.col(text)),
-    )
-    df = df.withColumn(p + "main", F.substring_index(n("rest"), "#", 1))
-    df = df.withColumn(p + "head", F.substring_index(n("main"), "?", 1))
-    df = df.withColumn(
-        p + "netloc",
-        F.when(n("head").startswith("//"), F.substring_index(rest_from(n("head"), F.lit(3)), "/", 1)).otherwise(""),
-    )
-    df = df.withColumn(
-        p + "full",
-        F.when(n("head").startswith("//"), rest_from(n("head"), F.length(n("netloc")) + 3)).otherwise(n("head")),
-    )
-    df = df.withColumn(p + "params", F.regexp_extract(n("full"), r";([^/]*)$", 1))
-    return df.withColumns(
-        {
-            p + "scheme": F.lower(n("scheme_raw")),
-            p + "path": F.regexp_replace(n("full"), r";[^/]*$", ""),
-            p + "query": rest_from(n("main"), F.length(n("head")) + 2),
-            p + "fragment": rest_from(n("rest"), F.length(n("main")) + 2),
-        }
-    )
-
-
-def _part_names(p: str) -> list[str]:
-    return [p + x for x in ("scheme_raw", "rest", "main", "head", "netloc", "full", "params", "scheme", "path", "query",
-                            "fragment")]
+    return df.select(*kept, F.inline(F.array(F.struct(*names))))
+
+
+def _with_steps(df: DataFrame, steps: dict[str, Column], names: list[str]) -> DataFrame:
+    """Add the pinned columns ``names``, the ends of ``steps``. A step may use those before it by name."""
+    columns = [c for c in df.columns if c not in names]
+    staged = df.select(*columns, *[c.alias(n) for n, c in steps.items()])
+    return staged.select(*columns, F.inline(F.array(F.struct(*names))))
+
+
+def _parts(text: str, p: str) -> dict[str, Column]:
+    """Steps that take the tidied URL in column ``text`` apart; their names start with ``p``."""
+    def n(name: str) -> Column:
+        return F.col(p + name)
+
+    steps = {
+        "scheme_raw": F.regexp_extract(text, SCHEME, 1),
+        "rest": F.when(n("scheme_raw") != "", rest_from(F.col(text), F.length(n("scheme_raw")) + 2)).otherwise(
+            F.col(text)),
+        "main": F.substring_index(n("rest"), "#", 1),
+        "head": F.substring_index(n("main"), "?", 1),
+        "netloc": F.when(n("head").startswith("//"), F.substring_index(rest_from(n("head"), F.lit(3)), "/", 1)).otherwise(
+            ""),
+        "full": F.when(n("head").startswith("//"), rest_from(n("head"), F.length(n("netloc")) + 3)).otherwise(n("head")),
+        "params": F.regexp_extract(n("full"), r";([^/]*)$", 1),
+        "scheme": F.lower(n("scheme_raw")),
+        "path": F.regexp_replace(n("full"), r";[^/]*$", ""),
+        "query": rest_from(n("main"), F.length(n("head")) + 2),
+        "fragment": rest_from(n("rest"), F.length(n("main")) + 2),
+    }
+    return {p + name: c for name, c in steps.items()}
 
 
 def url_parts(df: DataFrame, col: str) -> DataFrame:
     """Add scheme, netloc, path, params, query, fragment and hostname of the URL in ``col``."""
-    df = _split(df.withColumn("_u", tidy(F.col(col))), "_u", "_p_")
-    names = ("scheme", "netloc", "path", "params", "query", "fragment")
-    out = df.withColumns({n: F.col("_p_" + n) for n in names}).withColumn("hostname", hostname_of(F.col(col)))
-    return pin(out.drop("_u", *_part_names("_p_")), *names, "hostname")
+    names = ["scheme", "netloc", "path", "params", "query", "fragment"]
+    steps = {"_u": tidy(F.col(col)), **_parts("_u", "_p_"), **{n: F.col("_p_" + n) for n in names},
+             "hostname": hostname_of(F.col(col))}
+    return _with_steps(df, steps, [*names, "hostname"])
 
 
 def _reassemble(scheme, netloc, path, params, query, fragment) -> Column:
@@ -194,57 +189,50 @@ def resolve_url(df: DataFrame, base: str, raw: str, out: str = "url") -> DataFra
     Links of another scheme come back as they are; a malformed bracketed host gives the empty string.
     """
     c = F.col
-    df = df.withColumns({"_b": tidy(c(base)), "_r": tidy(c(raw))})
-    df = _split(_split(df, "_b", "_b_"), "_r", "_r_")
-    df = df.withColumn(
-        "_dir", F.when(c("_b_path").contains("/"), F.regexp_replace("_b_path", r"[^/]*$", "")).otherwise("/")
-    )
-    df = df.withColumn(
-        "_merged",
-        F.when(c("_r_path").startswith("/"), c("_r_path"))
-        .otherwise(F.regexp_replace(F.concat("_dir", "_r_path"), "/{2,}", "/")),
-    )
-    df = df.withColumn(
-        "_clean", F.when(c("_merged").rlike(DOT_SEGMENT), remove_dot_segments(c("_merged"))).otherwise(c("_merged"))
-    )
     foreign = ((c("_r_scheme") != "") & (c("_r_scheme") != c("_b_scheme"))) | ~c("_b_scheme").isin(WEB_SCHEMES)
     own_place = c("_r_netloc") != ""
     same_page = (c("_r_path") == "") & (c("_r_params") == "")
     broken = c("_r_netloc").contains("[") != c("_r_netloc").contains("]")
-    df = df.withColumn(
-        out,
-        F.when(c(raw) == "", c(base))
-        .when(c(base) == "", c(raw))
-        .when(broken, F.lit(""))
-        .when(foreign, c(raw))
-        .when(own_place, _reassemble(c("_b_scheme"), c("_r_netloc"), c("_r_path"), c("_r_params"), c("_r_query"),
-                                     c("_r_fragment")))
-        .when(same_page, _reassemble(c("_b_scheme"), c("_b_netloc"), c("_b_path"), c("_b_params"),
-                                     F.when(c("_r_query") != "", c("_r_query")).otherwise(c("_b_query")),
-                                     c("_r_fragment")))
-        .otherwise(_reassemble(c("_b_scheme"), c("_b_netloc"), c("_clean"), c("_r_params"), c("_r_query"),
-                               c("_r_fragment"))),
-    )
-    df = df.drop("_b", "_r", "_dir", "_merged", "_clean", *_part_names("_b_"), *_part_names("_r_"))
-    return pin(df, out)
+    inherits = same_page & ~own_place
+    steps = {
+        "_b": tidy(c(base)),
+        "_r": tidy(c(raw)),
+        **_parts("_b", "_b_"),
+        **_parts("_r", "_r_"),
+        "_dir": F.when(c("_b_path").contains("/"), F.regexp_replace("_b_path", r"[^/]*$", "")).otherwise("/"),
+        "_merged": F.when(c("_r_path").startswith("/"), c("_r_path")).otherwise(
+            F.regexp_replace(F.concat("_dir", "_r_path"), "/{2,}", "/")),
+        "_clean": F.when(c("_merged").rlike(DOT_SEGMENT), remove_dot_segments(c("_merged"))).otherwise(c("_merged")),
+        "_path": F.when(own_place, c("_r_path")).when(same_page, c("_b_path")).otherwise(c("_clean")),
+        "_whole": _reassemble(
+            c("_b_scheme"),
+            F.when(own_place, c("_r_netloc")).otherwise(c("_b_netloc")),
+            c("_path"),
+            F.when(inherits, c("_b_params")).otherwise(c("_r_params")),
+            F.when(inherits & (c("_r_query") == ""), c("_b_query")).otherwise(c("_r_query")),
+            c("_r_fragment"),
+        ),
+        out: F.when(c(raw) == "", c(base)).when(c(base) == "", c(raw)).when(broken, F.lit("")).when(foreign, c(raw))
+        .otherwise(c("_whole")),
+    }
+    return _with_steps(df, steps, [out])
 
 
 def normalize_url(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
     """Add ``out``: the canonical form of the absolute URL in ``col``; anything without a host passes through."""
     c = F.col
-    df = _split(df.withColumn("_u", tidy(c(col))), "_u", "_n_")
-    df = df.withColumn("_port", F.when(c("_n_scheme") == "https", ":443").when(c("_n_scheme") == "http", ":80"))
-    df = df.withColumns(
-        {
-            "_host": F.when(
-                c("_n_netloc").endswith(c("_port")) & (F.instr("_n_netloc", ":") + F.length("_port") - 1
-                                                      == F.length("_n_netloc")),
-                F.substring_index("_n_netloc", ":", 1),
-            ).otherwise(c("_n_netloc")),
-            "_path": F.when(c("_n_path") == "", "/").otherwise(F.regexp_replace("_n_path", "/{2,}", "/")),
-            "_query": F.when(c("_n_query") != "", sort_query_params(c("_n_query"))).otherwise(""),
-        }
-    )
-    whole = _reassemble(c("_n_scheme"), F.lower("_host"), c("_path"), c("_n_params"), c("_query"), F.lit(""))
-    df = df.withColumn(out, F.when((c("_n_netloc") != "") & (c("_n_scheme") != ""), whole).otherwise(c(col)))
-    return pin(df.drop("_u", "_port", "_host", "_path", "_query", *_part_names("_n_")), out)
+    default_port = c("_n_netloc").endswith(c("_port")) & (
+        F.instr("_n_netloc", ":") + F.length("_port") - 1 == F.length("_n_netloc"))
+    steps = {
+        "_u": tidy(c(col)),
+        **_parts("_u", "_n_"),
+        "_port": F.when(c("_n_scheme") == "https", ":443").when(c("_n_scheme") == "http", ":80"),
+        "_host": F.when(default_port, F.substring_index("_n_netloc", ":", 1)).otherwise(c("_n_netloc")),
+        "_path": F.when(c("_n_path") == "", "/").otherwise(F.regexp_replace("_n_path", "/{2,}", "/")),
+        "_query": F.when(c("_n_query") != "", sort_query_params(c("_n_query"))).otherwise(""),
+        out: F.when(
+            (c("_n_netloc") != "") & (c("_n_scheme") != ""),
+            _reassemble(c("_n_scheme"), F.lower("_host"), c("_path"), c("_n_params"), c("_query"), F.lit("")),
+        ).otherwise(c(col)),
+    }
+    return _with_steps(df, steps, [out])

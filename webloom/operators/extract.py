@@ -29,11 +29,18 @@ def _other_attributes(name: str) -> str:
     return rf"""(?:[\s/]*+(?!{name}[\s=/>])[^\s"'>/=]++(?:\s*+=\s*+{_VALUE})?+)*+[\s/]*+"""
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute, character references decoded; empty when missing. The last of several wins."""
+def attribute_text(tag: Column, name: str) -> Column:
+    """Text of an attribute without its quotes; empty when missing. The last of several wins."""
     pattern = rf"(?is)^<[a-z]++(?=[\s/])(?:{_other_attributes(name)}{name}\s*+=\s*+({_VALUE}))++"
     quoted = F.regexp_extract(tag, pattern, 1)
-    return unescape_html(F.regexp_replace(quoted, r"""(?s)^(["'])(.*)\1$""", "$2"))
+    return F.when(F.left(quoted, F.lit(1)).isin('"', "'"), F.substr(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(
+        quoted
+    )
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, character references decoded."""
+    return unescape_html(attribute_text(tag, name))
 
 
 def has_attribute(tag: Column, name: str) -> Column:
@@ -55,7 +62,7 @@ def is_form(tag: Column) -> Column:
 
 
 def is_upload(tag: Column) -> Column:
-    return tag_is(tag, "input") & (attribute(tag, "type") == "file")
+    return tag_is(tag, "input") & (attribute_text(tag, "type") == "file")
 
 
 def _exploded_tags(pages: DataFrame, html: str) -> DataFrame:

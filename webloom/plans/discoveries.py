@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.text import unescape_html
 from webloom.functions.urls import bare_ext, hostname_of, pin, registered_domain, resolve_url
 from webloom.operators.extract import (
-    attribute, bucket_array, is_form, is_upload, link_file_exts, open_tags, script_link_array, script_link_is_file,
+    attribute_text, bucket_array, is_form, is_upload, link_file_exts, open_tags, script_link_array, script_link_is_file,
     script_link_type, site_of, subdomain_array, tag_is,
 )
 
@@ -93,9 +94,10 @@ def page_discoveries(
     finds = page_finds(sized, exts, html, parse, scope)
 
     step, text = F.col("step"), F.col("text")
-    raw = (F.when(step == LINK, attribute(text, "href")).when(step == SCRIPT, attribute(text, "src"))
-           .when(step == SCRIPT_LINK, text))
-    finds = pin(finds.withColumn("_raw", raw), "_raw").filter((F.col("_raw") != "") | F.col("_raw").isNull())
+    value = F.when(step == LINK, attribute_text(text, "href")).when(step == SCRIPT, attribute_text(text, "src"))
+    finds = finds.withColumn("_value", value)
+    raw = F.when(step == SCRIPT_LINK, text).otherwise(unescape_html(F.col("_value")))
+    finds = pin(finds.withColumn("_raw", raw).drop("_value"), "_raw").filter((F.col("_raw") != "") | F.col("_raw").isNull())
     finds = finds.withColumn("_site", F.when(step == SCRIPT_LINK, F.col("input")))
     finds = resolve_url(resolve_url(finds, "url", "_raw", "_own"), "_site", "_raw", "_alt")
 
@@ -131,7 +133,7 @@ def page_discoveries(
         F.coalesce(alt_file & (step == SCRIPT_LINK), F.lit(False)).alias("link_file"),
         F.lit(1).alias("half"),
     )
-    extra = [c for c in pages.columns if c not in RECORD_COLUMNS + [html, "host", "domain"]]
+    extra = [c for c in pages.columns if c not in RECORD_COLUMNS + [html, "host", "domain", "link_file", "raw"]]
     rows = finds.select(*extra, "input", "level", "step", "at", F.col("_raw").alias("raw"), F.col("url").alias("origin"),
                         F.col("status").alias("_status"), F.col("length").alias("_length"),
                         F.inline(F.array(first, second))).filter("url != ''")

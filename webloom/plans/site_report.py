@@ -69,7 +69,10 @@ def site_report(
     strict: bool = False,
 ) -> DataFrame:
     """Summary lines ``(input, ord, metric_key, metric, value)`` of every site."""
-    passive_urls = checkpoint(passive_urls.select("input", "url", "provider"))
+    sites = seeds.select(F.col("site").alias("input"))
+    sitemap_urls, robots_urls = (u.join(sites, "input", "left_semi") for u in (sitemap_urls, robots_urls))
+    wanted = passive_urls.select("input", "url", "provider").join(sites, "input", "left_semi")
+    passive_urls = checkpoint(wanted)
     records = site_records(captures, seeds, sitemap_urls, robots_urls, passive_urls, max_depth, exts, include, exclude)
     counts = count_by_provider(passive_urls, "input")
     return crawl_summary(first_wins_by_set(records), counts, strict)

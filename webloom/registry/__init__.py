@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webloom.registry import pages, reports
+from webloom.registry import crawls, pages, reports
 
-MODULES = [pages, reports]
+MODULES = [pages, reports, crawls]
 
 
 def all_queries():

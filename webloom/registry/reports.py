@@ -108,7 +108,7 @@ def provider_sql(n, where="", select=None):
 
 def _reader(key, provider, **options):
     def run(spark, d):
-        return V.with_order(V.READERS[provider](X.derived(spark, d, provider), **options))
+        return V.READERS[provider](X.derived(spark, d, provider), **options)
 
     QUERIES[key] = run
 

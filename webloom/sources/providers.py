@@ -36,13 +36,26 @@ def _parsed(payloads: DataFrame, schema: str) -> DataFrame:
     return payloads.select("domain", "part", "page_no", F.from_json("payload", schema).alias("j"))
 
 
-def _finish(urls: DataFrame, provider: str, cap: int | None = None) -> DataFrame:
-    """Cap, make canonical, and keep the first of equal URLs per domain."""
-    rows = urls.select("domain", *PLACE, "raw").filter("raw IS NOT NULL")
-    if cap is not None:
-        rows = limit_per_group(rows, ["domain"], [*PLACE, "raw"], cap)
-    canonical = normalize_url(rows, "raw", "url").select("domain", F.lit(provider).alias("provider"), "url", *PLACE)
-    return first_wins(canonical.filter("url != ''"), [F.col("domain"), F.col("url")], PLACE)
+def _place(*parts: Column) -> Column:
+    """Place inside a payload as text of equal width per part, so that rows of all providers order alike."""
+    return F.concat_ws(".", *[F.lpad(p.cast("string"), 9, "0") for p in parts])
+
+
+def _raw(urls: DataFrame, provider: str, cap: int | None, *place: Column) -> DataFrame:
+    """Rows ``domain, provider, raw, page_no, part, pos``, cut to the provider's cap if one is given."""
+    rows = urls.select("domain", F.lit(provider).alias("provider"), "raw", "page_no", "part",
+                       _place(*(place or [F.col("pos")])).alias("pos")).filter("raw IS NOT NULL")
+    return rows if cap is None else limit_per_group(rows, ["domain"], [*PLACE, "raw"], cap)
+
+
+def _canonical(rows: DataFrame) -> DataFrame:
+    urls = normalize_url(rows, "raw", "url").select("domain", "provider", "url", *PLACE)
+    return urls.filter("url != ''")
+
+
+def ordered_once(rows: DataFrame) -> DataFrame:
+    """Canonical URLs, the first of equal ones per provider and domain."""
+    return first_wins(_canonical(rows), [F.col("domain"), F.col("provider"), F.col("url")], PLACE)
 
 
 def _or_empty(c: Column, element: str) -> Column:
@@ -66,11 +79,11 @@ def wayback_rows(payloads: DataFrame) -> DataFrame:
                        cell("statuscode").alias("statuscode"))
 
 
-def read_wayback(payloads: DataFrame, since: str | None = None, until: str | None = None, status: str | None = "200",
+def wayback_urls(payloads: DataFrame, since: str | None = None, until: str | None = None, status: str | None = "200",
                  cap: int | None = None) -> DataFrame:
     rows = wayback_rows(payloads)
     kept = rows.filter(F.col("statuscode").isNull() | (F.col("statuscode") == (status or "200")))
-    return _finish(filter_date_range(kept, since, until), "wayback", cap)
+    return _raw(filter_date_range(kept, since, until), "wayback", cap)
 
 
 def commoncrawl_rows(payloads: DataFrame) -> DataFrame:
@@ -79,9 +92,9 @@ def commoncrawl_rows(payloads: DataFrame) -> DataFrame:
                        F.col("j.timestamp").alias("timestamp")).filter("raw IS NOT NULL")
 
 
-def read_commoncrawl(payloads: DataFrame, since: str | None = None, until: str | None = None,
+def commoncrawl_urls(payloads: DataFrame, since: str | None = None, until: str | None = None,
                      cap: int | None = None) -> DataFrame:
-    return _finish(filter_date_range(commoncrawl_rows(payloads), since, until), "commoncrawl", cap)
+    return _raw(filter_date_range(commoncrawl_rows(payloads), since, until), "commoncrawl", cap)
 
 
 def pick_crawl_index(indexes: DataFrame, default: str = FALLBACK_CRAWL_INDEX) -> DataFrame:
@@ -91,11 +104,11 @@ def pick_crawl_index(indexes: DataFrame, default: str = FALLBACK_CRAWL_INDEX) ->
     return indexes.select(*kept, F.coalesce(first, F.lit(default)).alias("index_id"))
 
 
-def read_virustotal(payloads: DataFrame, cap: int | None = None) -> DataFrame:
+def virustotal_urls(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     j = _parsed(payloads, f"detected_urls ARRAY<{_LINK}>, undetected_urls ARRAY<{_LINK}>")
     both = F.concat(_or_empty(F.col("j.detected_urls"), _LINK), _or_empty(F.col("j.undetected_urls"), _LINK))
     rows = j.select("domain", "part", "page_no", F.posexplode(both).alias("pos", "item"))
-    return _finish(rows.withColumn("raw", F.col("item.url")), "virustotal", cap)
+    return _raw(rows.withColumn("raw", F.col("item.url")), "virustotal", cap)
 
 
 def otx_page_stop(payloads: DataFrame) -> DataFrame:
@@ -108,12 +121,12 @@ def otx_page_stop(payloads: DataFrame) -> DataFrame:
     return reached.drop("stop")
 
 
-def read_otx(payloads: DataFrame, cap: int | None = None) -> DataFrame:
+def otx_urls(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     rows = otx_page_stop(payloads).select("domain", "part", "page_no", F.posexplode("j.url_list").alias("pos", "item"))
-    return _finish(rows.withColumn("raw", F.col("item.url")), "otx", cap)
+    return _raw(rows.withColumn("raw", F.col("item.url")), "otx", cap)
 
 
-def read_urlscan(payloads: DataFrame, cap: int | None = None) -> DataFrame:
+def urlscan_urls(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     """Results of page 0 and, when it reports more than a page's worth, of the following pages up to ten."""
     j = _parsed(payloads, "results ARRAY<STRUCT<page: STRUCT<url: STRING>>>, total BIGINT")
     total = F.min_by(F.coalesce("j.total", F.lit(0)), "part")
@@ -124,7 +137,7 @@ def read_urlscan(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     ).otherwise(1)
     reached = j.join(first, "domain", "inner").filter(F.col("page_no") < pages)
     rows = reached.select("domain", "part", "page_no", F.posexplode("j.results").alias("pos", "item"))
-    return _finish(rows.withColumn("raw", F.col("item.page.url")), "urlscan", cap)
+    return _raw(rows.withColumn("raw", F.col("item.page.url")), "urlscan", cap)
 
 
 _FILE = ("STRUCT<url: STRING, file_url: STRING, path: STRING, full_path: STRING, link: STRING, bucket: STRING, "
@@ -135,7 +148,7 @@ def _first_filled(item: Column, *fields: str) -> Column:
     return F.coalesce(*[F.nullif(item[f], F.lit("")) for f in fields])
 
 
-def read_buckets(payloads: DataFrame, cap: int | None = None) -> DataFrame:
+def bucket_urls(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     """Files in open buckets: the file's URL and its bucket's URL, those that mention the domain."""
     listing = F.from_json("payload", f"files ARRAY<{_FILE}>, results ARRAY<{_FILE}>, data ARRAY<{_FILE}>, "
                                      f"items ARRAY<{_FILE}>")
@@ -153,7 +166,7 @@ def read_buckets(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     )
     rows = items.select("domain", "part", "page_no", "at", F.posexplode(found).alias("k", "raw"))
     named = rows.filter(F.col("raw").contains(F.col("domain")))
-    return _finish(named.withColumn("pos", F.col("at") * 2 + F.col("k")), "grayhatwarfare")
+    return _raw(named, "grayhatwarfare", None, F.col("at") * 2 + F.col("k"))
 
 
 def _under(host: Column, no_subs: bool) -> Column:
@@ -161,7 +174,7 @@ def _under(host: Column, no_subs: bool) -> Column:
     return (host == d) | host.endswith(F.concat(F.lit("."), d)) if no_subs else F.lit(True)
 
 
-def read_shodan(payloads: DataFrame, no_subs: bool = False, cap: int | None = None) -> DataFrame:
+def shodan_urls(payloads: DataFrame, no_subs: bool = False, cap: int | None = None) -> DataFrame:
     """Two URLs per host name, with and without the port; the address when there is no name."""
     j = _parsed(payloads, "matches ARRAY<STRUCT<hostnames: ARRAY<STRING>, ip_str: STRING, port: INT>>")
     matches = j.select("domain", "part", "page_no", F.posexplode("j.matches").alias("m", "s"))
@@ -174,13 +187,13 @@ def read_shodan(payloads: DataFrame, no_subs: bool = False, cap: int | None = No
     address = F.nullif(F.col("s.ip_str"), F.lit(""))
     found = F.when(F.size(names) > 0, by_name).otherwise(F.array(with_port(address)))
     rows = matches.select("domain", "part", "page_no", "m", F.posexplode(found).alias("k", "raw"))
-    return _finish(rows.withColumn("pos", F.struct("m", "k")), "shodan", cap)
+    return _raw(rows, "shodan", cap, F.col("m"), F.col("k"))
 
 
 _CERTIFICATE = ("STRUCT<certificates: STRUCT<leaf_data: STRUCT<subject: STRUCT<common_name: ARRAY<STRING>>>>>")
 
 
-def read_censys(payloads: DataFrame, no_subs: bool = False, cap: int | None = None) -> DataFrame:
+def censys_urls(payloads: DataFrame, no_subs: bool = False, cap: int | None = None) -> DataFrame:
     """Web services: one URL per certificate name and one for the address."""
     j = _parsed(payloads, "result STRUCT<hits: ARRAY<STRUCT<ip: STRING, services: ARRAY<STRUCT<port: INT, "
                           f"service_name: STRING, tls: {_CERTIFICATE}>>>>>")
@@ -195,44 +208,66 @@ def read_censys(payloads: DataFrame, no_subs: bool = False, cap: int | None = No
     hosts = F.concat(F.filter(names, lambda n: _under(n, no_subs)), F.array(F.nullif(F.col("ip"), F.lit(""))))
     rows = web.select("domain", "part", "page_no", "h", "s",
                       F.posexplode(F.transform(hosts, lambda n: certificate_url(n, port))).alias("k", "raw"))
-    return _finish(rows.withColumn("pos", F.struct("h", "s", "k")), "censys")
+    return _raw(rows, "censys", None, F.col("h"), F.col("s"), F.col("k"))
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {
-    "wayback": read_wayback, "commoncrawl": read_commoncrawl, "otx": read_otx, "urlscan": read_urlscan,
-    "virustotal": read_virustotal, "grayhatwarfare": read_buckets, "shodan": read_shodan, "censys": read_censys,
+URL_ROWS: dict[str, Callable[..., DataFrame]] = {
+    "wayback": wayback_urls, "commoncrawl": commoncrawl_urls, "otx": otx_urls, "urlscan": urlscan_urls,
+    "virustotal": virustotal_urls, "grayhatwarfare": bucket_urls, "shodan": shodan_urls, "censys": censys_urls,
 }
 
 
-def with_order(urls: DataFrame) -> DataFrame:
-    """Turn the place inside a payload into text of equal width per part, so that all readers' rows can be united."""
-    at = F.col("pos")
-    if urls.schema["pos"].dataType.typeName() == "struct":
-        fields = [F.lpad(at[f].cast("string"), 9, "0") for f in urls.schema["pos"].dataType.names]
-        return urls.withColumn("pos", F.concat_ws(".", *fields))
-    return urls.withColumn("pos", F.lpad(at.cast("string"), 9, "0"))
+def _reader(provider: str) -> Callable[..., DataFrame]:
+    def read(payloads: DataFrame, **options) -> DataFrame:
+        return ordered_once(URL_ROWS[provider](payloads, **options))
 
+    read.__doc__ = f"URLs of the {provider} export; options as for its row function above."
+    return read
 
-def union_providers(
+
+read_wayback = _reader("wayback")
+read_commoncrawl = _reader("commoncrawl")
+read_otx = _reader("otx")
+read_urlscan = _reader("urlscan")
+read_virustotal = _reader("virustotal")
+read_buckets = _reader("grayhatwarfare")
+read_shodan = _reader("shodan")
+read_censys = _reader("censys")
+READERS = {
+    "wayback": read_wayback, "commoncrawl": read_commoncrawl, "otx": read_otx, "urlscan": read_urlscan,
+    "virustotal": read_virustotal, "grayhatwarfare": read_buckets, "shodan": read_shodan, "censys": read_censys,
+}
+
+
+def provider_rows(
     payloads: dict[str, DataFrame], providers: Iterable[str] | None = None, since: str | None = None,
     until: str | None = None, caps: dict[str, int] | None = None,
 ) -> DataFrame:
-    """URLs of the wanted providers in one table; names are not case-sensitive, unknown ones are ignored."""
+    """Raw URL rows of the wanted providers in one table; names are not case-sensitive, unknown ones are ignored."""
     wanted = PROVIDERS if providers is None else [p.lower() for p in providers]
     frames = []
     for p in PROVIDERS:
         if p in wanted and p in payloads:
             dated = {"since": since, "until": until} if p in ("wayback", "commoncrawl") else {}
-            frames.append(with_order(READERS[p](payloads[p], cap=(caps or {}).get(p), **dated)))
+            frames.append(URL_ROWS[p](payloads[p], cap=(caps or {}).get(p), **dated))
     return union_all(*frames)
 
 
+def union_providers(payloads: dict[str, DataFrame], providers: Iterable[str] | None = None, **options) -> DataFrame:
+    """URLs of the wanted providers in one table, each once per provider and domain.
+
+    The raw rows are united before they are made canonical, so all providers share one shuffle.
+    """
+    return ordered_once(provider_rows(payloads, providers, **options))
+
+
 def passive_discoveries(
     payloads: dict[str, DataFrame], providers: Iterable[str] | None = None, since: str | None = None,
     until: str | None = None, blacklist_ext: str | Iterable[str] | None = None, filter_params: bool = False,
     caps: dict[str, int] | None = None,
 ) -> DataFrame:
     """All providers' URLs: first provider wins, extension blacklist, optional query strip and second de-dup."""
-    urls = first_wins_provider(union_providers(payloads, providers, since, until, caps))
+    # the first of all providers is also the first of its own, so one de-duplication does for both
+    urls = first_wins_provider(_canonical(provider_rows(payloads, providers, since, until, caps)))
     urls = filter_ext_url(urls, blacklist_ext)
     return filter_blank_url(dedup_after_strip(urls) if filter_params else urls)
