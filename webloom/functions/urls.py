@@ -7,6 +7,10 @@ generated code; :func:`pin` then keeps the optimiser from copying those steps in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache, wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,6 +146,12 @@ def _with_steps(df: DataFrame, steps: dict[str, Column], names: list[str]) -> Da
     return staged.select(*columns, F.inline(F.array(F.struct(*names))))
 
 
+def _built_once(steps: Callable[..., dict[str, Column]]) -> Callable[..., dict[str, Column]]:
+    """Keep the column trees made for the same names: building one takes hundreds of calls into the JVM."""
+    kept = lru_cache(maxsize=128)(lambda context, *names: steps(*names))
+    return wraps(steps)(lambda *names: kept(SparkContext._active_spark_context, *names))
+
+
 def _parts(text: str, p: str) -> dict[str, Column]:
     """Steps that take the tidied URL in column ``text`` apart; their names start with ``p``."""
     def n(name: str) -> Column:
@@ -183,18 +193,15 @@ def _reassemble(scheme, netloc, path, params, query, fragment) -> Column:
     )
 
 
-def resolve_url(df: DataFrame, base: str, raw: str, out: str = "url") -> DataFrame:
-    """Add ``out``: the link text ``raw`` made absolute on the http(s) URL ``base``.
-
-    Links of another scheme come back as they are; a malformed bracketed host gives the empty string.
-    """
+@_built_once
+def _resolve_steps(base: str, raw: str, out: str) -> dict[str, Column]:
     c = F.col
     foreign = ((c("_r_scheme") != "") & (c("_r_scheme") != c("_b_scheme"))) | ~c("_b_scheme").isin(WEB_SCHEMES)
     own_place = c("_r_netloc") != ""
     same_page = (c("_r_path") == "") & (c("_r_params") == "")
     broken = c("_r_netloc").contains("[") != c("_r_netloc").contains("]")
     inherits = same_page & ~own_place
-    steps = {
+    return {
         "_b": tidy(c(base)),
         "_r": tidy(c(raw)),
         **_parts("_b", "_b_"),
@@ -215,15 +222,22 @@ def resolve_url(df: DataFrame, base: str, raw: str, out: str = "url") -> DataFra
         out: F.when(c(raw) == "", c(base)).when(c(base) == "", c(raw)).when(broken, F.lit("")).when(foreign, c(raw))
         .otherwise(c("_whole")),
     }
-    return _with_steps(df, steps, [out])
 
 
-def normalize_url(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
-    """Add ``out``: the canonical form of the absolute URL in ``col``; anything without a host passes through."""
+def resolve_url(df: DataFrame, base: str, raw: str, out: str = "url") -> DataFrame:
+    """Add ``out``: the link text ``raw`` made absolute on the http(s) URL ``base``.
+
+    Links of another scheme come back as they are; a malformed bracketed host gives the empty string.
+    """
+    return _with_steps(df, _resolve_steps(base, raw, out), [out])
+
+
+@_built_once
+def _normalize_steps(col: str, out: str) -> dict[str, Column]:
     c = F.col
     default_port = c("_n_netloc").endswith(c("_port")) & (
         F.instr("_n_netloc", ":") + F.length("_port") - 1 == F.length("_n_netloc"))
-    steps = {
+    return {
         "_u": tidy(c(col)),
         **_parts("_u", "_n_"),
         "_port": F.when(c("_n_scheme") == "https", ":443").when(c("_n_scheme") == "http", ":80"),
@@ -235,4 +249,8 @@ def normalize_url(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
             _reassemble(c("_n_scheme"), F.lower("_host"), c("_path"), c("_n_params"), c("_query"), F.lit("")),
         ).otherwise(c(col)),
     }
-    return _with_steps(df, steps, [out])
+
+
+def normalize_url(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
+    """Add ``out``: the canonical form of the absolute URL in ``col``; anything without a host passes through."""
+    return _with_steps(df, _normalize_steps(col, out), [out])

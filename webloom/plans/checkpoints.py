@@ -1,11 +1,12 @@
-"""Where jobs cut their lineage: reliable checkpoints in the folder that the session names."""
+"""Where jobs cut their lineage: tables written to the folder that the session names."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,12 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there; a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write a table and say how many rows it has, in one job."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return rows.get["rows"]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a table in the shared folder.
+
+    Later steps do not repeat the work, know the size, read only the columns they use, and survive a lost executor.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,25 +3,26 @@
 A URL is visited when it is admitted (scope, media and exclude rules) and within the depth limit; its links are
 followed from the least depth at which it can be reached. Links found in script files start again at depth 0.
 
-The edge table is partitioned and written once; a round then only moves the frontier. Every round is cut off by a
-reliable checkpoint, so plans stay short and a lost executor does not start the crawl again.
+Edges are extracted and written once, so rounds never touch a page body. Every round's finds are written too: plans
+stay short, a lost executor does not start the crawl again, and the size of the frontier is known when the next join
+is planned - a small one is broadcast and the edges stay in place. A page that holds a large share of all edges makes a
+skewed partition of that join, which adaptive execution splits; the frontier side has one row per URL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import resolve_url
 from webloom.operators.dedup import union_all
 from webloom.operators.extract import script_link_is_file
 from webloom.operators.filters import admitted
-from webloom.plans.checkpoints import checkpoint
+from webloom.plans.checkpoints import fresh_path, write_counted, written
 from webloom.plans.discoveries import LINK, SCRIPT, SCRIPT_LINK, page_discoveries
 
-HUB_EDGES = 100_000
 KEY = ["input", "url", "link_file"]
 
 
@@ -44,23 +45,6 @@ def link_edges(captures: DataFrame, exts: Sequence[str] = ("js",), html: str = "
     return own.select(F.col("origin").alias("from_url"), F.inline(F.array(edge, twin))).filter("to_url IS NOT NULL")
 
 
-def split_hubs(edges: DataFrame, hub_edges: int = HUB_EDGES) -> tuple[DataFrame, DataFrame]:
-    """Spread the edges of URLs with very many links over several chunks.
-
-    Returns the edges with a ``chunk`` and the table of such URLs with their number of chunks. The table cannot exceed
-    one row per ``hub_edges`` edges.
-    """
-    hubs = checkpoint(
-        edges.groupBy("from_url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_edges)
-        .select("from_url", F.ceil(F.col("n") / hub_edges).cast("int").alias("chunks"))
-    )
-    if hubs.isEmpty():
-        return edges.withColumn("chunk", F.lit(0)), hubs
-    marked = edges.join(hubs, "from_url", "left")
-    chunk = F.pmod(F.xxhash64("to_url"), F.coalesce("chunks", F.lit(1))).cast("int")
-    return marked.withColumn("chunk", chunk).drop("chunks"), hubs
-
-
 RESTART = ["script_link", "sibling"]
 
 
@@ -88,52 +72,55 @@ def _complete(edges: DataFrame) -> DataFrame:
 
 def crawl(
     edges: DataFrame, roots: DataFrame, max_depth: int = 1, include: str | None = None, exclude: str | None = None,
-    exts: Sequence[str] = ("js",), hub_edges: int = HUB_EDGES,
+    exts: Sequence[str] = ("js",),
 ) -> DataFrame:
     """Visited URLs ``input, host, url, link_file, depth, level`` from ``roots(input, host, url[, link_file])``.
 
-    ``edges`` has at least ``from_url, to_url``; see :func:`link_edges` for the rest. ``max_depth`` 0 means no limit. ``level`` is the round
-    in which the least depth was found. A URL reached both as a page and as a link file has a row for each.
+    ``edges`` has at least ``from_url, to_url``; see :func:`link_edges` for the rest. ``max_depth`` 0 means no limit.
+    ``level`` is the round in which the least depth was found. A URL reached both as a page and as a link file has a
+    row for each.
     """
+    spark = edges.sparkSession
     limit = max_depth if max_depth > 0 else 999
-    edges = _complete(edges)
+    has_script_links = "raw" in edges.columns
+    edges = written(_complete(edges), "edges")
     if "link_file" not in roots.columns:
         roots = roots.withColumn("link_file", F.lit(False))
-    chunked, hubs = split_hubs(edges, hub_edges)
-    has_hubs = not hubs.isEmpty()
-    chunked = checkpoint(chunked.repartition("from_url", "chunk"))
-
-    start = roots.select(*KEY, "host").distinct().filter(admitted(F.col("url"), F.col("host"), include, exclude))
-    frontier = checkpoint(start.withColumns({"depth": F.lit(0), "level": F.lit(0)}))
-    visited, level = [frontier], 0
-    while not frontier.isEmpty():
-        level += 1
-        open_ends = frontier.withColumn("chunk", F.lit(0))
-        if has_hubs:
-            open_ends = open_ends.join(hubs, open_ends["url"] == hubs["from_url"], "left").drop("from_url")
-            last = F.coalesce("chunks", F.lit(1)) - 1
-            open_ends = open_ends.withColumn("chunk", F.explode(F.sequence(F.lit(0), last))).drop("chunks")
-        hop = open_ends.withColumnRenamed("url", "from_url").join(chunked, ["from_url", "chunk"], "inner")
+
+    def may_visit(urls: DataFrame) -> DataFrame:
+        return urls.filter(admitted(F.col("url"), F.col("host"), include, exclude))
+
+    start = may_visit(roots.select(*KEY, "host").distinct()).withColumn("depth", F.lit(0))
+    folder = fresh_path(spark, "crawl")
+    level, found = 0, write_counted(start, f"{folder}/level=0")
+    while found > 0:
+        frontier, known = _levels(spark, folder, [level]), _levels(spark, folder, range(level + 1))
+        hop = frontier.withColumnRenamed("url", "from_url").join(edges, "from_url", "inner")
         restart = F.col("kind").isin(RESTART)
         followed = hop.filter(restart | (~F.col("link_file") & (F.col("depth") < limit)))
-        reached = _targets(followed, exts).select(
-            *KEY, "host", F.when(restart, F.lit(0)).otherwise(F.col("depth") + 1).alias("depth")
-        ).filter(admitted(F.col("url"), F.col("host"), include, exclude))
-        nearest = reached.groupBy(*KEY, "host").agg(F.min("depth").alias("depth"))
-        known = union_all(*visited).groupBy(*KEY).agg(F.min("depth").alias("known_depth"))
-        better = nearest.join(known, KEY, "left").filter(
-            F.col("known_depth").isNull() | (F.col("depth") < F.col("known_depth"))
-        )
-        frontier = checkpoint(better.select(*KEY, "host", "depth", F.lit(level).alias("level")))
-        visited.append(frontier)
-        if len(visited) > 8:
-            visited = [checkpoint(union_all(*visited))]
+        if has_script_links:
+            targets = _targets(followed, exts)
+        else:
+            targets = followed.drop("link_file").withColumnsRenamed({"to_url": "url", "page_link_file": "link_file"})
+        reached = targets.select(*KEY, "host", F.when(restart, F.lit(0)).otherwise(F.col("depth") + 1).alias("depth"))
+        nearest = may_visit(reached).groupBy(*KEY, "host").agg(F.min("depth").alias("depth"))
+        before = known.groupBy(*KEY).agg(F.min("depth").alias("known_depth"))
+        better = nearest.join(before, KEY, "left").filter("known_depth IS NULL OR depth < known_depth")
+        level += 1
+        found = write_counted(better.select(*KEY, "host", "depth"), f"{folder}/level={level}")
     best = F.min(F.struct("depth", "level"))
-    return union_all(*visited).groupBy(*KEY, "host").agg(best.alias("b")).select(
-        "input", "host", "url", "link_file", F.col("b.depth").alias("depth"), F.col("b.level").alias("level")
+    return _levels(spark, folder, range(level + 1)).groupBy(*KEY, "host").agg(best.alias("b")).select(
+        *KEY, "host", F.col("b.depth").alias("depth"), F.col("b.level").alias("level")
     )
 
 
+def _levels(spark: SparkSession, folder: str, levels: Iterable[int]) -> DataFrame:
+    """What the given rounds found."""
+    schema = "input STRING, url STRING, link_file BOOLEAN, host STRING, depth INT, level INT"
+    paths = [f"{folder}/level={n}" for n in levels]
+    return spark.read.schema(schema).option("basePath", folder).parquet(*paths)
+
+
 def crawl_depth(edges: DataFrame, roots: DataFrame, max_depth: int = 1, **scope) -> DataFrame:
     """Least depth per site and URL."""
     seen = crawl(edges, roots, max_depth, **scope)

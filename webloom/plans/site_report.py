@@ -12,7 +12,7 @@ from webloom.operators.dedup import first_wins_by_set
 from webloom.operators.extract import link_file_exts
 from webloom.operators.joins import join_frontier_pages, join_source_attribution
 from webloom.operators.report import count_by_provider, crawl_summary
-from webloom.plans.checkpoints import checkpoint
+from webloom.plans.checkpoints import written
 from webloom.plans.crawl import crawl, crawl_roots, link_edges
 from webloom.plans.discoveries import PASSIVE, ROBOTS, SITEMAP, page_discoveries, root_records, union_discoveries
 
@@ -72,7 +72,7 @@ def site_report(
     sites = seeds.select(F.col("site").alias("input"))
     sitemap_urls, robots_urls = (u.join(sites, "input", "left_semi") for u in (sitemap_urls, robots_urls))
     wanted = passive_urls.select("input", "url", "provider").join(sites, "input", "left_semi")
-    passive_urls = checkpoint(wanted)
+    passive_urls = written(wanted, "passive")
     records = site_records(captures, seeds, sitemap_urls, robots_urls, passive_urls, max_depth, exts, include, exclude)
     counts = count_by_provider(passive_urls, "input")
     return crawl_summary(first_wins_by_set(records), counts, strict)
