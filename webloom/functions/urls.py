@@ -40,6 +40,11 @@ def host_of_url(c: Column) -> Column:
     return strip(F.substring_index(F.substring_index(bare, "/", 1), "?", 1))
 
 
+def squeezed(path: Column) -> Column:
+    """Runs of slashes made single."""
+    return F.when(path.contains("//"), F.regexp_replace(path, "/{2,}", "/")).otherwise(path)
+
+
 def strip_query(c: Column) -> Column:
     return F.regexp_replace(c, r"\?[^#]*", "")
 
@@ -166,9 +171,9 @@ def _parts(text: str, p: str) -> dict[str, Column]:
         "netloc": F.when(n("head").startswith("//"), F.substring_index(rest_from(n("head"), F.lit(3)), "/", 1)).otherwise(
             ""),
         "full": F.when(n("head").startswith("//"), rest_from(n("head"), F.length(n("netloc")) + 3)).otherwise(n("head")),
-        "params": F.regexp_extract(n("full"), r";([^/]*)$", 1),
+        "params": F.when(n("full").contains(";"), F.regexp_extract(n("full"), r";([^/]*)$", 1)).otherwise(""),
         "scheme": F.lower(n("scheme_raw")),
-        "path": F.regexp_replace(n("full"), r";[^/]*$", ""),
+        "path": F.when(n("full").contains(";"), F.regexp_replace(n("full"), r";[^/]*$", "")).otherwise(n("full")),
         "query": rest_from(n("main"), F.length(n("head")) + 2),
         "fragment": rest_from(n("rest"), F.length(n("main")) + 2),
     }
@@ -206,10 +211,14 @@ def _resolve_steps(base: str, raw: str, out: str) -> dict[str, Column]:
         "_r": tidy(c(raw)),
         **_parts("_b", "_b_"),
         **_parts("_r", "_r_"),
-        "_dir": F.when(c("_b_path").contains("/"), F.regexp_replace("_b_path", r"[^/]*$", "")).otherwise("/"),
-        "_merged": F.when(c("_r_path").startswith("/"), c("_r_path")).otherwise(
-            F.regexp_replace(F.concat("_dir", "_r_path"), "/{2,}", "/")),
-        "_clean": F.when(c("_merged").rlike(DOT_SEGMENT), remove_dot_segments(c("_merged"))).otherwise(c("_merged")),
+        "_dir": F.when(
+            c("_b_path").contains("/"),
+            F.left("_b_path", F.length("_b_path") - F.length(F.substring_index("_b_path", "/", -1))),
+        ).otherwise("/"),
+        "_merged": F.when(c("_r_path").startswith("/"), c("_r_path")).otherwise(squeezed(F.concat("_dir", "_r_path"))),
+        "_clean": F.when(
+            c("_merged").contains("/.") & c("_merged").rlike(DOT_SEGMENT), remove_dot_segments(c("_merged"))
+        ).otherwise(c("_merged")),
         "_path": F.when(own_place, c("_r_path")).when(same_page, c("_b_path")).otherwise(c("_clean")),
         "_whole": _reassemble(
             c("_b_scheme"),
@@ -242,7 +251,7 @@ def _normalize_steps(col: str, out: str) -> dict[str, Column]:
         **_parts("_u", "_n_"),
         "_port": F.when(c("_n_scheme") == "https", ":443").when(c("_n_scheme") == "http", ":80"),
         "_host": F.when(default_port, F.substring_index("_n_netloc", ":", 1)).otherwise(c("_n_netloc")),
-        "_path": F.when(c("_n_path") == "", "/").otherwise(F.regexp_replace("_n_path", "/{2,}", "/")),
+        "_path": F.when(c("_n_path") == "", "/").otherwise(squeezed(c("_n_path"))),
         "_query": F.when(c("_n_query") != "", sort_query_params(c("_n_query"))).otherwise(""),
         out: F.when(
             (c("_n_netloc") != "") & (c("_n_scheme") != ""),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.fixed_values import BUCKET_FORMS, DNS_LABEL, SCRIPT_LINK
+from webloom.fixed_values import BUCKET_FORMS, SCRIPT_LINK
 from webloom.functions.text import (
     break_long_script, clean_subdomain, collapse_newlines, decode_chars, regex_quote, unescape_html,
 )
@@ -122,17 +122,20 @@ def link_file_exts(exts: Sequence[str] | str | None) -> list[str]:
     return [x.strip().lower().lstrip(".") for x in items if x.strip()]
 
 
+# A DNS label read backwards, after the dot that follows it: no hyphen at either end, 63 characters at most.
+_LABEL_BACKWARDS = r"\.[a-zA-Z0-9](?:[_a-zA-Z0-9-]{0,61}[_a-zA-Z0-9])?+"
+
+
 def subdomain_array(text: Column, domain: Column) -> Column:
     """Cleaned host names below ``domain`` in a text, in order, each once.
 
-    A name is the longest chain of labels that ends right before the domain. The chain is matched possessively, one
-    hop from a place where the domain follows to the next such place, which finds the same name as backtracking does.
+    A name is the longest chain of labels in front of the last domain of the chain. Searched forwards, nearly every
+    word of a text starts a vain attempt. Searched backwards, an attempt starts with the domain itself and the chain
+    simply grows to the left as far as labels reach, so the text is read backwards and the finds are turned round.
     """
-    d = regex_quote(domain)
-    label = F.lit(DNS_LABEL + r"\.")
-    pattern = F.concat(F.lit("(?i)(?:"), label, F.lit("(?:(?!"), d, F.lit(")"), label, F.lit(")*+(?="), d,
-                       F.lit("))++"), d)
-    names = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), clean_subdomain)
+    pattern = F.concat(F.lit("(?i:"), regex_quote(F.reverse(domain)), F.lit(f")(?:{_LABEL_BACKWARDS})++"))
+    found = F.reverse(F.regexp_extract_all(F.reverse(text), pattern, F.lit(0)))
+    names = F.transform(found, lambda s: clean_subdomain(F.reverse(s)))
     hits = F.array_distinct(F.filter(names, lambda s: (s != "") & (s != domain)))
     mentioned = (domain != "") & F.lower(text).contains(F.lower(domain))
     return F.when(mentioned, hits).otherwise(F.array().cast("array<string>"))
