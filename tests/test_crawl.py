@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from webloom.plans.crawl import crawl, crawl_depth, crawl_roots, link_edges
+from webloom.plans.discoveries import page_finds, with_site
 from webloom.plans.site_report import site_records, site_report
 
 
@@ -71,7 +72,8 @@ PAGES = [
     ("https://static.ex.com/lib/u.js", "q='rel/one'", 200),
     ("https://ex.com/api/list", '<a href="/more">m</a>', 200),
     ("https://ex.com/gone", '<a href="/never">n</a>', 404),
-    ("https://ex.com/old", '<a href="/gone">g</a>', 200),
+    ("https://ex.com/old", '<a href="/gone">g</a><a href="https://o.test/?r=ex.com">o</a>', 200),
+    ("https://o.test/?r=ex.com", "pay.ex.com and own.o.test", 200),
 ]
 
 
@@ -89,7 +91,7 @@ def seed(spark):
 
 def test_links_of_scripts_start_again(spark):
     got = {(r.url, r.link_file): r.depth for r in crawl(
-        link_edges(capture(spark, PAGES)), crawl_roots(seed(spark)), max_depth=1).collect()}
+        link_edges(page_finds(with_site(capture(spark, PAGES)))), crawl_roots(seed(spark)), max_depth=1).collect()}
     assert got[("https://ex.com/app.min.js", True)] == 1
     assert got[("https://ex.com/api/list", False)] == 0 and got[("https://ex.com/more", False)] == 1
     assert got[("https://static.ex.com/lib/u.min.js", True)] == 0
@@ -108,11 +110,12 @@ def test_site_report(spark):
     assert rows[("url", "https://ex.com/app.min.js")] == "linkfinder"
     assert ("href", "https://ex.com/b") not in rows  # the page is visited at the last depth, so its links are not read
     assert ("href", "https://ex.com/gone") in rows and ("href", "https://ex.com/never") not in rows
+    assert ("subdomains", "http://pay.ex.com") in rows and ("subdomains", "http://own.o.test") not in rows
     assert ("aws-s3", "bk.s3.amazonaws.com") in rows and ("subdomains", "http://mail.ex.com") in rows
     report = site_report(capture(spark, PAGES), seed(spark), *lists(spark), max_depth=2)
     got = {(r.input, r.metric): r.value for r in report.collect()}
     assert got[("https://ex.com", "OTX")] == 1 and ("https://else.com", "OTX") not in got
     assert got[("https://ex.com", "Forms found")] == 1
     assert got[("https://ex.com", "AWS S3 Buckets")] == 1
-    assert got[("https://ex.com", "Subdomains found")] == 2  # mail and static
+    assert got[("https://ex.com", "Subdomains found")] == 3  # mail, static and pay
     assert report.select(F.countDistinct("metric")).first()[0] == 7

@@ -18,31 +18,32 @@ from pyspark.sql import functions as F
 
 from webloom.functions.urls import resolve_url
 from webloom.operators.dedup import union_all
-from webloom.operators.extract import script_link_is_file
+from webloom.operators.extract import link_file_exts, script_link_is_file
 from webloom.operators.filters import admitted
 from webloom.plans.checkpoints import fresh_path, write_counted, written
-from webloom.plans.discoveries import LINK, SCRIPT, SCRIPT_LINK, page_discoveries
+from webloom.plans.discoveries import LINK, SCRIPT, SCRIPT_LINK
 
 KEY = ["input", "url", "link_file"]
 
 
-def link_edges(captures: DataFrame, exts: Sequence[str] = ("js",), html: str = "html") -> DataFrame:
-    """Edges of the link graph, read from the bodies once: ``from_url, to_url, kind, raw``.
+def link_edges(finds: DataFrame, exts: Sequence[str] = ("js",)) -> DataFrame:
+    """Edges of the link graph, from :func:`page_finds` rows: ``from_url, to_url, kind, raw, link_file``.
 
     ``kind`` is ``href`` or ``script`` for what a page links to, ``script_link`` for a link in a script file and
     ``sibling`` for the plain twin of a minified file. A script link keeps its text in ``raw``: it is also followed on
     the root of whichever site is crawled.
     """
-    found = page_discoveries(captures.withColumn("source", F.lit("body")), exts, html, parse_html=F.lit(True))
-    own = found.filter(F.col("step").isin(LINK, SCRIPT) | ((F.col("step") == SCRIPT_LINK) & (F.col("pos") % 2 == 0)))
-    kind = F.when(F.col("step") == LINK, "href").when(F.col("step") == SCRIPT, "script").otherwise("script_link")
-    minified = (F.col("step") == SCRIPT_LINK) & F.col("link_file") & F.col("url").contains(".min.js")
-    edge = F.struct(F.col("url").alias("to_url"), kind.alias("kind"),
-                    F.when(F.col("step") == SCRIPT_LINK, F.col("raw")).alias("raw"), F.col("link_file"))
-    twin = F.struct(F.when(minified, F.replace("url", F.lit(".min.js"), F.lit(".js"))).alias("to_url"),
+    step, own = F.col("step"), F.col("own")
+    links = finds.filter(step.isin(LINK, SCRIPT, SCRIPT_LINK))
+    kind = F.when(step == LINK, "href").when(step == SCRIPT, "script").otherwise("script_link")
+    own_file = script_link_is_file(own, F.lit(False), link_file_exts(exts))
+    edge = F.struct(own.alias("to_url"), kind.alias("kind"), F.when(step == SCRIPT_LINK, F.col("raw")).alias("raw"),
+                    ((step == SCRIPT) | ((step == SCRIPT_LINK) & own_file)).alias("link_file"))
+    minified = (step == SCRIPT_LINK) & own_file & own.contains(".min.js")
+    twin = F.struct(F.when(minified, F.replace(own, F.lit(".min.js"), F.lit(".js"))).alias("to_url"),
                     F.lit("sibling").alias("kind"), F.lit(None).cast("string").alias("raw"),
                     F.lit(True).alias("link_file"))
-    return own.select(F.col("origin").alias("from_url"), F.inline(F.array(edge, twin))).filter("to_url IS NOT NULL")
+    return links.select(F.col("url").alias("from_url"), F.inline(F.array(edge, twin))).filter("to_url IS NOT NULL")
 
 
 RESTART = ["script_link", "sibling"]

@@ -1,4 +1,8 @@
-"""Records of captured pages, in one pass over each page body."""
+"""Records of captured pages, in one pass over each page body.
+
+Stage one, :func:`page_finds`, is narrow and knows no site: it turns a body into small rows. Stage two,
+:func:`find_records`, makes the records of a crawled site from such rows, so that bodies are never joined or shuffled.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +24,7 @@ PASSIVE, SITEMAP, ROBOTS = 8, 9, 10
 
 RECORD_COLUMNS = ["input", "source", "type", "url", "status", "length", "from", "seen_set", "level", "step", "origin",
                   "pos"]
+FIND_COLUMNS = ["url", "step", "at", "text", "raw", "own"]
 
 
 def with_site(pages: DataFrame) -> DataFrame:
@@ -42,21 +47,31 @@ def _once(step: int, condition: Column) -> Column:
 
 
 def page_finds(
-    pages: DataFrame, exts: Sequence[str], html: str, parse: Column, in_scope: Column
+    pages: DataFrame, exts: Sequence[str] = ("js",), html: str = "html", parse: Column | None = None,
+    in_scope: Column | None = None,
 ) -> DataFrame:
-    """One row per thing found in a page: ``step``, its place ``at`` and its ``text``. The body is dropped here."""
+    """One row per thing found in a page; the body is dropped here.
+
+    ``pages`` has ``url``, ``domain`` (whose subdomains are looked for), the body and any columns to keep. A row has the
+    ``step`` (what it is), its place ``at``, its ``text``, and for links the link text ``raw`` and the URL ``own`` that
+    it has on the page's own address. ``parse`` says which pages are read as HTML, ``in_scope`` which are searched for
+    subdomains and buckets.
+    """
     none = F.array().cast("array<string>")
     body, kept = F.col(html), [c for c in pages.columns if c != html]
     link_file = bare_ext(F.col("url")).isin(link_file_exts(exts))
+
+    def where(condition: Column | None, texts: Column) -> Column:
+        return texts if condition is None else F.when(condition, texts).otherwise(none)
+
     texts = pages.select(
         *kept,
-        F.when(in_scope, subdomain_array(body, F.col("domain"))).otherwise(none).alias("_subs"),
-        F.when(in_scope, bucket_array(body)).otherwise(none).alias("_buckets"),
-        F.when(link_file, script_link_array(body)).otherwise(none).alias("_links"),
-        F.when(parse, open_tags(body)).otherwise(none).alias("_tags"),
+        where(in_scope, subdomain_array(body, F.col("domain"))).alias("_subs"),
+        where(in_scope, bucket_array(body)).alias("_buckets"),
+        where(link_file, script_link_array(body)).alias("_links"),
+        where(parse, open_tags(body)).alias("_tags"),
     )
     texts = pin(texts, "_subs", "_buckets", "_links", "_tags")
-    has_form = F.exists("_tags", is_form)
     tags = F.transform(F.col("_tags"), lambda t, i: F.struct(
         F.when(tag_is(t, "a"), LINK).when(tag_is(t, "script", "link"), SCRIPT).otherwise(-1).alias("step"),
         i.alias("at"), t.alias("text")))
@@ -66,46 +81,37 @@ def page_finds(
         _items(BUCKET, F.col("_buckets")),
         _items(SCRIPT_LINK, F.col("_links")),
         F.filter(tags, lambda t: t["step"] >= 0),
-        _once(FORM, has_form),
+        _once(FORM, F.exists("_tags", is_form)),
         _once(UPLOAD, F.exists("_tags", is_upload)),
     )
-    return texts.select(*kept, F.inline(found))
+    step, text = F.col("step"), F.col("text")
+    value = F.when(step == LINK, attribute_text(text, "href")).when(step == SCRIPT, attribute_text(text, "src"))
+    finds = texts.select(*kept, F.inline(found)).withColumn("_value", value)
+    raw = F.when(step == SCRIPT_LINK, text).otherwise(unescape_html(F.col("_value")))
+    plain = F.when(step.isin(SUBDOMAIN, BUCKET), text)
+    finds = pin(finds.select(*kept, "step", "at", plain.alias("text"), raw.alias("raw")), "raw")
+    resolved = resolve_url(finds.filter((F.col("raw") != "") | F.col("raw").isNull()), "url", "raw", "own")
+    wanted = (step != SCRIPT) | bare_ext(F.col("own")).isin(link_file_exts(exts))
+    return resolved.filter((F.col("raw").isNull() | (F.col("own") != "")) & wanted)
 
 
-def page_discoveries(
-    pages: DataFrame, exts: Sequence[str] = ("js",), html: str = "html", bare_subdomains: bool = False,
-    parse_html: Column | None = None, in_scope: Column | None = None, with_from: bool = False,
+def find_records(
+    finds: DataFrame, exts: Sequence[str] = ("js",), bare_subdomains: bool = False, with_from: bool = False
 ) -> DataFrame:
-    """All records of captured pages: the page, subdomains, buckets, script links, links, forms, script files.
+    """Records of :func:`page_finds` rows that belong to a site.
 
-    ``pages`` has ``url``, the body, ``status`` and ``source``; ``input``, ``host``, ``domain`` and ``level`` are
-    taken from the page's own host and 0 when missing. Files with a listed extension give script links; other pages
-    are read as HTML. Other columns are kept.
+    Needs ``input, source, level, status, length`` next to the columns of the finds; other columns are kept.
     """
     exts = link_file_exts(exts)
-    if "input" not in pages.columns:
-        pages = with_site(pages)
-    if "level" not in pages.columns:
-        pages = pages.withColumn("level", F.lit(0))
-    parse = ~bare_ext(F.col("url")).isin(exts) if parse_html is None else parse_html
-    scope = F.col("url").contains(F.col("host")) if in_scope is None else in_scope
-    usable = pages.filter((F.col("status") >= 100) & (F.col("status") < 400))
-    sized = usable.withColumn("length", F.length(html).cast("long"))
-    finds = page_finds(sized, exts, html, parse, scope)
+    step, text, own, alt, page = (F.col(n) for n in ("step", "text", "own", "_alt", "url"))
+    extra = [c for c in finds.columns if c not in FIND_COLUMNS + RECORD_COLUMNS + ["host", "domain", "link_file"]]
+    on_site = finds.withColumn("_site", F.when(step == SCRIPT_LINK, F.col("input")))
+    both = resolve_url(on_site, "_site", "raw", "_alt")
 
-    step, text = F.col("step"), F.col("text")
-    value = F.when(step == LINK, attribute_text(text, "href")).when(step == SCRIPT, attribute_text(text, "src"))
-    finds = finds.withColumn("_value", value)
-    raw = F.when(step == SCRIPT_LINK, text).otherwise(unescape_html(F.col("_value")))
-    finds = pin(finds.withColumn("_raw", raw).drop("_value"), "_raw").filter((F.col("_raw") != "") | F.col("_raw").isNull())
-    finds = finds.withColumn("_site", F.when(step == SCRIPT_LINK, F.col("input")))
-    finds = resolve_url(resolve_url(finds, "url", "_raw", "_own"), "_site", "_raw", "_alt")
-
-    own, alt, page = F.col("_own"), F.col("_alt"), F.col("url")
     nothing = F.lit(None).cast("string")
-    listed = bare_ext(own).isin(exts)
-    own_kind = script_link_type(own, F.lit(False), exts)
     bare = F.lit(bare_subdomains)
+    own_kind = script_link_type(own, F.lit(False), exts)
+    own_file = (step == SCRIPT) | ((step == SCRIPT_LINK) & bare_ext(own).isin(exts))
     first = F.struct(
         F.when(step == PAGE, "url").when(step == SUBDOMAIN, F.when(bare, "subdomain").otherwise("subdomains"))
         .when(step == BUCKET, "aws-s3").when(step == SCRIPT_LINK, own_kind).when(step == LINK, "href")
@@ -115,12 +121,10 @@ def page_discoveries(
         .otherwise("body").alias("source"),
         F.when(step.isin(PAGE, FORM, UPLOAD), page)
         .when(step == SUBDOMAIN, F.when(bare, text).otherwise(F.concat(F.lit("http://"), text)))
-        .when(step == BUCKET, text)
-        .when(step == SCRIPT, F.when(listed, own)).otherwise(own).alias("url"),
+        .when(step == BUCKET, text).otherwise(own).alias("url"),
         F.when(step == PAGE, "page").when(step == SUBDOMAIN, "sub").when(step == BUCKET, "aws")
-        .when(step.isin(FORM, UPLOAD), "form").when((step == SCRIPT) | ((step == SCRIPT_LINK) & listed), "js")
-        .otherwise("url").alias("seen_set"),
-        ((step == SCRIPT) | ((step == SCRIPT_LINK) & listed)).alias("link_file"),
+        .when(step.isin(FORM, UPLOAD), "form").when(own_file, "js").otherwise("url").alias("seen_set"),
+        own_file.alias("link_file"),
         F.lit(0).alias("half"),
     )
     alt_file = script_link_is_file(alt, F.lit(True), exts)
@@ -128,15 +132,13 @@ def page_discoveries(
         F.when(step == SUBDOMAIN, "subdomains").otherwise("linkfinder").alias("type"),
         F.when(step == SUBDOMAIN, F.col("source")).otherwise(page).alias("source"),
         F.when((step == SUBDOMAIN) & ~bare, F.concat(F.lit("https://"), text))
-        .when((step == SCRIPT_LINK) & (own != "") & (alt != own), alt).otherwise(nothing).alias("url"),
+        .when((step == SCRIPT_LINK) & (alt != own), alt).otherwise(nothing).alias("url"),
         F.when(step == SUBDOMAIN, "sub").when(alt_file, "js").otherwise("url").alias("seen_set"),
         F.coalesce(alt_file & (step == SCRIPT_LINK), F.lit(False)).alias("link_file"),
         F.lit(1).alias("half"),
     )
-    extra = [c for c in pages.columns if c not in RECORD_COLUMNS + [html, "host", "domain", "link_file", "raw"]]
-    rows = finds.select(*extra, "input", "level", "step", "at", F.col("_raw").alias("raw"), F.col("url").alias("origin"),
-                        F.col("status").alias("_status"), F.col("length").alias("_length"),
-                        F.inline(F.array(first, second))).filter("url != ''")
+    rows = both.select(*extra, "input", "level", "step", "at", page.alias("origin"), F.col("status").alias("_status"),
+                       F.col("length").alias("_length"), F.inline(F.array(first, second))).filter("url != ''")
     on_page = F.col("step") == PAGE
     return rows.select(
         *extra, "input", "source", "type", "url",
@@ -144,10 +146,30 @@ def page_discoveries(
         F.when(on_page, F.col("_length")).alias("length"),
         (F.when(~on_page, F.col("origin")) if with_from else nothing).alias("from"),
         "seen_set", "level", "step", "origin", (F.col("at") * 2 + F.col("half")).alias("pos"), "link_file",
-        "raw",
     )
 
 
+def page_discoveries(
+    pages: DataFrame, exts: Sequence[str] = ("js",), html: str = "html", bare_subdomains: bool = False,
+    parse_html: Column | None = None, in_scope: Column | None = None, with_from: bool = False,
+) -> DataFrame:
+    """All records of captured pages: the page, subdomains, buckets, script links, links, forms, script files.
+
+    ``pages`` has ``url``, the body, ``status`` and ``source``; ``input``, ``host``, ``domain`` and ``level`` are
+    taken from the page's own host and 0 when missing. Files with a listed extension give script links; other pages
+    are read as HTML. Other columns are kept.
+    """
+    if "input" not in pages.columns:
+        pages = with_site(pages)
+    if "level" not in pages.columns:
+        pages = pages.withColumn("level", F.lit(0))
+    parse = ~bare_ext(F.col("url")).isin(link_file_exts(exts)) if parse_html is None else parse_html
+    scope = F.col("url").contains(F.col("host")) if in_scope is None else in_scope
+    usable = pages.filter((F.col("status") >= 100) & (F.col("status") < 400))
+    sized = usable.withColumn("length", F.length(html).cast("long"))
+    return find_records(page_finds(sized, exts, html, parse, scope), exts, bare_subdomains, with_from)
+
+
 def root_records(urls: DataFrame, kind: Column, source: Column, step: int) -> DataFrame:
     """Records for URLs that come from a list (sitemap, robots file, archive) and not from a page."""
     return urls.select(

@@ -1,4 +1,8 @@
-"""The whole job: roots, crawl, records, first-wins, labels and summary."""
+"""The whole job: roots, crawl, records, first-wins, labels and summary.
+
+Page bodies are read once: what is in them is written as small rows, from which both the link graph and the records
+are made.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.urls import url_key
+from webloom.functions.urls import registered_domain, url_key
 from webloom.operators.dedup import first_wins_by_set
-from webloom.operators.extract import link_file_exts
-from webloom.operators.joins import join_frontier_pages, join_source_attribution
+from webloom.operators.extract import link_file_exts, subdomain_array
+from webloom.operators.joins import join_source_attribution
 from webloom.operators.report import count_by_provider, crawl_summary
 from webloom.plans.checkpoints import written
 from webloom.plans.crawl import crawl, crawl_roots, link_edges
-from webloom.plans.discoveries import PASSIVE, ROBOTS, SITEMAP, page_discoveries, root_records, union_discoveries
+from webloom.plans.discoveries import (
+    BUCKET, FIND_COLUMNS, FORM, LINK, PAGE, PASSIVE, ROBOTS, SCRIPT, SCRIPT_LINK, SITEMAP, SUBDOMAIN, UPLOAD, find_records,
+    page_finds, root_records, union_discoveries,
+)
 
 
 def site_records(
@@ -27,25 +34,45 @@ def site_records(
     one ``provider`` as well.
     """
     exts = link_file_exts(exts)
-    good = captures.filter((F.col("status") >= 100) & (F.col("status") < 400)).select("url", "html", "status")
+    good = captures.filter((F.col("status") >= 100) & (F.col("status") < 400)).select(
+        "url", "html", "status", F.length("html").cast("long").alias("length"),
+        registered_domain(F.col("url")).alias("domain"),
+    )
+    finds = written(page_finds(good, exts), "finds")
     roots = crawl_roots(seeds, sitemap_urls, robots_urls, passive_urls)
-    seen = crawl(link_edges(good, exts), roots, max_depth, include, exclude, exts)
+    seen = crawl(link_edges(finds, exts), roots, max_depth, include, exclude, exts)
 
     # one visit per site and URL: a page visit, where there is one, also covers the link file
     visits = seen.groupBy("input", "host", "url").agg(
-        F.min("depth").alias("depth"),
         F.min("level").alias("level"),
         F.min("link_file").alias("link_file"),
         F.min(F.when(~F.col("link_file"), F.col("depth"))).alias("page_depth"),
     )
     providers = passive_urls.select("input", "url", F.col("provider").alias("source"), F.lit(0).alias("rank"))
-    sourced = attribute_sources(visits, providers)
-    fetched = join_frontier_pages(sourced, good, "url")
-    domains = seeds.select(F.col("site").alias("input"), "domain").distinct()
-    pages = fetched.join(domains, "input", "inner")
-    limit = max_depth if max_depth > 0 else 999
+    seed_domains = seeds.select(F.col("site").alias("input"), F.col("domain").alias("seed_domain")).distinct()
+    sourced = written(attribute_sources(visits, providers).join(seed_domains, "input", "inner"), "visits")
     scope = F.col("url").rlike(include) if include else F.col("url").contains(F.col("host"))
-    of_pages = page_discoveries(pages, exts, parse_html=F.col("page_depth") < limit, in_scope=scope)
+    sourced = sourced.withColumn("searched", scope)
+
+    step, limit = F.col("step"), max_depth if max_depth > 0 else 999
+    read_as_page = F.coalesce(F.col("page_depth") < limit, F.lit(False))
+    wanted = (
+        step.isin(PAGE, SCRIPT_LINK)
+        | ((step == SUBDOMAIN) & F.col("searched") & (F.col("domain") == F.col("seed_domain")))
+        | ((step == BUCKET) & F.col("searched"))
+        | (step.isin(LINK, SCRIPT, FORM, UPLOAD) & read_as_page)
+    )
+    kept = [*FIND_COLUMNS, "status", "length", "input", "source", "level"]
+    of_finds = finds.join(sourced, "url", "inner").filter(wanted).select(*kept)
+
+    # pages outside their seed's own domain, in scope by another part of their URL: their bodies are searched anew
+    strangers = sourced.filter(F.col("searched") & (registered_domain(F.col("url")) != F.col("seed_domain")))
+    bodies = good.drop("domain").join(strangers, "url", "inner")
+    others = bodies.select("url", "status", "length", "input", "source", "level", F.posexplode(
+        subdomain_array(F.col("html"), F.col("seed_domain"))).alias("at", "text"))
+    of_others = others.withColumns({"step": F.lit(SUBDOMAIN), "raw": F.lit(None).cast("string"),
+                                    "own": F.lit(None).cast("string")}).select(*kept)
+    of_pages = find_records(of_finds.unionByName(of_others), exts)
 
     def listed(urls: DataFrame, kind: str, step: int) -> DataFrame:
         return root_records(urls, F.lit(kind), F.lit(kind), step)

@@ -8,8 +8,9 @@ from webloom.functions import urls as U
 from webloom.operators import filters as P
 from webloom.plans.checkpoints import fresh_path
 from webloom.plans.crawl import crawl, crawl_depth, crawl_roots, link_edges
+from webloom.plans.discoveries import page_finds
 from webloom.plans.site_report import site_report
-from webloom.registry.common import F, S, X, over_records, rich_captures
+from webloom.registry.common import F, S, X, over_records, rich_captures, with_site
 from webloom.registry.reports import COUNTS, PASSIVE_TABLES, summary_lines
 from webloom.sources import captures as C
 from webloom.sources import providers as V
@@ -103,7 +104,7 @@ _ASSET_ROOTS = f"select 'https://' || {DOM} as input, {DOM} as host, url from js
 def crawl_js_reset(spark, d):
     host = U.registered_domain(F.col("url"))
     roots = X.derived(spark, d, "js_assets").select(F.concat(F.lit("https://"), host).alias("input"), host.alias("host"), "url")
-    seen = crawl(link_edges(rich_captures(spark, d)), roots, max_depth=2)
+    seen = crawl(link_edges(page_finds(with_site(rich_captures(spark, d)))), roots, max_depth=2)
     return seen.select("input", "url", "link_file", "depth")
 
 
