@@ -105,8 +105,8 @@ def crawl(
             targets = followed.drop("link_file").withColumnsRenamed({"to_url": "url", "page_link_file": "link_file"})
         reached = targets.select(*KEY, "host", F.when(restart, F.lit(0)).otherwise(F.col("depth") + 1).alias("depth"))
         nearest = may_visit(reached).groupBy(*KEY, "host").agg(F.min("depth").alias("depth"))
-        before = known.groupBy(*KEY).agg(F.min("depth").alias("known_depth"))
-        better = nearest.join(before, KEY, "left").filter("known_depth IS NULL OR depth < known_depth")
+        not_nearer = [nearest[k] == known[k] for k in KEY] + [known["depth"] <= nearest["depth"]]
+        better = nearest.join(known, not_nearer, "left_anti")
         level += 1
         found = write_counted(better.select(*KEY, "host", "depth"), f"{folder}/level={level}")
     best = F.min(F.struct("depth", "level"))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom import fixtures as X
 from webloom.operators.dedup import union_all
+from webloom.operators.extract import extract_links
 from webloom.plans.discoveries import page_discoveries, with_site
 from webloom.registry import sqltext as S
 
 RECORD = ["input", "source", "type", "url", "status", "length", "seen_set", "step", "origin", "pos"]
 
 
+# The two inputs below are plans that many queries start from; like a view, each is put together once per session.
+
+
+@lru_cache(maxsize=8)
 def rich_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML pages and script files, all fetched fine."""
     pages = X.derived(spark, sf_dir, "rich_pages")
@@ -20,6 +27,7 @@ def rich_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_all(pages, assets).withColumns({"status": F.lit(200), "source": F.lit("body")})
 
 
+@lru_cache(maxsize=8)
 def rich_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_discoveries(rich_captures(spark, sf_dir))
 
@@ -37,10 +45,9 @@ def over_records(select: str, *more: str) -> str:
     return S.with_(RICH_RECORDS, *more) + select
 
 
-# distinct absolute links of the untouched pages
+@lru_cache(maxsize=8)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from webloom.operators.extract import extract_links
-
+    """Absolute links of the untouched pages."""
     return extract_links(X.table(spark, sf_dir, "pages"))
 
 

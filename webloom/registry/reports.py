@@ -9,9 +9,12 @@ from webloom.operators import dedup as D
 from webloom.operators import filters as P
 from webloom.operators import joins as J
 from webloom.operators import report as R
+from webloom.operators.extract import extract_js_links, resolve_on_both
 from webloom.plans.checkpoints import fresh_path
-from webloom.plans.discoveries import root_records, union_discoveries
-from webloom.registry.common import F, RECORD, S, X, over_links, over_records, page_links, rich_records
+from webloom.plans.discoveries import page_discoveries, root_records, union_discoveries
+from webloom.registry.common import (
+    F, RECORD, S, X, over_links, over_records, page_links, rich_captures, rich_records,
+)
 from webloom.sources import captures as C
 from webloom.sources import providers as V
 
@@ -328,8 +331,6 @@ def union_discoveries_(spark, d):
     X.cte("js_assets"), S.exploded("found", "js_assets", S.script_links("body"), "link", "place", "page_id, url, site, body"),
     S.resolved("own_", "(select url as asset, link from found)", "asset", "link", "own")))
 def new_urls(spark, d):
-    from webloom.operators.extract import extract_js_links, resolve_on_both
-
     seen = resolve_on_both(extract_js_links(X.derived(spark, d, "js_assets"))).filter("NOT on_site")
     fresh = D.new_urls(page_links(spark, d), seen.select(F.col("target").alias("url")))
     return fresh.select(U.url_key(F.col("url")).alias("url_key")).distinct()
@@ -489,9 +490,6 @@ _STANDARD = f"""concat_ws(' ', '[' || {S.source_label('source', 'type')} || ']',
 @query("format_standard", over_records(
     f"select {_STANDARD} as line from (select *, case when step > 0 then origin end as fr from disc)"))
 def format_standard(spark, d):
-    from webloom.plans.discoveries import page_discoveries
-    from webloom.registry.common import rich_captures
-
     return R.format_standard(page_discoveries(rich_captures(spark, d), with_from=True), show_length=True)
 
 
