@@ -17,10 +17,11 @@ from webloom.functions.text import (
 )
 from webloom.functions.urls import bare_ext, ensure_scheme, pin, resolve_url, url_ext
 
-# Open tags of interest. Comments, and script and style elements with their bodies, are matched whole so that markup
-# inside them is passed over; a script's own open tag is still the head of such a match.
+# Open tags of interest, as group 1. Comments, and script and style elements with their bodies, are matched whole so that
+# markup inside them is passed over; group 1 is then the script's own open tag, or empty.
 _REST = r"""(?:[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+)?+>"""
-OPEN_TAG = rf"(?is)<!--.*?-->|<(script|style){_REST}.*?</\1\s*+>|<(?:a|form|input|script|link){_REST}"
+_TAG = rf"<(?:a|form|input|script|link){_REST}"
+OPEN_TAG = rf"(?is)(?=({_TAG})|<)(?:<!--.*?-->|<(script|style){_REST}.*?</\2\s*+>|{_TAG})"
 
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+)"""
 
@@ -53,8 +54,7 @@ def tag_is(tag: Column, *names: str) -> Column:
 
 def open_tags(html: Column) -> Column:
     """Open tags of a page in order, found in one scan."""
-    found = F.regexp_extract_all(html, F.lit(OPEN_TAG), F.lit(0))
-    return F.filter(found, lambda t: tag_is(t, "a", "form", "input", "script", "link"))
+    return F.filter(F.regexp_extract_all(html, F.lit(OPEN_TAG), F.lit(1)), lambda t: t != "")
 
 
 def is_form(tag: Column) -> Column:
