@@ -122,3 +122,12 @@ def test_payload_lines(spark, tmp_path):
     df = V.load_payloads(spark, str(tmp_path / "cc.jsonl"), "ex.com")
     assert urls(V.read_commoncrawl(df)) == ["http://ex.com/b", "http://ex.com/a"]
     assert df.filter(F.col("domain") == "ex.com").count() == 3
+
+
+def test_caps_cut_each_provider_and_domain(spark):
+    vt = [(0, {"detected_urls": [{"url": f"http://ex.com/{i}"} for i in range(9)]})]
+    both = {"virustotal": payloads(spark, *vt).unionByName(payloads(spark, *vt, domain="o.com")),
+            "commoncrawl": payloads(spark, (0, {"url": "http://ex.com/cc"}))}
+    rows = V.passive_discoveries(both, caps={"virustotal": 4, "otx": 1}).groupBy("domain", "provider").count().collect()
+    assert {(r.domain, r.provider): r["count"] for r in rows} == {
+        ("ex.com", "virustotal"): 4, ("o.com", "virustotal"): 4, ("ex.com", "commoncrawl"): 1}

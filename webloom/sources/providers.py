@@ -266,7 +266,11 @@ def passive_discoveries(
     until: str | None = None, blacklist_ext: str | Iterable[str] | None = None, filter_params: bool = False,
     caps: dict[str, int] | None = None,
 ) -> DataFrame:
-    """All providers' URLs: first provider wins, extension blacklist, optional query strip and second de-dup."""
+    """All providers' URLs: first provider wins, extension blacklist, optional query strip and second de-dup.
+
+    Exports are read whole. ``caps`` cuts them to a number of rows per provider and domain, as the providers' own
+    answers are: ``fixed_values.ROW_CAPS`` has the usual ones.
+    """
     # the first of all providers is also the first of its own, so one de-duplication does for both
     urls = first_wins_provider(_canonical(provider_rows(payloads, providers, since, until, caps)))
     urls = filter_ext_url(urls, blacklist_ext)
