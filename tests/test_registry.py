@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from check import TABLES, compare
 from conftest import DATA
+from webloom.registry import all_queries, all_sql
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +18,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query(spark, con, name):
     assert ": same, " in compare(spark, con, name, DATA)
 
