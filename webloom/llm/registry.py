@@ -36,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), out="pii")
     base = F.filter("pii", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return spans.select(
-        "doc_id",
-        *[F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in BASE],
+        "doc_id", *map(count, BASE),
         F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("pii")).alias("spans"))
 
 
@@ -102,7 +105,7 @@ SQL = {
 with templates(license, template) as (values {_VALUES}),
 worded as (select license, regexp_extract_all(lower(template), '[\\p{{L}}\\p{{N}}]+') as w from templates),
 t as (select license, len(w) as length, list_distinct(list_transform(range(0, greatest(len(w) - 4, 1)),
-    i -> array_to_string(list_slice(w, i + 1, i + 5), ' '))) as wanted from worded where len(w) > 0),
+    lambda i: array_to_string(list_slice(w, i + 1, i + 5), ' '))) as wanted from worded where len(w) > 0),
 lengths as (select distinct length, greatest(1, length // 2) as step from t),
 d as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from documents
     where regexp_matches(lower(text), (select string_agg(distinct x, '|') from (select unnest(w) as x from worded)))),
@@ -111,7 +114,7 @@ cut as (select doc_id, length, list_slice(w, i * step + 1, i * step + length + s
         unnest(range(0, greatest(cast(ceil((len(w) - length - step) / step) as bigint), 0) + 1)) as i
     from d, lengths where len(w) > 0)),
 shingled as (select doc_id, length, list_distinct(list_transform(range(0, greatest(len(v) - 4, 1)),
-    i -> array_to_string(list_slice(v, i + 1, i + 5), ' '))) as s from cut where len(v) > 0),
+    lambda i: array_to_string(list_slice(v, i + 1, i + 5), ' '))) as s from cut where len(v) > 0),
 shared as (select doc_id, license, len(list_intersect(s, wanted)) / len(wanted) as containment
     from shingled join t using (length))
 select doc_id, license, max(containment) as containment, count(*) as windows from shared where containment >= 0.8
