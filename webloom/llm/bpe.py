@@ -15,11 +15,14 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from webloom.llm.common import map_texts
 
@@ -338,11 +341,6 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
 def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Append the text of each array of token ids; bytes that are no UTF-8 become U+FFFD. A null array counts as empty,
     a null or unknown id gives nothing."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = load_bpe(vocabulary)

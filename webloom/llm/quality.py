@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from webloom.llm.common import free_name, map_texts, stored, text_of
 
 BUCKET_BITS = 18
-#: The most labelled texts that are learned from, and how often they are gone through.
+#: The most labelled texts that are learned from, and how many updates are made at least.
 SAMPLE = 6_000
-PASSES = 2
+UPDATES = 12_000
+#: The most passes over a small sample.
+PASSES = 20
 ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.5, 1.0
 #: Words (with letters or digits, of any case) and runs of marks, so that marks stuck to words are terms of their own.
 TERM = re.compile(r"\w+|[^\w \t-\r]+")
@@ -126,7 +128,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, label: str = "quality", sample
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms, model = Terms(bits), Ftrl(size)
         found = [(terms.buckets(t), int(y)) for p in batches for t, y in zip(p["text"], p["label"])]
-        for _ in range(PASSES):
+        for _ in range(min(PASSES, math.ceil(UPDATES / max(len(found), 1)))):
             for b, y in found:
                 model.learn(b, y, share[y])
         w = model.weights()

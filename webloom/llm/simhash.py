@@ -46,13 +46,17 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def signed(f: int) -> int:
+    return f - (1 << BITS) if f >> (BITS - 1) else f
+
+
 def with_fingerprint(df: DataFrame, shingle: int = 3, text: str = "text", out: str = "simhash",
                      keep: list[str] | None = None) -> DataFrame:
     """Append the fingerprint of each whole text as a signed 64-bit integer. Null texts count as empty: zero."""
     def make():
         def work(texts: list[str]) -> list[tuple]:
             got = [fingerprint(t.encode().lower().split(), shingle) for t in texts]
-            return [(f - (1 << BITS) if f >> (BITS - 1) else f,) for f in got]
+            return [(signed(f),) for f in got]
 
         return work
 
@@ -81,8 +85,8 @@ class BlockTrees:
         """An array of (shard, whether it is the home shard) for a fingerprint."""
         found = []
         for k, ((shift, width), points) in enumerate(zip(self.blocks, self.points)):
-            bits = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-            away = [F.bit_count(bits.bitwiseXOR(F.lit(p).cast("bigint"))).cast("bigint") for p in points]
+            bits = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(signed((1 << width) - 1)).cast("bigint"))
+            away = [F.bit_count(bits.bitwiseXOR(F.lit(signed(p)).cast("bigint"))).cast("bigint") for p in points]
             # A ball around the fingerprint reaches ring d' only if |d - d'| is at most the radius.
             for steps in product(range(-self.radius, self.radius + 1), repeat=len(points)):
                 leaf = F.lit(k).cast("bigint")
@@ -128,8 +132,8 @@ def shard_links(fps: np.ndarray, home: np.ndarray, max_bits: int) -> list[tuple[
                 if (rx := root(x)) != (ry := root(y)):
                     parent[ry] = rx
                     links.append((x, y))
-    signed = fps.view(np.int64).tolist()
-    return [(signed[x], signed[y]) for x, y in links]
+    values = fps.view(np.int64).tolist()
+    return [(values[x], values[y]) for x, y in links]
 
 
 def fingerprint_links(fps: DataFrame, fp: str, max_bits: int, blocks: int | None = None, levels: int = 8) -> DataFrame:
