@@ -1,12 +1,15 @@
 import random
 import re
+import time
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin
 
 from pyspark.sql import functions as F
 
 from webloom import fixtures as X
+from webloom.functions import text as T
 from webloom.operators import extract as E
+from webloom.sources import captures as C
 from webloom.plans.discoveries import page_discoveries
 
 PAGE = """<!-- <a href="/no">x</a> --><script>var a='<a href="/no2">';</script><style><a href="/no3"></style>
@@ -68,10 +71,11 @@ def test_long_tag_and_long_name_do_not_overflow(spark):
     assert sub.sub == name
 
 
-def cleaned(name):
-    name = name.strip().lower().lstrip("*.")
-    name = re.sub("^(20|25|2b|2f|3d|3a|40)+", "", name).strip("-")
-    return name[1:] if len(name) > 1 and name[0] == "." else name
+def test_names_are_cleaned(spark):
+    pairs = [(" A.ex.com ", "a.ex.com"), ("*.b.ex.com", "b.ex.com"), ("2f2Fc.ex.com", "c.ex.com"), ("20.d.ex.com", "d.ex.com"),
+             ("-e.ex.com-", "e.ex.com"), ("3ax", "x"), (".", ""), ("25-f", "f")]
+    df = spark.createDataFrame(pairs, "name string, clean string")
+    assert [r for r in df.select("name", "clean", T.clean_subdomain(F.col("name")).alias("got")).collect() if r.got != r.clean] == []
 
 
 def test_subdomains_agree_with_a_backtracking_search(spark):
@@ -82,10 +86,12 @@ def test_subdomains_agree_with_a_backtracking_search(spark):
     rows = [("".join(rng.choices(tokens, k=rng.randint(2, 14))), rng.choice(domains)) for _ in range(20000)]
     df = spark.createDataFrame(rows, "t string, d string")
     label = "([a-zA-Z0-9]|[_a-zA-Z0-9][_a-zA-Z0-9-]{0,61}[a-zA-Z0-9])"
+    found = {(t, d): [m.group(0) for m in re.finditer(f"(?i)({label}[.])+" + re.escape(d), t)] for t, d in rows}
+    names = spark.createDataFrame([(n,) for n in {n for ns in found.values() for n in ns}], "name string")
+    clean = {r.name: r.clean for r in names.select("name", T.clean_subdomain(F.col("name")).alias("clean")).collect()}
     hits = 0
     for r in df.select("t", "d", E.subdomain_array(F.col("t"), F.col("d")).alias("s")).collect():
-        found = (cleaned(m.group(0)) for m in re.finditer(f"(?i)({label}[.])+" + re.escape(r.d), r.t))
-        expected = list(dict.fromkeys(s for s in found if s and s != r.d))
+        expected = list(dict.fromkeys(s for n in found[r.t, r.d] if (s := clean[n]) and s != r.d))
         hits += bool(expected)
         assert r.s == expected
     assert hits > 300
@@ -140,3 +146,26 @@ def test_one_pass_gives_what_the_single_extractors_give(spark, data):
 def test_error_pages_give_no_records(spark):
     pages = pages_of(spark, PAGE).withColumns({"status": F.lit(404), "source": F.lit("body")})
     assert page_discoveries(pages).count() == 0
+
+
+def test_hostile_pages_do_no_harm(spark):
+    reference = '<a href="/q?x=&#99999999999999999999999;y">x</a><a href="/z">'
+    assert [u[-2:] for u in urls(E.extract_links(pages_of(spark, reference)))] == ["\ufffdy", "/z"]
+    apostrophe = """<a href="/one" title=it's>x</a><a href="/two" title="it's"><a title=' href="/three">"""
+    assert [u.rsplit("/", 1)[1] for u in urls(E.extract_links(pages_of(spark, apostrophe)))][:2] == ["one", "two"]
+    for open_one in ("<script>", "<!--", "<style>", "<a href='", "<a x="):
+        seconds = []
+        for n in (20_000, 40_000):
+            page = pages_of(spark, '<a href="/first">' + open_one * n)
+            began = time.perf_counter()
+            assert urls(E.extract_links(page))[0].endswith("/first")
+            seconds.append(time.perf_counter() - began)
+        assert seconds[1] < 3 * seconds[0] + 2
+
+
+def test_open_sitemap_elements_are_read_once(spark):
+    for element in ("<url>", "<url><loc>", "<loc>"):
+        body = spark.createDataFrame([("<urlset><url><loc>http://ex.com/a</loc></url>" + element * 40_000,)], "x string")
+        began = time.perf_counter()
+        assert body.select(C.element_texts(F.col("x"), "url").alias("u")).first().u[0] == "http://ex.com/a"
+        assert time.perf_counter() - began < 10

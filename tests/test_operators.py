@@ -65,6 +65,14 @@ def test_first_wins_agrees_with_a_plain_loop(spark):
     assert sorted(map(tuple, D.first_wins_by_set(df).collect())) == first(lambda r: (r[0], r[1], r[2].lower()))
 
 
+def test_a_url_counts_once_whatever_lists_it(spark):
+    rows = [("s", k, u, 0, n, "", 0, n) for n, (k, u) in enumerate([
+        ("page", "http://x/a"), ("url", "http://x/A"), ("js", "http://x/a"), ("form", "http://x/a"), ("form", "http://x/a"),
+        ("url", "http://x/b")])]
+    df = frame(spark, rows, "input string, seen_set string, url string, level int, step int, origin string, pos int, id int")
+    assert sorted(r.id for r in D.first_wins_printed(df).collect()) == [0, 3, 5]
+
+
 def test_first_wins_combines_before_the_shuffle(spark):
     rows = records(random.Random(4), 50)
     df = frame(spark, rows, "input string, seen_set string, url string, level int, step int, origin string, pos int, id int")

@@ -11,11 +11,20 @@ BLACKLISTED_EXTENSIONS = (
 ).split()
 
 # -- well-known sitemap locations -------------------------------------------------------------------------------------
-SITEMAP_PATHS = (
-    "/sitemap.xml /sitemap_news.xml /sitemap_index.xml /sitemap-index.xml /sitemapindex.xml /sitemap-news.xml "
-    "/post-sitemap.xml /page-sitemap.xml /portfolio-sitemap.xml /home_slider-sitemap.xml /category-sitemap.xml "
-    "/author-sitemap.xml"
-).split()
+SITEMAP_PATHS = [
+    "/sitemap.xml",
+    "/sitemap_news.xml",
+    "/sitemap_index.xml",
+    "/sitemap-index.xml",
+    "/sitemapindex.xml",
+    "/sitemap-news.xml",
+    "/post-sitemap.xml",
+    "/page-sitemap.xml",
+    "/portfolio-sitemap.xml",
+    "/home_slider-sitemap.xml",
+    "/category-sitemap.xml",
+    "/author-sitemap.xml",
+]
 
 # -- archives and scanners, in declared order (the order decides which one keeps a shared URL) ------------------------
 PROVIDERS = "wayback commoncrawl otx urlscan virustotal grayhatwarfare shodan censys".split()
@@ -76,14 +85,10 @@ SUMMARY_LABELS = {
 }
 
 # -- provider limits --------------------------------------------------------------------------------------------------
-ROW_CAPS = {"wayback": 100_000, "otx": 5_000, "urlscan": 1_000, "grayhatwarfare": 100, "censys": 100}
-OTX_PAGES = 100
-URLSCAN_PAGES = 10
 URLSCAN_PAGE_SIZE = 100
 CENSYS_PORTS = [80, 443, 8080, 8443]
 CENSYS_TLS_PORTS = [443, 8443]
 FALLBACK_CRAWL_INDEX = "CC-MAIN-2023-23"
-LONG_SCRIPT = 1_000_000
 
 # -- script links: full URLs, rooted and relative paths, path/file.ext, path/name, file.ext -- always in quotes --------
 SCRIPT_LINK = (

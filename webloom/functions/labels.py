@@ -59,8 +59,10 @@ def format_length(length: Column) -> Column:
     return F.concat(F.lit("["), F.format_number(length, 0), F.lit(" bytes]"))
 
 
-def from_tag(origin: Column) -> Column:
-    shown = F.when(F.length(origin) > 50, F.concat(F.left(origin, F.lit(50)), F.lit("..."))).otherwise(origin)
+def from_tag(origin: Column, width: int | None = None) -> Column:
+    """Where a record is from; with ``width``, longer origins are cut and marked."""
+    shown = origin if width is None else F.when(
+        F.length(origin) > width, F.concat(F.left(origin, F.lit(width)), F.lit("..."))).otherwise(origin)
     return F.when(origin != "", F.concat(F.lit("[from: "), shown, F.lit("]")))
 
 

@@ -8,7 +8,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.fixed_values import LONG_SCRIPT, NAME_RESIDUES
+from webloom.fixed_values import NAME_RESIDUES
 from webloom.functions.urls import percent_decode, strip
 
 
@@ -22,12 +22,6 @@ def collapse_newlines(c: Column) -> Column:
     return F.regexp_replace(strip(c), r"[\t\r\n]+", " ")
 
 
-def break_long_script(c: Column) -> Column:
-    """Give a very long one-line script line ends after ``;`` and ``,``."""
-    broken = F.replace(F.replace(c, F.lit(";"), F.lit(";\r\n")), F.lit(","), F.lit(",\r\n"))
-    return F.when(F.length(c) > LONG_SCRIPT, broken).otherwise(c)
-
-
 def clean_name(c: Column) -> Column:
     """Drop percent-code residues in front, hyphens at both ends, and one leading dot of a longer name."""
     bare = F.btrim(F.regexp_replace(c, "(?i)^(?:" + "|".join(NAME_RESIDUES) + ")++", ""), F.lit("-"))
@@ -57,9 +51,12 @@ def unescape_html(c: Column) -> Column:
         name = F.rtrim(ref, F.lit(";"))
         hexed = F.lower(name).startswith("#x")
         digits = F.when(hexed, F.substr(name, F.lit(3))).otherwise(F.substr(name, F.lit(2)))
-        point = F.when(hexed, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("decimal(20,0)")
+        # No code point has more than seven digits; longer references are not converted at all.
+        short = F.ltrim(digits, F.lit("0"))
+        short = F.when(F.length(short).between(1, 7), short).otherwise("0")
+        point = F.when(hexed, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
         valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
-        packed = F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0"))
+        packed = F.unhex(F.lpad(F.hex(point), 8, "0"))
         numeric = F.when(valid, F.decode(packed, "UTF-32")).otherwise("\ufffd")
         glyph = F.when(ref.startswith("#"), numeric).otherwise(F.element_at(names, name))
         return F.when((ref == "") | glyph.isNull(), F.concat(F.lit("&"), piece)).otherwise(

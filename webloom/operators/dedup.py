@@ -39,6 +39,13 @@ def first_wins_by_set(records: DataFrame) -> DataFrame:
     return first_wins(records, [F.col("input"), F.col("seen_set"), F.lower(F.col("url"))], RECORD_ORDER)
 
 
+def first_wins_printed(records: DataFrame) -> DataFrame:
+    """One record per site and URL: a URL that is a page, a link and an archive entry counts once. Forms are a set of
+    their own, since a form's target is usually a page too."""
+    own = F.when(F.col("seen_set") == "form", "form").otherwise("url")
+    return first_wins(records, [F.col("input"), own, F.lower(F.col("url"))], RECORD_ORDER)
+
+
 def provider_rank(provider: Column) -> Column:
     return F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), provider)
 

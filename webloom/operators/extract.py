@@ -13,30 +13,30 @@ from pyspark.sql import functions as F
 
 from webloom.fixed_values import BUCKET_FORMS, SCRIPT_LINK
 from webloom.functions.text import (
-    break_long_script, clean_subdomain, collapse_newlines, decode_chars, regex_quote, unescape_html,
+    clean_subdomain, collapse_newlines, decode_chars, regex_quote, unescape_html,
 )
 from webloom.functions.urls import bare_ext, ensure_scheme, pin, resolve_url, url_ext
 
 # Open tags of interest, as group 1. Comments, and script and style elements with their bodies, are matched whole so that
-# markup inside them is passed over; group 1 is then the script's own open tag, or empty.
-_REST = r"""(?:[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+)?+>"""
+# markup inside them is passed over; group 1 is then the script's own open tag, or empty. One that is never closed ends
+# with the text, so that a page is scanned once whatever it holds. A quote opens a value only right after ``=``.
+_REST = r"""(?:[\s/](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)?+>"""
 _TAG = rf"<(?:a|form|input|script|link){_REST}"
-OPEN_TAG = rf"(?is)(?=({_TAG})|<)(?:<!--.*?-->|<(script|style){_REST}.*?</\2\s*+>|{_TAG})"
+OPEN_TAG = rf"(?is)(?=({_TAG})|<)(?:<!--.*?(?:-->|\z)|<(script|style){_REST}.*?(?:</\2\s*+>|\z)|{_TAG})"
 
-_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+)"""
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
 
 
 def _other_attributes(name: str) -> str:
-    return rf"""(?:[\s/]*+(?!{name}[\s=/>])[^\s"'>/=]++(?:\s*+=\s*+{_VALUE})?+)*+[\s/]*+"""
+    return rf"""(?:[\s/]*+(?!{name}[\s=/>])[^\s>/=]++(?:\s*+=\s*+{_VALUE})?+)*+[\s/]*+"""
 
 
 def attribute_text(tag: Column, name: str) -> Column:
     """Text of an attribute without its quotes; empty when missing. The last of several wins."""
     pattern = rf"(?is)^<[a-z]++(?=[\s/])(?:{_other_attributes(name)}{name}\s*+=\s*+({_VALUE}))++"
     quoted = F.regexp_extract(tag, pattern, 1)
-    return F.when(F.left(quoted, F.lit(1)).isin('"', "'"), F.substr(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(
-        quoted
-    )
+    closed = quoted.rlike(r"""(?s)^(?:"[^"]*+"|'[^']*+')$""")
+    return F.when(closed, F.substr(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -183,7 +183,7 @@ def extract_s3(texts: DataFrame, text: str) -> DataFrame:
 
 def script_link_array(text: Column) -> Column:
     """Quoted links in a script text, line breaks collapsed, in order, each once."""
-    found = F.regexp_extract_all(decode_chars(break_long_script(text)), F.lit(SCRIPT_LINK), F.lit(1))
+    found = F.regexp_extract_all(decode_chars(text), F.lit(SCRIPT_LINK), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, collapse_newlines), lambda s: s != ""))
 
 

@@ -17,7 +17,8 @@ from webloom.operators.filters import checkable
 
 def join_frontier_pages(frontier: DataFrame, captures: DataFrame, by: str = "url") -> DataFrame:
     """The fetch: URLs to visit with their captured response, error statuses dropped."""
-    usable = captures.filter((F.col("status") >= 100) & (F.col("status") < 400))
+    status = F.coalesce("status", F.lit(200))
+    usable = captures.withColumn("status", status).filter((F.col("status") >= 100) & (F.col("status") < 400))
     return frontier.join(usable, by, "inner")
 
 

@@ -82,7 +82,6 @@ def crawl(
     row for each.
     """
     spark = edges.sparkSession
-    limit = max_depth if max_depth > 0 else 999
     has_script_links = "raw" in edges.columns
     edges = written(_complete(edges), "edges")
     if "link_file" not in roots.columns:
@@ -98,7 +97,8 @@ def crawl(
         frontier, known = _levels(spark, folder, [level]), _levels(spark, folder, range(level + 1))
         hop = frontier.withColumnRenamed("url", "from_url").join(edges, "from_url", "inner")
         restart = F.col("kind").isin(RESTART)
-        followed = hop.filter(restart | (~F.col("link_file") & (F.col("depth") < limit)))
+        within = F.col("depth") < max_depth if max_depth > 0 else F.lit(True)
+        followed = hop.filter(restart | (~F.col("link_file") & within))
         if has_script_links:
             targets = _targets(followed, exts)
         else:

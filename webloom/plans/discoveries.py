@@ -165,7 +165,8 @@ def page_discoveries(
         pages = pages.withColumn("level", F.lit(0))
     parse = ~bare_ext(F.col("url")).isin(link_file_exts(exts)) if parse_html is None else parse_html
     scope = F.col("url").contains(F.col("host")) if in_scope is None else in_scope
-    usable = pages.filter((F.col("status") >= 100) & (F.col("status") < 400))
+    status = F.coalesce("status", F.lit(200))
+    usable = pages.withColumn("status", status).filter((F.col("status") >= 100) & (F.col("status") < 400))
     sized = usable.withColumn("length", F.length(html).cast("long"))
     return find_records(page_finds(sized, exts, html, parse, scope), exts, bare_subdomains, with_from)
 

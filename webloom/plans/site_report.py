@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import registered_domain, url_key
-from webloom.operators.dedup import first_wins_by_set
+from webloom.operators.dedup import first_wins_printed
 from webloom.operators.extract import link_file_exts, subdomain_array
 from webloom.operators.joins import join_source_attribution
 from webloom.operators.report import count_by_provider, crawl_summary
@@ -34,6 +34,7 @@ def site_records(
     one ``provider`` as well.
     """
     exts = link_file_exts(exts)
+    captures = captures.withColumn("status", F.coalesce("status", F.lit(200)))
     good = captures.filter((F.col("status") >= 100) & (F.col("status") < 400)).select(
         "url", "html", "status", F.length("html").cast("long").alias("length"),
         registered_domain(F.col("url")).alias("domain"),
@@ -54,8 +55,9 @@ def site_records(
     scope = F.col("url").rlike(include) if include else F.col("url").contains(F.col("host"))
     sourced = sourced.withColumn("searched", scope)
 
-    step, limit = F.col("step"), max_depth if max_depth > 0 else 999
-    read_as_page = F.coalesce(F.col("page_depth") < limit, F.lit(False))
+    step = F.col("step")
+    followed = F.col("page_depth") < max_depth if max_depth > 0 else F.col("page_depth").isNotNull()
+    read_as_page = F.coalesce(followed, F.lit(False))
     wanted = (
         step.isin(PAGE, SCRIPT_LINK)
         | ((step == SUBDOMAIN) & F.col("searched") & (F.col("domain") == F.col("seed_domain")))
@@ -102,7 +104,7 @@ def site_report(
     passive_urls = written(wanted, "passive")
     records = site_records(captures, seeds, sitemap_urls, robots_urls, passive_urls, max_depth, exts, include, exclude)
     counts = count_by_provider(passive_urls, "input")
-    return crawl_summary(first_wins_by_set(records), counts, strict)
+    return crawl_summary(first_wins_printed(records), counts, strict)
 
 
 __all__ = ["site_records", "site_report", "attribute_sources"]

@@ -167,7 +167,7 @@ def report_sql(depth):
     {summary_lines('counted')} union all select input, 6, provider, {S.provider_label('provider')}, count(*) from passive
     group by 1, 3""", EDGES, LISTED, states_sql("select * from all_roots", 1), *report_sql(1),
     f"""winners as (select input, type, url from recs
-      qualify row_number() over (partition by input, seen_set, lower(url) order by step, origin, pos, type) = 1)""",
+      qualify row_number() over (partition by input, seen_set = 'form', lower(url) order by step, origin, pos, type) = 1)""",
     f"counted as (select input, {COUNTS} from winners group by input)"))
 def site_report_(spark, d):
     return site_report(rich_captures(spark, d), domain_seeds(spark, d), *listed(spark, d), max_depth=1)

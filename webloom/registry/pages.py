@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from webloom.fixed_values import SITEMAP_PATHS
 from webloom.functions import labels as L
 from webloom.functions import text as T
 from webloom.functions import urls as U
@@ -85,11 +86,8 @@ def read_sitemap_index(spark, d):
 
 
 @query("sitemap_candidates", S.with_(X.cte("seeds")) + """
-    select 'https://' || site as site, 'https://' || site || '/' || p.path as url, p.pos
-    from seeds cross join (values ('sitemap.xml', 0), ('sitemap_news.xml', 1), ('sitemap_index.xml', 2),
-      ('sitemap-index.xml', 3), ('sitemapindex.xml', 4), ('sitemap-news.xml', 5), ('post-sitemap.xml', 6),
-      ('page-sitemap.xml', 7), ('portfolio-sitemap.xml', 8), ('home_slider-sitemap.xml', 9),
-      ('category-sitemap.xml', 10), ('author-sitemap.xml', 11)) p(path, pos)""")
+    select 'https://' || site as site, 'https://' || site || p.path as url, p.pos
+    from seeds cross join (values """ + ", ".join(f"('{p}', {i})" for i, p in enumerate(SITEMAP_PATHS)) + ") p(path, pos)")
 def sitemap_candidates(spark, d):
     return C.sitemap_candidates(C.read_seeds(X.derived(spark, d, "seeds"), "site"))
 
@@ -482,6 +480,6 @@ def format_length(spark, d):
 
 
 @query("from_tag", over_links(
-    "select page_id, '[from: ' || case when length(url) > 50 then url[1:50] || '...' else url end || ']' as tag from links"))
+    "select page_id, '[from: ' || url || ']' as tag from links"))
 def from_tag(spark, d):
     return page_links(spark, d).select("page_id", L.from_tag(F.col("url")).alias("tag"))

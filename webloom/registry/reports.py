@@ -47,13 +47,13 @@ RAW = {
       where payload ->> p is not null""",
     "otx": """select domain, page_no, part, lpad(cast(k as varchar), 9, '0') as pos, payload ->> p as raw
       from otx o, (values ('$.url_list[0].url', 0), ('$.url_list[1].url', 1)) v(p, k)
-      where page_no < 100 and payload ->> p is not null and not exists (select 1 from otx b where b.domain = o.domain
-        and b.page_no < o.page_no and b.page_no < 100
+      where payload ->> p is not null and not exists (select 1 from otx b where b.domain = o.domain
+        and b.page_no < o.page_no
         and (b.payload ->> '$.has_next' = 'false' or json_array_length(b.payload, '$.url_list') = 0))""",
     "urlscan": """select u.domain, page_no, part, '000000000' as pos, payload ->> '$.results[0].page.url' as raw
       from urlscan u join (select domain, arg_min(cast(payload ->> '$.total' as bigint), part) as total from urlscan
         where page_no = 0 group by 1) t on t.domain = u.domain
-      where page_no < case when total > 100 then least(10, total // 100 + 1) else 1 end""",
+      where page_no < case when total > 100 then total // 100 + 1 else 1 end""",
     "grayhatwarfare": """select domain, page_no, part, lpad(cast(k as varchar), 9, '0') as pos, raw from (
         select *, case when k % 2 = 1 then coalesce(f ->> 'bucket_url', f ->> 'bucket_link') else case
             when starts_with(pth, 'http') or bkt is null then pth
@@ -199,8 +199,8 @@ def bucket_url(spark, d):
 
 
 _OTX_STOP = S.with_(X.cte("otx")) + """
-    select domain, page_no, part from otx o where page_no < 100 and not exists (select 1 from otx b
-      where b.domain = o.domain and b.page_no < o.page_no and b.page_no < 100
+    select domain, page_no, part from otx o where not exists (select 1 from otx b
+      where b.domain = o.domain and b.page_no < o.page_no
         and (b.payload ->> '$.has_next' = 'false' or json_array_length(b.payload, '$.url_list') = 0))"""
 
 
@@ -483,7 +483,7 @@ def format_clean(spark, d):
 
 
 _STANDARD = f"""concat_ws(' ', '[' || {S.source_label('source', 'type')} || ']', '[' || {S.type_label('type')} || ']',
-  '[' || format('{{:,}}', length) || ' bytes]', '[from: ' || case when length(fr) > 50 then fr[1:50] || '...' else fr end || ']',
+  '[' || format('{{:,}}', length) || ' bytes]', '[from: ' || fr || ']',
   url, '[' || status || ']')"""
 
 

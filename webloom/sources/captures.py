@@ -53,11 +53,13 @@ def read_robots(robots: DataFrame, body: str = "body") -> DataFrame:
 
 
 def element_texts(xml: Column, element: str) -> Column:
-    """Text of the first ``loc`` in each ``element`` of an XML text."""
-    blocks = F.regexp_extract_all(xml, F.lit(rf"(?s)<{element}(?:\s[^>]*+)?+>(.*?)</{element}\s*+>"), F.lit(1))
+    """Text of the first ``loc`` in each ``element`` of an XML text. An element that is never closed ends where the next
+    one begins or with the text, and a ``loc`` with its element, so that a text is scanned once."""
+    end = rf"(?:</{element}\s*+>|(?=<{element}[\s>])|\z)"
+    blocks = F.regexp_extract_all(xml, F.lit(rf"(?s)<{element}(?:\s[^>]*+)?+>(.*?){end}"), F.lit(1))
 
     def loc(block: Column) -> Column:
-        text = F.regexp_extract(block, r"(?s)<loc(?:\s[^>]*+)?+>(.*?)</loc\s*+>", 1)
+        text = F.regexp_extract(block, r"(?s)<loc(?:\s[^>]*+)?+>(.*?)(?:</loc\s*+>|\z)", 1)
         literal = F.regexp_extract(text, r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", 1)
         return F.when(literal != "", literal).otherwise(unescape_html(text))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.fixed_values import (
-    FALLBACK_CRAWL_INDEX, OTX_PAGES, PROVIDERS, URLSCAN_PAGES, URLSCAN_PAGE_SIZE,
+    FALLBACK_CRAWL_INDEX, PROVIDERS, URLSCAN_PAGE_SIZE,
 )
 from webloom.functions.labels import bucket_url, certificate_url, service_url
 from webloom.functions.urls import normalize_url
@@ -111,9 +111,12 @@ def virustotal_urls(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     return _raw(rows.withColumn("raw", F.col("item.url")), "virustotal", cap)
 
 
-def otx_page_stop(payloads: DataFrame) -> DataFrame:
-    """Pages that a page-by-page reader would get to: up to the first empty page or the first without a successor."""
-    j = _parsed(payloads, f"url_list ARRAY<{_LINK}>, has_next BOOLEAN").filter(F.col("page_no") < OTX_PAGES)
+def otx_page_stop(payloads: DataFrame, pages: int | None = None) -> DataFrame:
+    """Pages that a page-by-page reader would get to: up to the first empty page or the first without a successor, and
+    no more than ``pages`` if that is given."""
+    j = _parsed(payloads, f"url_list ARRAY<{_LINK}>, has_next BOOLEAN")
+    if pages is not None:
+        j = j.filter(F.col("page_no") < pages)
     empty = F.coalesce(F.size("j.url_list"), F.lit(0)) <= 0
     last = empty | ~F.coalesce("j.has_next", F.lit(False))
     stops = j.filter(last).groupBy("domain").agg(F.min("page_no").alias("stop"))
@@ -126,16 +129,15 @@ def otx_urls(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     return _raw(rows.withColumn("raw", F.col("item.url")), "otx", cap)
 
 
-def urlscan_urls(payloads: DataFrame, cap: int | None = None) -> DataFrame:
-    """Results of page 0 and, when it reports more than a page's worth, of the following pages up to ten."""
+def urlscan_urls(payloads: DataFrame, cap: int | None = None, pages: int | None = None) -> DataFrame:
+    """Results of page 0 and, when it reports more than a page's worth, of the following pages, as many as that makes;
+    no more than ``pages`` if that is given."""
     j = _parsed(payloads, "results ARRAY<STRUCT<page: STRUCT<url: STRING>>>, total BIGINT")
     total = F.min_by(F.coalesce("j.total", F.lit(0)), "part")
     first = j.filter("page_no = 0 AND j.results IS NOT NULL").groupBy("domain").agg(total.alias("total"))
-    pages = F.when(
-        F.col("total") > URLSCAN_PAGE_SIZE,
-        F.least(F.lit(URLSCAN_PAGES), F.floor(F.col("total") / URLSCAN_PAGE_SIZE) + 1),
-    ).otherwise(1)
-    reached = j.join(first, "domain", "inner").filter(F.col("page_no") < pages)
+    count = F.when(F.col("total") > URLSCAN_PAGE_SIZE, F.floor(F.col("total") / URLSCAN_PAGE_SIZE) + 1).otherwise(1)
+    count = count if pages is None else F.least(F.lit(pages), count)
+    reached = j.join(first, "domain", "inner").filter(F.col("page_no") < count)
     rows = reached.select("domain", "part", "page_no", F.posexplode("j.results").alias("pos", "item"))
     return _raw(rows.withColumn("raw", F.col("item.page.url")), "urlscan", cap)
 
@@ -269,7 +271,7 @@ def passive_discoveries(
     """All providers' URLs: first provider wins, extension blacklist, optional query strip and second de-dup.
 
     Exports are read whole. ``caps`` cuts them to a number of rows per provider and domain, as the providers' own
-    answers are: ``fixed_values.ROW_CAPS`` has the usual ones.
+    answers are.
     """
     # the first of all providers is also the first of its own, so one de-duplication does for both
     urls = first_wins_provider(_canonical(provider_rows(payloads, providers, since, until, caps)))
