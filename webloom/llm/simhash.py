@@ -11,7 +11,7 @@ are compared. Shards give a spanning set of links, not all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from itertools import product
 
 import numpy as np
@@ -25,6 +25,10 @@ from webloom.llm.components import connected_components
 BITS = 64
 #: Rows of a shard compared at once.
 STEP = 2_048
+#: Shards of up to so many rows are handled together.
+SMALL = 64
+#: Rows of a bucket of shards, on average.
+BUCKET_ROWS = 20_000
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -136,6 +140,38 @@ def shard_links(fps: np.ndarray, home: np.ndarray, max_bits: int) -> list[tuple[
     return [(values[x], values[y]) for x, y in links]
 
 
+def bucket_links(shard: np.ndarray, fps: np.ndarray, home: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """``shard_links`` for many shards: small ones are compared side by side, neighbour by neighbour, large ones alone."""
+    order = np.argsort(shard, kind="stable")
+    shard, fps, home = shard[order], fps[order], home[order]
+    edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+    size = np.diff(edges)
+    links = []
+    for k in np.flatnonzero(size > SMALL).tolist():
+        links += shard_links(fps[edges[k]:edges[k + 1]], home[edges[k]:edges[k + 1]], max_bits)
+    small = np.repeat(size <= SMALL, size)
+    shard, fps, home = shard[small], fps[small], home[small]
+    parent: dict[int, int] = {}  # by row, so that links of one shard never stand for those of another
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    values = fps.view(np.int64)
+    for step in range(1, SMALL):
+        same = shard[step:] == shard[:-step]
+        if not same.any():
+            break
+        near = same & (np.bitwise_count(fps[step:] ^ fps[:-step]) <= max_bits) & (home[step:] | home[:-step])
+        for i in np.flatnonzero(near).tolist():
+            if (x := root(i)) != (y := root(i + step)):
+                parent[y] = x
+                links.append((int(values[i]), int(values[i + step])))
+    return links
+
+
 def fingerprint_links(fps: DataFrame, fp: str, max_bits: int, blocks: int | None = None, levels: int = 8) -> DataFrame:
     """Links (``a``, ``b``) that connect different fingerprints exactly as all pairs within ``max_bits`` would.
 
@@ -146,19 +182,17 @@ def fingerprint_links(fps: DataFrame, fp: str, max_bits: int, blocks: int | None
     rows = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
     placed = rows.select("fp", F.explode(trees.shards(F.col("fp"))).alias("s")).select("fp", "s.shard", "s.home")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        values = np.concatenate([p["fp"].to_numpy(np.int64) for p in parts]).view(np.uint64)
-        home = np.concatenate([p["home"].to_numpy(bool) for p in parts])
-        if len(values) > 1 and (got := shard_links(values, home, max_bits)):
-            yield pd.DataFrame(got, columns=["a", "b"])
-
-    def whole(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        return next(run(key, iter([p])), pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")}))
+    def linked(p: pd.DataFrame) -> pd.DataFrame:
+        fps = p["fp"].to_numpy(np.int64).view(np.uint64)
+        got = bucket_links(p["shard"].to_numpy(np.int64), fps, p["home"].to_numpy(bool), max_bits)
+        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
     # Shards of one fingerprint have no pair; they are left out before anything goes to Python.
     several = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard")
-    return placed.join(several, "shard", "left_semi").groupBy("shard").applyInPandas(whole, "a bigint, b bigint")
+    # Shards are mostly small; whole shards go together into buckets of bounded average size.
+    buckets = max(1, math.ceil(rows.count() * len(trees.blocks) / BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64("shard"), F.lit(buckets)).alias("bucket")
+    return placed.join(several, "shard", "left_semi").groupBy(bucket).applyInPandas(linked, "a bigint, b bigint")
 
 
 def near_duplicates(
