@@ -20,7 +20,7 @@ from webloom.functions.urls import bare_ext, ensure_scheme, pin, resolve_url, ur
 # Open tags of interest, as group 1. Comments, and script and style elements with their bodies, are matched whole so that
 # markup inside them is passed over; group 1 is then the script's own open tag, or empty. One that is never closed ends
 # with the text, so that a page is scanned once whatever it holds. A quote opens a value only right after ``=``.
-_REST = r"""(?:[\s/](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)?+>"""
+_REST = r"""(?:[\s/](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)?+(?:>|\z)"""
 _TAG = rf"<(?:a|form|input|script|link){_REST}"
 OPEN_TAG = rf"(?is)(?=({_TAG})|<)(?:<!--.*?(?:-->|\z)|<(script|style){_REST}.*?(?:</\2\s*+>|\z)|{_TAG})"
 
@@ -54,7 +54,7 @@ def tag_is(tag: Column, *names: str) -> Column:
 
 def open_tags(html: Column) -> Column:
     """Open tags of a page in order, found in one scan."""
-    return F.filter(F.regexp_extract_all(html, F.lit(OPEN_TAG), F.lit(1)), lambda t: t != "")
+    return F.filter(F.regexp_extract_all(html, F.lit(OPEN_TAG), F.lit(1)), lambda t: t.endswith(">"))
 
 
 def is_form(tag: Column) -> Column:
