@@ -62,7 +62,7 @@ def test_otx_stops_like_a_page_reader(spark):
         "http://ex.com/0", "http://ex.com/1"]
     assert urls(V.read_otx(payloads(spark, (0, page(0)), (1, page(1, items=0)), (2, page(2))))) == ["http://ex.com/0"]
     assert urls(V.read_otx(payloads(spark, (0, page(0)), (1, "broken"), (2, page(2))))) == ["http://ex.com/0"]
-    assert urls(V.read_otx(payloads(spark, (99, page(99)), (100, page(100))))) == ["http://ex.com/100", "http://ex.com/99"]
+    assert urls(V.read_otx(payloads(spark, (99, page(99)), (100, page(100))))) == ["http://ex.com/99", "http://ex.com/100"]
 
 
 def test_urlscan_pages(spark):
