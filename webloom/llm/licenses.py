@@ -5,8 +5,9 @@ hold every passage of that length whole. Bands of MinHash values retrieve templa
 window that holds four fifths of a template is retrieved with probability ``collision()``. Exact containment of
 five-word shingles then verifies each retrieved pair.
 
-Only texts that hold a word which every sufficiently long part of a template must hold are cut into windows; no match
-is lost by that. Equal windows are compared once.
+A window without any shingle of a template cannot contain four fifths of one, so only windows around such a shingle are
+cut; no match is lost by that. They are written once, as they are small beside the texts, and equal windows are compared
+once. Templates are a list for the driver: their different shingles stand in the plan.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import free_name, text_of
+from webloom.llm.common import stored, text_of
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -84,29 +85,33 @@ def find_licenses(df: DataFrame, templates: DataFrame, doc_id: str = "doc_id", t
     t = templates.select("license", words.alias("words")).where(F.size("words") > 0).select(
         "license", F.size("words").alias("length"), shingles_of(F.col("words")).alias("shingles"))
     lengths = sorted({r[0] for r in t.select("length").distinct().collect()})
-    # Every shingle's longest word: a window that holds any shingle of a template holds one of these.
-    longest = F.reduce(F.split(F.col("s"), " "), F.lit(""), lambda a, w: F.when(F.length(w) >= F.length(a), w).otherwise(a))
-    anchors = sorted({r[0] for r in t.select(F.explode("shingles").alias("s")).select(longest).distinct().collect()})
+    listed_shingles = sorted({r[0] for r in t.select(F.explode("shingles")).distinct().collect()})
+    first_words = sorted({s.split(" ")[0] for s in listed_shingles})
     if not lengths:
         return df.select(doc_id, F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("containment"),
                          F.lit(0).cast("bigint").alias("windows")).limit(0)
-    whole = free_name(df, "license_words")
-    docs = df.select(F.col(doc_id).alias("id"), text_of(text).alias("t"))
-    docs = docs.where(F.lower("t").rlike("|".join(anchors))).select("id", words_of(F.col("t")).alias(whole))
-    w = F.col(whole)
+    # One-element explodes: else later filters would take copies of these steps, and cut the words anew at each place.
+    docs = df.select(F.col(doc_id).alias("id"), F.explode(F.array(words_of(text_of(text)))).alias("w"))
+    w, n = F.col("w"), F.size("w")
+    # Places of template shingles. A text of fewer words is one shingle.
+    width = F.least(n, F.lit(SHINGLE))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda p: F.get(w, p).isin(
+        first_words) & F.array_join(F.slice(w, p + 1, F.lit(SHINGLE)), " ").isin(listed_shingles))
+    docs = docs.where(n > 0).withColumn("hits", F.explode(F.array(places))).where(F.size("hits") > 0)
 
     def windows(length: int) -> Column:
         step, size = max(1, length // 2), length + max(1, length // 2)
-        count = F.greatest(F.ceil((F.size(w) - size) / step), F.lit(0)) + 1
-        return F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), lambda i: F.struct(
-            F.lit(length).alias("length"), F.slice(w, (i * step + 1).cast("int"), F.lit(size)).alias("words")))
-
-    cut = docs.select("id", F.explode(F.concat(*[windows(n) for n in lengths])).alias("x")).select("id", "x.*")
-    cut = cut.where(F.exists("words", lambda x: x.isin(anchors)))
+        last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
+        held = F.transform("hits", lambda p: F.sequence(
+            F.greatest(F.ceil((p + width - size) / step), F.lit(0)).cast("int"),
+            F.least(F.floor(p / step).cast("int"), last)))
+        return F.transform(F.array_distinct(F.flatten(held)), lambda i: F.struct(
+            F.lit(length).alias("length"), F.slice(w, i * step + 1, F.lit(size)).alias("words")))
+
+    cut = docs.select("id", F.explode(F.concat(*[windows(k) for k in lengths])).alias("x")).select("id", "x.*")
+    cut = stored(cut, "license_windows")
     # Equal windows are looked up once.
-    cut = cut.withColumn("key", F.xxhash64("length", "words"))
-    kinds = cut.groupBy("length", "words").agg(F.first("key").alias("key"))
-    kinds = kinds.withColumn("shingles", shingles_of(F.col("words")))
+    kinds = cut.select("length", "words").distinct().withColumn("shingles", shingles_of(F.col("words")))
     found = kinds.select("length", "words", "shingles", F.explode(bands_of(F.col("shingles"))).alias("band"))
     listed = t.select("license", "length", F.col("shingles").alias("wanted"), F.explode(bands_of(F.col("shingles"))).alias(
         "band"))
