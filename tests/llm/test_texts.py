@@ -186,3 +186,41 @@ def test_benchmark_slices_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(d, "SLICE_ITEMS", 6)
     cut = {(r.doc_id, x["item"]) for r in find_benchmark(docs, benchmark, keep=["doc_id"]).collect() for x in r["items"]}
     assert whole == cut == {(i, i) for i in range(20)}
+
+
+def test_near_copies_of_repeated_items_in_slices(spark, monkeypatch):
+    import webloom.llm.decontam as d
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10 ** 6)}" for _ in range(40)] for _ in range(6)]
+    texts = base + base + [b[:20] + [f"{x}z" for x in b[20:]] for b in base] + [b[:-3] + ["other"] + b[-2:] for b in base]
+    texts += [["THE", *b] for b in base[:2]] + [["the", *b] for b in base[:2]]
+    items = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = []
+    for b in base:
+        for changed in ([], [37], [20], [2, 37], [1, 38], [18]):
+            near = [x if k not in changed else "new" for k, x in enumerate(b)]
+            docs.append(" ".join([f"a{rng.randrange(99)}" for _ in range(30)] + near + ["end"] * 9))
+    bags = {i: shingles_of(words_of(t)) for i, t in items}
+
+    def plain(doc):
+        s, found = shingles_of(words_of(doc)), set()
+        for i, bag in bags.items():
+            for at in range(max(1, len(s) - len(bag) + 1)):
+                both = sum((Counter(s[at:at + len(bag)]) & Counter(bag)).values())
+                if both >= 0.8 * (2 * len(bag) - both) - 1e-12:
+                    found.add(i)
+        return found
+
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {}
+    for size in (5_000, 7):
+        monkeypatch.setattr(d, "SLICE_ITEMS", size)
+        got[size] = {(r.doc_id, x["item"]): (x["similarity"], x["start"])
+                     for r in find_benchmark(df, benchmark).collect() for x in r["items"]}
+    assert got[7] == got[5_000]
+    want = {(k, i) for k, doc in enumerate(docs) for i in plain(doc)}
+    assert want <= set(got[7]) and len({k for k, _ in want}) == 18
+    assert all(sim >= 0.8 - 1e-12 for sim, _ in got[7].values())
+    assert round(got[7][1, 0][0], 6) == round(33 / 39, 6)

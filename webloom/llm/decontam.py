@@ -5,6 +5,10 @@ an item have similarity 0, so only windows around a shared shingle are fingerpri
 index over blocks of bits: two fingerprints within ``RADIUS`` bits are within ``RADIUS // BLOCKS`` bits on at least one
 block, so no item within the radius is missed. Items found are verified by exact weighted shingle similarity.
 
+A shingle weighs 1 / the number of different item texts of the whole benchmark that hold it; a shingle that the item
+does not hold weighs as much as the item's shingles do on average. So the weights depend neither on the slice nor on how
+often an item is listed. The plain similarity counts where it is higher, so no near copy is lost to the weights.
+
 The benchmark goes to the tasks in slices of bounded size; the documents are read once for each slice and never
 shuffled.
 """
@@ -18,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import free_name, map_texts, text_of
+from webloom.llm.common import free_name, map_texts, stored, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -59,9 +63,13 @@ class BlockIndex:
 
 
 class Benchmark:
-    """A slice of benchmark items, ready to be looked for in texts."""
+    """A slice of benchmark items, ready to be looked for in texts.
+
+    ``texts`` says how many different item texts of the whole benchmark hold a shingle; those of one may be absent.
+    Without it the items are the whole benchmark.
+    """
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], texts: dict[bytes, int] | None = None):
         from xxhash import xxh64_digest
 
         self._digest = xxh64_digest
@@ -79,9 +87,12 @@ class Benchmark:
         for k, c in enumerate(self.counts):
             for s in c:
                 held.setdefault(s, set()).add(k)
-        #: Items that hold a shingle, and its weight: shingles of many items say less.
+        #: Items that hold a shingle, and its weight: shingles of many different texts say less.
         self.held = held
-        self.weight = {s: 1.0 / len(k) for s, k in held.items()}
+        if texts is None:
+            texts = Counter(s for w in {b" ".join(w): w for _, w, _ in long}.values() for s in set(shingles_of(w)))
+        self.weight = {s: 1.0 / texts.get(s, 1) for s in held}
+        self.total = [sum(self.weight[s] * n for s, n in c.items()) for c in self.counts]
         # Every shingle has its longest word as an anchor; a text is looked at only where an anchor stands.
         self.anchors: dict[bytes, set[int]] = {}
         for s in held:
@@ -98,21 +109,25 @@ class Benchmark:
             self.index[m] = (ks, BlockIndex(fps))
 
     def fingerprints(self, shingles: list[bytes], starts: list[int], size: int) -> np.ndarray:
-        """Weighted SimHash of the windows of ``size`` shingles that begin at ``starts``."""
+        """SimHash of the windows of ``size`` shingles that begin at ``starts``.
+
+        Every shingle counts the same here: a similarity of 0.8, weighted or plain, needs three quarters of the item's
+        shingles, and so many lie well within the radius.
+        """
         raw = np.frombuffer(b"".join(self._digest(s) for s in shingles), np.uint8).reshape(-1, 8)
-        weights = np.array([self.weight.get(s, 1.0) for s in shingles])
-        signed = (np.unpackbits(raw, axis=1).astype(np.float64) * 2 - 1) * weights[:, None]
+        signed = np.unpackbits(raw, axis=1).astype(np.float64) * 2 - 1
         total = np.concatenate([np.zeros((1, BITS)), np.cumsum(signed, axis=0)])
         starts = np.array(starts)
         bits = total[np.minimum(starts + size, len(shingles))] - total[starts] > 1e-9
         return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
     def similarity(self, window: list[bytes], item: int) -> float:
-        """Weighted Jaccard similarity of the two bags of shingles."""
-        ours, theirs, weight = Counter(window), self.counts[item], self.weight
-        both = sum(weight[s] * min(n, theirs[s]) for s, n in ours.items() if s in theirs)
-        total = sum(weight.get(s, 1.0) * n for s, n in ours.items()) + sum(weight[s] * n for s, n in theirs.items())
-        return both / (total - both)
+        """Jaccard similarity of the two bags of shingles: weighted or plain, whichever is higher."""
+        theirs, weight, size, total = self.counts[item], self.weight, self.size[item], self.total[item]
+        shared = [(s, min(n, theirs[s])) for s, n in Counter(window).items() if s in theirs]
+        count, both = sum(n for _, n in shared), sum(weight[s] * n for s, n in shared)
+        other = len(window) - count
+        return max(count / (size + other), both / (total + other * total / size))
 
     def find(self, text: str) -> list[dict]:
         """Items in a text: each once, with the highest similarity of a window and the first such window's word."""
@@ -130,8 +145,6 @@ class Benchmark:
         best: dict[int, tuple[float, int]] = {}
         by_size: dict[int, set[int]] = {}
         for k, places in shared.items():
-            # Fewer shared places than the similarity needs cannot be enough, whatever their weights are: weights of
-            # an item's own shingles are at most 1, those of others are 1.
             size = self.size[k]
             for p in places:
                 by_size.setdefault(size, set()).update(range(max(0, p - size + 1), min(p, max(0, n - size)) + 1))
@@ -163,30 +176,48 @@ def runs(places: list[int], at_most: int = 4_096) -> list[list[int]]:
     return out
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple]]:
-    """The items in slices that each fit the bounds, collected one after the other; empty items are left out."""
+def _slices(benchmark: DataFrame, item_id: str, text: str) -> list[tuple[list[tuple], dict[bytes, int] | None]]:
+    """The items in slices that each fit the bounds, collected one after the other; empty items are left out.
+
+    With each slice goes how many different texts of the whole benchmark hold its shingles, where these are several; a
+    single slice needs no such counts.
+    """
     items = benchmark.select(F.col(item_id).alias("i"), text_of(text).alias("t")).where("length(trim(t)) > 0")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()
     count = max(1, math.ceil(size["n"] / SLICE_ITEMS), math.ceil(size["c"] / SLICE_CHARS))
-    part = F.pmod(F.xxhash64("t", "i"), F.lit(count))
-    return [[tuple(r) for r in items.where(part == k).collect()] for k in range(count)]
+    if count == 1:
+        return [([tuple(r) for r in items.collect()], None)]
+    items = items.withColumn("k", F.pmod(F.xxhash64("t", "i"), F.lit(count)))
+    words = map_texts(items, "t", [("w", "string")], lambda: lambda ts: [(b" ".join(words_of(t)).decode(),) for t in ts])
+    shingles = stored(map_texts(
+        words.groupBy("w").agg(F.collect_set("k").alias("ks")), "w", [("s", "array<binary>")],
+        lambda: lambda ts: [(list(set(shingles_of(words_of(t)))),) for t in ts], ["ks"],
+    ).select("ks", F.explode("s").alias("s")), "benchmark_shingles")
+    several = stored(shingles.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "benchmark_counts")
+
+    def part(k: int) -> tuple[list[tuple], dict[bytes, int]]:
+        own = shingles.where(F.array_contains("ks", k)).select("s").distinct()
+        texts = {bytes(r["s"]): r["n"] for r in several.join(own, "s", "left_semi").collect()}
+        return [tuple(r) for r in items.where(F.col("k") == k).select("i", "t").collect()], texts
+
+    return [part(k) for k in range(count)]
 
 
 def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                    item_text: str = "text", found: str = "items", keep: list[str] | None = None) -> DataFrame:
     """Append an array of (item, similarity, start) for each whole text: all benchmark items that a window of the text
-    matches with weighted similarity of at least 0.8 on five-word shingles.
+    matches with weighted or plain similarity of at least 0.8 on five-word shingles.
 
     Null texts and items count as empty and match nothing. An item of fewer than five words matches only a text that
     consists of it. Repeated items are all reported. With an empty benchmark every array is empty.
     """
     kind = benchmark.schema[item_id].dataType.simpleString()
     arrays = []
-    for k, items in enumerate(_slices(benchmark, item_id, item_text)):
-        sent = df.sparkSession.sparkContext.broadcast(items)
+    for k, part in enumerate(_slices(benchmark, item_id, item_text)):
+        sent = df.sparkSession.sparkContext.broadcast(part)
 
         def make(sent=sent):
-            return lambda texts, b=Benchmark(sent.value): [(b.find(t),) for t in texts]
+            return lambda texts, b=Benchmark(*sent.value): [(b.find(t),) for t in texts]
 
         arrays.append(free_name(df, f"{found}_{k}"))
         df = map_texts(df, text, [(arrays[-1], f"array<struct<item:{kind},similarity:double,start:bigint>>")], make,
