@@ -224,3 +224,19 @@ def test_near_copies_of_repeated_items_in_slices(spark, monkeypatch):
     assert want <= set(got[7]) and len({k for k, _ in want}) == 18
     assert all(sim >= 0.8 - 1e-12 for sim, _ in got[7].values())
     assert round(got[7][1, 0][0], 6) == round(33 / 39, 6)
+
+
+def test_one_benchmark_slice_at_a_time(spark, monkeypatch):
+    import webloom.llm.decontam as d
+
+    items = [(i, f"alpha{i} beta gamma delta epsilon zeta{i}") for i in range(20)]
+    rows = [(i or None, f"so {items[i][1]} and {items[19 - i][1]}", "x") for i in range(10)] * 2 + [(50, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row_key string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(str, ((r.doc_id, r.text, r.row_key, sorted(r["items"])) for r in find_benchmark(docs, benchmark).collect())))
+    monkeypatch.setattr(d, "SLICE_ITEMS", 6)
+    out = find_benchmark(docs, benchmark)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()  # every slice has been run and let go
+    got = sorted(map(str, ((r.doc_id, r.text, r.row_key, sorted(r["items"])) for r in out.collect())))
+    assert got == want and len(got) == 21 and out.columns == [*docs.columns, "items"]
+    assert [r.doc_id for r in drop_contaminated(docs, benchmark).collect()] == [50]

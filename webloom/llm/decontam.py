@@ -9,20 +9,24 @@ A shingle weighs 1 / the number of different item texts of the whole benchmark t
 does not hold weighs as much as the item's shingles do on average. So the weights depend neither on the slice nor on how
 often an item is listed. The plain similarity counts where it is higher, so no near copy is lost to the weights.
 
-The benchmark goes to the tasks in slices of bounded size; the documents are read once for each slice and never
-shuffled.
+The benchmark goes to the tasks in slices of bounded size, one after the other: a slice is collected, sent, looked for
+and let go before the next one, and what it finds is written. With a single slice the documents are read once and never
+shuffled; with several they are written once, read once for each slice, and joined with what was found.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import free_name, map_texts, stored, text_of
+from webloom.llm.common import free_name, map_texts, stored, stored_with_key, text_of
+from webloom.plans.checkpoints import fresh_path
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -176,8 +180,10 @@ def runs(places: list[int], at_most: int = 4_096) -> list[list[int]]:
     return out
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str) -> list[tuple[list[tuple], dict[bytes, int] | None]]:
-    """The items in slices that each fit the bounds, collected one after the other; empty items are left out.
+def _slices(benchmark: DataFrame, item_id: str, text: str
+            ) -> tuple[int, Callable[[int], tuple[list[tuple], dict[bytes, int] | None]]]:
+    """How many slices that each fit the bounds the items make, and a function that collects one; empty items are left
+    out.
 
     With each slice goes how many different texts of the whole benchmark hold its shingles, where these are several; a
     single slice needs no such counts.
@@ -186,7 +192,7 @@ def _slices(benchmark: DataFrame, item_id: str, text: str) -> list[tuple[list[tu
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()
     count = max(1, math.ceil(size["n"] / SLICE_ITEMS), math.ceil(size["c"] / SLICE_CHARS))
     if count == 1:
-        return [([tuple(r) for r in items.collect()], None)]
+        return 1, lambda k: ([tuple(r) for r in items.collect()], None)
     items = items.withColumn("k", F.pmod(F.xxhash64("t", "i"), F.lit(count)))
     words = map_texts(items, "t", [("w", "string")], lambda: lambda ts: [(b" ".join(words_of(t)).decode(),) for t in ts])
     shingles = stored(map_texts(
@@ -200,7 +206,7 @@ def _slices(benchmark: DataFrame, item_id: str, text: str) -> list[tuple[list[tu
         texts = {bytes(r["s"]): r["n"] for r in several.join(own, "s", "left_semi").collect()}
         return [tuple(r) for r in items.where(F.col("k") == k).select("i", "t").collect()], texts
 
-    return [part(k) for k in range(count)]
+    return count, part
 
 
 def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
@@ -211,18 +217,33 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item
     Null texts and items count as empty and match nothing. An item of fewer than five words matches only a text that
     consists of it. Repeated items are all reported. With an empty benchmark every array is empty.
     """
-    kind = benchmark.schema[item_id].dataType.simpleString()
-    arrays = []
-    for k, part in enumerate(_slices(benchmark, item_id, item_text)):
-        sent = df.sparkSession.sparkContext.broadcast(part)
+    kind = f"array<struct<item:{benchmark.schema[item_id].dataType.simpleString()},similarity:double,start:bigint>>"
+    count, part = _slices(benchmark, item_id, item_text)
+    columns = keep or [c for c in df.columns if c != found]
 
-        def make(sent=sent):
+    def look(rows: DataFrame, k: int, name: str, along: list[str]) -> tuple[DataFrame, Broadcast]:
+        sent = df.sparkSession.sparkContext.broadcast(part(k))
+
+        def make():
             return lambda texts, b=Benchmark(*sent.value): [(b.find(t),) for t in texts]
 
-        arrays.append(free_name(df, f"{found}_{k}"))
-        df = map_texts(df, text, [(arrays[-1], f"array<struct<item:{kind},similarity:double,start:bigint>>")], make,
-                       None if keep is None else [*keep, *([text] if text not in keep else []), *arrays[:-1]])
-    return df.withColumn(found, F.concat(*arrays)).select(*(keep or [c for c in df.columns if c not in arrays]), found)
+        return map_texts(rows, text, [(name, kind)], make, along), sent
+
+    if count == 1:
+        name = free_name(df, "benchmark_found")
+        return look(df, 0, name, columns)[0].select(*columns, F.col(name).alias(found))
+    key, hit = free_name(df, "row_key"), free_name(df, "benchmark_hit")
+    rows = stored_with_key(df.select(*columns, *([] if text in columns else [text])), "documents", key)
+    path = fresh_path(df.sparkSession, "benchmark_hits")
+    for k in range(count):
+        hits, sent = look(rows, k, hit, [key])
+        hits = hits.select(key, F.explode(hit).alias(hit))
+        hits.write.mode("append").parquet(path)
+        sent.destroy()
+    hits = df.sparkSession.read.schema(hits.schema).parquet(path)
+    hits = hits.groupBy(key).agg(F.sort_array(F.collect_list(hit)).alias(hit))
+    return rows.join(hits, key, "left").select(
+        *columns, F.coalesce(F.col(hit), F.array().cast(kind)).alias(found))
 
 
 def contaminated_pairs(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
