@@ -240,3 +240,29 @@ def test_one_benchmark_slice_at_a_time(spark, monkeypatch):
     got = sorted(map(str, ((r.doc_id, r.text, r.row_key, sorted(r["items"])) for r in out.collect())))
     assert got == want and len(got) == 21 and out.columns == [*docs.columns, "items"]
     assert [r.doc_id for r in drop_contaminated(docs, benchmark).collect()] == [50]
+
+
+def test_short_items_inside_texts():
+    items = [(0, "one two"), (1, "One\tTWO"), (2, "three"), (3, "b c d e"), (4, "one two three four five")]
+    bench = Benchmark(items, short_inside=True)
+
+    def found(text):
+        return sorted((x["item"], x["similarity"], x["start"]) for x in bench.find(text))
+
+    assert found("so ONE two\nand one two x") == [(0, 1.0, 1), (1, 1.0, 1)]
+    assert found("one two") == [(0, 1.0, 0), (1, 1.0, 0)] and found("one x two") == found("") == found("a b c d") == []
+    assert found("one two three four five") == [(0, 1.0, 0), (1, 1.0, 0), (2, 1.0, 2), (4, 1.0, 0)]
+    assert found("a b c d e") == [(3, 1.0, 1)] and Benchmark(items).find("so one two and one two x") == []
+
+
+def test_query_finds_short_items_inside_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "so one two and more words"), (2, "one or two and more words")],
+                                 "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "One two")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = entry.queries()["op10_decontamination"](spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.item_id, r.start_word) for r in rows] == [(1, 7, 1)]
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [2]

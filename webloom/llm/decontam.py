@@ -70,19 +70,26 @@ class Benchmark:
     """A slice of benchmark items, ready to be looked for in texts.
 
     ``texts`` says how many different item texts of the whole benchmark hold a shingle; those of one may be absent.
-    Without it the items are the whole benchmark.
+    Without it the items are the whole benchmark. With ``short_inside`` items of fewer words than a shingle are looked
+    for inside texts, too.
     """
 
-    def __init__(self, items: list[tuple], texts: dict[bytes, int] | None = None):
+    def __init__(self, items: list[tuple], texts: dict[bytes, int] | None = None, short_inside: bool = False):
         from xxhash import xxh64_digest
 
         self._digest = xxh64_digest
         words = [(i, words_of(t or "")) for i, t in items]
-        #: Items of fewer words than a shingle: only a text that is nothing else matches.
+        #: Items of fewer words than a shingle: one shingle each, found exactly.
         self.short: dict[bytes, list] = {}
         for i, w in words:
             if 0 < len(w) < SHINGLE:
                 self.short.setdefault(b" ".join(w), []).append(i)
+        self.short_inside = short_inside
+        #: Numbers of words of the short items by their first word.
+        self.short_sizes: dict[bytes, set[int]] = {}
+        for t in self.short:
+            w = t.split(b" ")
+            self.short_sizes.setdefault(w[0], set()).add(len(w))
         long = [(i, w, shingles_of(w)) for i, w in words if len(w) >= SHINGLE]
         self.ids = [i for i, _, _ in long]
         self.counts = [Counter(s) for _, _, s in long]
@@ -136,7 +143,10 @@ class Benchmark:
     def find(self, text: str) -> list[dict]:
         """Items in a text: each once, with the highest similarity of a window and the first such window's word."""
         words = words_of(text)
+        short = self.find_short(words) if self.short_inside and self.short else []
         if len(words) < SHINGLE:
+            if self.short_inside:
+                return short
             same = self.short.get(b" ".join(words), []) if words else []
             return [{"item": i, "similarity": 1.0, "start": 0} for i in same]
         anchors, held, n = self.anchors, self.held, len(words) - SHINGLE + 1
@@ -166,7 +176,16 @@ class Benchmark:
                         sim = self.similarity(shingles[s - first:s - first + size], k)
                         if sim >= SIMILARITY - 1e-12 and (k not in best or (-sim, s) < (-best[k][0], best[k][1])):
                             best[k] = (sim, s)
-        return [{"item": self.ids[k], "similarity": sim, "start": s} for k, (sim, s) in sorted(best.items())]
+        return [{"item": self.ids[k], "similarity": sim, "start": s} for k, (sim, s) in sorted(best.items())] + short
+
+    def find_short(self, words: list[bytes]) -> list[dict]:
+        """Short items anywhere in a text, with the first place of each."""
+        first: dict[bytes, int] = {}
+        for at in [i for i, w in enumerate(words) if w in self.short_sizes]:
+            for n in self.short_sizes[words[at]]:
+                if (t := b" ".join(words[at:at + n])) in self.short:
+                    first.setdefault(t, at)
+        return [{"item": i, "similarity": 1.0, "start": at} for t, at in first.items() for i in self.short[t]]
 
 
 def runs(places: list[int], at_most: int = 4_096) -> list[list[int]]:
@@ -210,12 +229,13 @@ def _slices(benchmark: DataFrame, item_id: str, text: str
 
 
 def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-                   item_text: str = "text", found: str = "items", keep: list[str] | None = None) -> DataFrame:
+                   item_text: str = "text", found: str = "items", keep: list[str] | None = None,
+                   short_inside: bool = False) -> DataFrame:
     """Append an array of (item, similarity, start) for each whole text: all benchmark items that a window of the text
     matches with weighted or plain similarity of at least 0.8 on five-word shingles.
 
     Null texts and items count as empty and match nothing. An item of fewer than five words matches only a text that
-    consists of it. Repeated items are all reported. With an empty benchmark every array is empty.
+    consists of it, or with ``short_inside`` any text that holds its words one after the other. Repeated items are all reported. With an empty benchmark every array is empty.
     """
     kind = f"array<struct<item:{benchmark.schema[item_id].dataType.simpleString()},similarity:double,start:bigint>>"
     count, part = _slices(benchmark, item_id, item_text)
@@ -225,7 +245,7 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text: str = "text", item
         sent = df.sparkSession.sparkContext.broadcast(part(k))
 
         def make():
-            return lambda texts, b=Benchmark(*sent.value): [(b.find(t),) for t in texts]
+            return lambda texts, b=Benchmark(*sent.value, short_inside): [(b.find(t),) for t in texts]
 
         return map_texts(rows, text, [(name, kind)], make, along), sent
 
