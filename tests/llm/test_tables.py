@@ -1,6 +1,7 @@
 """Operators on whole tables: groups, joins, learned models, the pipeline."""
 
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -14,10 +15,10 @@ from conftest import DATA
 from webloom.llm.chat import format_chats, read_chats
 from webloom.llm.components import connected_components
 from webloom.llm.licenses import collision, find_licenses, template_table
-from webloom.llm.quality import classify_quality
+from webloom.llm.quality import classify_quality, labelled
 from webloom.llm.registry import RULES, SQL
 from webloom.llm.simhash import drop_near_duplicates, fingerprint_links, near_duplicates
-from webloom.llm.toxicity import Grammar, classify_toxicity, drop_toxic
+from webloom.llm.toxicity import Grammar, classify_toxicity, drop_toxic, term_counts
 from webloom.llm.urlrules import judge_urls, rule_table
 
 
@@ -200,3 +201,22 @@ def test_pipeline_on_whole_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert 0 < out.count() < docs.count() and out.select("doc_id").distinct().count() == out.count()
     assert out.columns == [*[c for c in docs.columns if c != "text"], "ids"]
+
+
+def test_splits_without_rows(spark):
+    """Counting and fitting where most splits hold no row, and texts hold no letter."""
+    rows = [(1, "you idiot", 1), (2, "a house", 0), (3, "12 !", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int").repartition(8)
+    labels = df.select("doc_id", F.col("label").alias("toxic"), F.col("label").alias("quality"))
+    assert {r.doc_id for r in classify_toxicity(df, labels).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in classify_quality(df, labels).collect()} == {1, 2, 3}
+    assert term_counts(df.where("doc_id = 3")).count() == 0
+    assert {r.term: (r.toxic, r.clean) for r in term_counts(df).collect()}["idiot"] == (1, 0)
+    assert classify_toxicity(df.limit(0), labels).count() == classify_quality(df.limit(0), labels).count() == 0
+
+
+def test_sample_holds_one_text_of_an_id(spark):
+    df = spark.createDataFrame([(1, f"t{i}") for i in range(50)] + [(2, "x"), (2, "x")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id bigint, quality int")
+    got = {(r.id, r.text, r.label) for r in labelled(df, labels, "quality", 10).collect()}
+    assert got == {t for t in [(1, "t0", 1), (2, "x", 0)] if zlib.crc32(str(t[0]).encode()) % 5}

@@ -42,7 +42,8 @@ def labelled(df: DataFrame, labels: DataFrame, label: str, sample: int, doc_id:
     """``text`` and ``label`` (0 or 1) of at most ``sample`` labelled documents that are not held out.
 
     The ids are chosen by hash order; at most ``sample`` of them are broadcast. An id with several labels counts as 1 if
-    any is 1. Rows without id or label are left out.
+    any is 1. An id with several texts gives the least of them, so that the bound holds for texts, too; the least is
+    found in each task before anything is shuffled. Rows without id or label are left out.
     """
     chosen = (
         labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
@@ -51,7 +52,8 @@ def labelled(df: DataFrame, labels: DataFrame, label: str, sample: int, doc_id:
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
     rows = df.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
-    return rows.join(F.broadcast(chosen), "id").select("id", "text", "label")
+    return rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select(
+        "id", "text", "label")
 
 
 class Terms:
@@ -133,7 +135,8 @@ def fit_quality(df: DataFrame, labels: DataFrame, label: str = "quality", sample
                 model.learn(b, y, share[y])
         w = model.weights()
         at = np.flatnonzero(w)
-        yield pd.DataFrame({"bucket": at, "weight": w[at]})
+        if len(at):
+            yield pd.DataFrame({"bucket": at, "weight": w[at]})
 
     order = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(7), "id"), "id", "text")
     weights = np.zeros(size + 1)

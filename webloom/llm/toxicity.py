@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,8 +163,9 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
         def flushed() -> pd.DataFrame:
             terms = list(both[0].keys() | both[1].keys())
-            out = pd.DataFrame({"term": terms, "toxic": [both[1][t] for t in terms],
-                                "clean": [both[0][t] for t in terms]})
+            out = pd.DataFrame({"term": pd.Series(terms, dtype=object),
+                                "toxic": np.array([both[1][t] for t in terms], np.int64),
+                                "clean": np.array([both[0][t] for t in terms], np.int64)})
             both[0].clear()
             both[1].clear()
             return out
@@ -173,7 +175,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 both[label > 0].update(terms_of(text))
                 if len(both[0]) + len(both[1]) > 500_000:
                     yield flushed()
-        yield flushed()
+        if both[0] or both[1]:  # a split without rows, or with texts without words, gives no frame at all
+            yield flushed()
 
     return rows.mapInPandas(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
