@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm.bpe import bpe_round_trip
+from webloom.llm.bytebpe import build_vocabulary, round_trip
 from webloom.llm.chat import format_chats, read_chats
 from webloom.llm.decontam import contaminated_pairs
 from webloom.llm.fertility import quality_rules
@@ -18,6 +19,7 @@ from webloom.llm.toxicity import classify_toxicity
 from webloom.llm.urlrules import judge_urls, rule_table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 # The rules of the URL query.
 RULES = [
@@ -91,9 +93,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                               short_inside=True)
 
 
+def op12_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), build_vocabulary(RANKS, public_tokenizers.PATTERN), keep=["doc_id"])
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_licenses, op3_bpe, op4_quality_rules, op5_chat, op6_url_rules, op7_toxicity, op8_simhash, op9_quality,
-    op10_decontamination)}
+    op10_decontamination, op12_bytebpe)}
 
 _VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES)
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
