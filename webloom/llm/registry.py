@@ -12,6 +12,7 @@ from webloom.llm.chat import format_chats, read_chats
 from webloom.llm.decontam import contaminated_pairs
 from webloom.llm.fertility import quality_rules
 from webloom.llm.licenses import TEMPLATES, find_licenses, template_table
+from webloom.llm.negatives import hard_negatives
 from webloom.llm.pii import BASE, find_pii, spans_text
 from webloom.llm.quality import classify_quality
 from webloom.llm.simhash import near_duplicates
@@ -97,9 +98,15 @@ def op12_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), build_vocabulary(RANKS, public_tokenizers.PATTERN), keep=["doc_id"])
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_licenses, op3_bpe, op4_quality_rules, op5_chat, op6_url_rules, op7_toxicity, op8_simhash, op9_quality,
-    op10_decontamination, op12_bytebpe)}
+    op10_decontamination, op12_bytebpe, op13_negatives)}
 
 _VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES)
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
@@ -146,4 +153,20 @@ judged as (select page_id, host, path,
     (select max({{'n': length(h || p), 'm': length(h), 'b': v = 'block', 'r': h || p, 'v': v}}) from rules
      where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as best from parts)
 select page_id, host, path, best.r as rule, coalesce(best.v, 'allow') as verdict from judged""",
+    "op13_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+    from embeddings where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+        cast(list_dot_product(a.q, b.q) as bigint) as score
+    from v a, v b where a.vec_id % 100 = 0 and b.vec_id <> a.vec_id),
+positives as (select * from scores where same
+    qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+pairs as (select anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+        row_number() over (partition by anchor_id, p.id order by n.score desc, n.id) as rank
+    from positives p join scores n using (anchor_id)
+    where not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from pairs where rank <= 10""",
 }
