@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.llm.alignment import align
 from webloom.llm.bpe import bpe_round_trip
 from webloom.llm.bytebpe import build_vocabulary, round_trip
 from webloom.llm.chat import format_chats, read_chats
@@ -94,6 +95,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                               short_inside=True)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY, keep=["doc_id"])[0]
+
+
 def op12_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), build_vocabulary(RANKS, public_tokenizers.PATTERN), keep=["doc_id"])
 
@@ -106,7 +111,7 @@ def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_licenses, op3_bpe, op4_quality_rules, op5_chat, op6_url_rules, op7_toxicity, op8_simhash, op9_quality,
-    op10_decontamination, op12_bytebpe, op13_negatives)}
+    op10_decontamination, op11_alignment, op12_bytebpe, op13_negatives)}
 
 _VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES)
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
