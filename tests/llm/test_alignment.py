@@ -86,7 +86,7 @@ def test_words_are_encoded_alike_alone_and_in_texts():
     aligner = load_aligner(BYTE_VOCABULARY, PIECE_VOCABULARY)
     assert aligner.b.by_word
     for text in texts(2, 400)[1:]:
-        words = aligner.words(text)
+        words = aligner.split(text)
         assert "".join(words) == " " + text
         assert [t for b in aligner.b.encode(words) for t in b] == aligner.b.encode([" " + text])[0]
 

@@ -18,10 +18,10 @@ Everything that travels with a chunk is bounded by the chunk; everything broadca
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,11 @@ from pyspark.sql import types as T
 from webloom.llm.bpe import ByteBpe, split_words
 from webloom.llm.common import stored, text_of
 
-#: Words kept in a worker's cache; beyond it the cache starts anew.
-CACHE_WORDS = 120_000
-#: Longer words are not cached.
-CACHE_CHARS = 48
+#: Words, and characters of their groups, kept in a worker's table; beyond it the table starts anew.
+CACHE_WORDS = 250_000
+CACHE_CHARS = 40_000_000
+#: Groups with more links are multiplied out by how often they hold each id.
+LONG_GROUP = 256
 #: A chunk has at most so many documents, and ends with the document that brings it to so many bytes.
 CHUNK_ROWS, CHUNK_BYTES = 2_000, 4_000_000
 
@@ -73,71 +74,143 @@ class Pieces:
         return self.model.encode(texts, num_threads=1) if texts else []
 
 
-class Word:
-    """What a word adds to its document: numbers of tokens, groups and links, the groups' text, and its linked pairs."""
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches, given their ends."""
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[ends] - total[np.concatenate([[0], ends[:-1]])]
+
+
+def _inside(counts: np.ndarray) -> np.ndarray:
+    """0, 1, 2, … within each of consecutive stretches of these lengths."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class Rows:
+    """Sparse rows: one after the other, values with their numbers of links."""
+
+    def __init__(self, ends: np.ndarray, values: np.ndarray, links: np.ndarray):
+        self.ends, self.values, self.links = ends, values, links
+
+    @classmethod
+    def of(cls, keys: np.ndarray, size: int, rows: int, weight: np.ndarray | None = None) -> Rows:
+        """From keys ``row * size + value``, each standing for one link (or ``weight``)."""
+        keys, back = np.unique(keys, return_inverse=True)
+        links = np.zeros(len(keys), np.int64)
+        np.add.at(links, back, 1 if weight is None else weight)
+        return cls(np.searchsorted(keys, np.arange(1, rows + 1) * size), keys % size, links)
+
+    def __add__(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.ends, other.ends + len(self.values)]),
+                    np.concatenate([self.values, other.values]), np.concatenate([self.links, other.links]))
 
-    __slots__ = ("figures", "groups", "same", "same_links", "pairs", "pair_links")
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
 
-    def __init__(self, figures, groups, same, pairs):
-        self.figures, self.groups = figures, groups
-        self.same = np.fromiter(same.keys(), np.int64, len(same))
-        self.same_links = np.fromiter(same.values(), np.int64, len(same))
-        self.pairs = np.fromiter(pairs.keys(), np.int64, len(pairs))
-        self.pair_links = np.fromiter(pairs.values(), np.int64, len(pairs))
+    def take(self, rows: np.ndarray) -> tuple[Rows, np.ndarray]:
+        """Some rows, and their lengths."""
+        starts = self.starts()[rows]
+        length = self.ends[rows] - starts
+        at = np.repeat(starts, length) + _inside(length)
+        return Rows(np.cumsum(length), self.values[at], self.links[at]), length
+
+
+class Words:
+    """Aligned words, one after the other: numbers of tokens, groups and links, the groups' text, the linked pairs.
+
+    ``same`` are links between tokens of the same bytes, by the id of the first; ``pairs`` are all others. A word that
+    the tokens do not spell is ``bad``.
+    """
+
+    def __init__(self):
+        none = np.zeros(0, np.int64)
+        self.place: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.characters = 0
+        self.figures, self.bad = np.zeros((0, 4), np.int64), np.zeros(0, bool)
+        self.same = self.pairs = Rows(none, none, none)
 
 
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = ByteBpe(byte_path), Pieces(piece_path)
         self.same = np.array([self.b.id_of.get(t, -1) for t in self.a.bytes_of], np.int64)
-        self.cache: dict[str, Word | None] = {}
+        self.length_a, self.length_b = (np.array([len(t) for t in x.bytes_of], np.int64) for x in (self.a, self.b))
+        self.words = Words()
 
-    def words(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
         return WORD.findall(" " + text) if self.b.by_word else [" " + text]
 
-    def learn(self, words: list[str]) -> None:
-        """Align words that the cache lacks."""
-        split = [split_words(w) for w in words]
-        different = list(set().union(*split)) if split else []
+    def known(self, words: set[str]) -> Words:
+        """The table of words, with all of ``words`` in it."""
+        if len(self.words.groups) > CACHE_WORDS or self.words.characters > CACHE_CHARS:
+            self.words = Words()
+        if new := [w for w in words if w not in self.words.place]:
+            self._learn(new)
+        return self.words
+
+    def _learn(self, words: list[str]) -> None:
+        parts = [split_words(w) for w in words]
+        different = list(set().union(*parts))
         tokens = dict(zip(different, self.a.encode_words(different)))
-        for word, parts, b in zip(words, split, self.b.encode(words)):
-            self.cache[word] = self.align(word, [t for p in parts for t in tokens[p]], b)
-
-    def align(self, word: str, a: list[int], b: list[int]) -> Word | None:
-        """Groups and links of a word; None if the tokens do not spell it."""
-        bytes_a, bytes_b = self.a.bytes_of, self.b.bytes_of
-        raw = word.encode()
-        if b"".join([bytes_b[t] for t in b]) != raw or b"".join([bytes_a[t] for t in a]) != raw:
-            return None
-        same, pairs, groups, links = Counter(), Counter(), [], 0
-        to = self.same
-        i = j = 0
-        while i < len(a):
-            start_a, start_b = i, j
-            end_a, end_b = len(bytes_a[a[i]]), len(bytes_b[b[j]])
-            i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a += len(bytes_a[a[i]])
-                    i += 1
-                else:
-                    end_b += len(bytes_b[b[j]])
-                    j += 1
-            links += (i - start_a) * (j - start_b)
-            if i - start_a == j - start_b == 1 and to[a[start_a]] == b[start_b]:  # one to one, same bytes
-                same[a[start_a]] += 1
-                groups.append(f"{a[start_a]}|{b[start_b]}")
-                continue
-            mine, theirs = a[start_a:i], b[start_b:j]
-            groups.append(",".join(map(str, mine)) + "|" + ",".join(map(str, theirs)))
-            their_counts = Counter(theirs)
-            for x, n in Counter(mine).items():
-                for y, m in their_counts.items():
-                    if to[x] == y:
-                        same[x] += n * m
-                    else:
-                        pairs[x << 32 | y] += n * m
-        return Word((len(a), len(b), len(groups), links), ";".join(groups), same, pairs)
+        of_a = [list(chain.from_iterable(map(tokens.__getitem__, p))) for p in parts]
+        of_b = self.b.encode(words)
+        spell_a, spell_b = self.a.bytes_of, self.b.bytes_of
+        bad = np.array([b"".join(map(spell_b.__getitem__, b)) != (raw := w.encode()) or b"".join(map(spell_a.__getitem__, a)) != raw
+                        for w, a, b in zip(words, of_a, of_b)])
+        for i in np.flatnonzero(bad).tolist():
+            of_a[i] = of_b[i] = []
+        table = self.words
+        table.place.update(zip(words, range(len(table.groups), len(table.groups) + len(words))))
+        figures, groups, same, pairs = self._align(of_a, of_b)
+        table.figures, table.bad = np.concatenate([table.figures, figures]), np.concatenate([table.bad, bad])
+        table.groups += groups
+        table.characters += sum(map(len, groups))
+        table.same, table.pairs = table.same + same, table.pairs + pairs
+
+    def _align(self, of_a: list[list[int]], of_b: list[list[int]]) -> tuple[np.ndarray, list[str], Rows, Rows]:
+        """Groups and links of many words at once. Laid end to end both token lists have the same bytes, so that groups
+        end at the offsets that both have."""
+        n_a, n_b = (np.array([len(x) for x in of], np.int64) for of in (of_a, of_b))
+        a, b = (np.fromiter(chain.from_iterable(of), np.int64, n) for of, n in ((of_a, n_a.sum()), (of_b, n_b.sum())))
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        size_a, size_b = (np.bincount(np.searchsorted(cuts, e), minlength=len(cuts)) for e in (ends_a, ends_b))
+        start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        word_of_a = np.repeat(np.arange(len(n_a)), n_a)
+        word = word_of_a[start_a] if len(cuts) else np.zeros(0, np.int64)
+        links = size_a * size_b
+        n_groups = np.bincount(word, minlength=len(n_a))
+        figures = np.stack([n_a, n_b, n_groups, _sums(links, np.cumsum(n_groups))], axis=1)
+
+        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        texts = [f"{name_a[i]}|{name_b[j]}" if n == m == 1 else ",".join(name_a[i:i + n]) + "|" + ",".join(name_b[j:j + m])
+                 for i, j, n, m in zip(start_a.tolist(), start_b.tolist(), size_a.tolist(), size_b.tolist())]
+        ends = np.cumsum(n_groups).tolist()
+        groups = [";".join(texts[s:e]) for s, e in zip([0, *ends], ends)]
+
+        # One against one with the same bytes: known by the array alone. Long groups are multiplied out by counts.
+        single = (links == 1) & (self.same[a[start_a]] == b[start_b]) if len(cuts) else np.zeros(0, bool)
+        long = links > LONG_GROUP
+        some = np.flatnonzero(~single & ~long)
+        place, n = _inside(links[some]), np.repeat(some, links[some])
+        width = len(self.length_b)
+        code = a[start_a[n] + place // size_b[n]] * width + b[start_b[n] + place % size_b[n]]
+        words, codes, weights = [word[single], word[n]], [a[start_a[single]] * width + b[start_b[single]], code], \
+            [np.ones(single.sum(), np.int64), np.ones(len(code), np.int64)]
+        for g in np.flatnonzero(long).tolist():
+            x, k = np.unique(a[start_a[g]:start_a[g] + size_a[g]], return_counts=True)
+            y, m = np.unique(b[start_b[g]:start_b[g] + size_b[g]], return_counts=True)
+            codes.append((x[:, None] * width + y[None, :]).ravel())
+            weights.append((k[:, None] * m[None, :]).ravel())
+            words.append(np.full(len(codes[-1]), word[g]))
+        words, codes, weights = (np.concatenate(x) for x in (words, codes, weights))
+        alike = self.same[codes // width] == codes % width
+        size = len(self.same)
+        same = Rows.of(words[alike] * size + codes[alike] // width, size, len(n_a), weights[alike])
+        pairs = Rows.of(words[~alike] * (size * width) + codes[~alike], size * width, len(n_a), weights[~alike])
+        return figures, groups, same, pairs
 
 
 @lru_cache(maxsize=1)
@@ -146,61 +219,45 @@ def load_aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
-def _flat(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+def _texts_of(rows: Rows, row: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of documents' words, and the number of documents that hold each."""
+    found, length = rows.take(row)
+    values, back = np.unique(found.values, return_inverse=True)
+    held = np.unique(np.repeat(doc, length) * len(values) + back) % max(len(values), 1)
+    return values, np.bincount(held, minlength=len(values))
 
 
 def chunk_columns(aligner: Aligner, texts: list[str]) -> dict[str, np.ndarray | list]:
-    """Documents of a chunk as sparse rows of words, and its words as sparse rows of pairs."""
-    split = [aligner.words(t) if t else [] for t in texts]
-    known = aligner.cache
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = [w for w in set().union(*split) if w not in known] if split else []
-    aligner.learn(new)
-    place: dict[str, int] = {}
-    chosen: list[Word] = []
-    figures, digests, ends, words, times = [], [], [], [], []
-    same_seen, pair_seen = [], []
-    for found in split:
-        counted = Counter(found)
-        got = [known[w] for w in counted]
-        if not got or any(x is None for x in got):
-            figures.append((0, 0, 0, 0))
-            digests.append("")
-            ends.append(len(words))
-            continue
-        for w, x in zip(counted, got):
-            if w not in place:
-                place[w] = len(chosen)
-                chosen.append(x)
-        n = np.fromiter(counted.values(), np.int64, len(counted))
-        figures.append(tuple((np.array([x.figures for x in got], np.int64) * n[:, None]).sum(0).tolist()))
-        digests.append(sha256(";".join([known[w].groups for w in found]).encode()).hexdigest())
-        words += [place[w] for w in counted]
-        times += counted.values()
-        ends.append(len(words))
-        same_seen.append(np.unique(_flat([x.same for x in got])))
-        pair_seen.append(np.unique(_flat([x.pairs for x in got])))
-    same, same_texts = np.unique(_flat(same_seen), return_counts=True)
-    pairs, pair_texts = np.unique(_flat(pair_seen), return_counts=True)
-    out = {
-        "figures": np.array(figures, np.int64).ravel(), "groups_sha256": digests, "ends": ends, "words": words, "times": times,
-        "same_ends": np.cumsum([len(x.same) for x in chosen]), "same_links": _flat([x.same_links for x in chosen]),
-        "same_at": np.searchsorted(same, _flat([x.same for x in chosen])),
-        "pair_ends": np.cumsum([len(x.pairs) for x in chosen]), "pair_links": _flat([x.pair_links for x in chosen]),
-        "pair_at": np.searchsorted(pairs, _flat([x.pairs for x in chosen])),
-        "same": same, "same_texts": same_texts, "pairs": pairs, "pair_texts": pair_texts,
-    }
-    for w in new:
-        if len(w) > CACHE_CHARS:
-            del known[w]
+    """Documents of a chunk as sparse rows of words, and its words as sparse rows of linked ids."""
+    split = [aligner.split(t) if t else [] for t in texts]
+    table = aligner.known(set().union(*split) if split else set())
+    ids = np.fromiter(map(table.place.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+    doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+    spoilt = np.zeros(len(texts), bool)
+    spoilt[doc[table.bad[ids]]] = True
+    digests, at, groups = [], 0, table.groups
+    for words, out in zip(split, spoilt.tolist()):
+        mine = ids[at:at + len(words)].tolist()
+        digests.append(sha256(";".join(map(groups.__getitem__, mine)).encode()).hexdigest() if mine and not out else "")
+        at += len(words)
+    use = ~spoilt[doc]
+    key, times = np.unique(doc[use] * max(len(groups), 1) + ids[use], return_counts=True)
+    doc, ids = key // max(len(groups), 1), key % max(len(groups), 1)
+    ends = np.searchsorted(doc, np.arange(len(texts)), "right")
+    chosen, words = np.unique(ids, return_inverse=True)
+    figures = np.stack([_sums(times * table.figures[ids, k], ends) for k in range(4)], axis=1)
+    out = {"figures": figures.ravel(), "groups_sha256": digests, "ends": ends, "words": words, "times": times}
+    for name, rows in (("same", table.same), ("pair", table.pairs)):
+        values, held = _texts_of(rows, ids, doc)
+        mine, _ = rows.take(chosen)
+        out |= {f"{name}_ends": mine.ends, f"{name}_at": np.searchsorted(values, mine.values), f"{name}_links": mine.links,
+                f"{name}s": values, f"{name}_texts": held}
     return out
 
 
 CHUNK_COLUMNS = (
     "figures array<bigint>, groups_sha256 array<string>, ends array<int>, words array<int>, times array<int>, "
-    "same_ends array<int>, same_at array<int>, same_links array<bigint>, same array<int>, same_texts array<int>, "
+    "same_ends array<int>, same_at array<int>, same_links array<bigint>, sames array<int>, same_texts array<int>, "
     "pair_ends array<int>, pair_at array<int>, pair_links array<bigint>, pairs array<bigint>, pair_texts array<int>")
 
 
@@ -250,17 +307,11 @@ def _same_counts(chunks: DataFrame, size: int) -> DataFrame:
         if len(held):
             yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["id", "texts"])
 
-    return chunks.select("same", "same_texts").mapInArrow(run, "id bigint, texts bigint").groupBy("id").agg(
+    return chunks.select("sames", "same_texts").mapInArrow(run, "id bigint, texts bigint").groupBy("id").agg(
         F.sum("texts").alias("texts"))
 
 
-def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of consecutive stretches, given their ends."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[ends] - total[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros(0, np.int64)
-
-
-def _figures(chunks: DataFrame, same_total, best, kept: T.StructType) -> DataFrame:
+def _figures(chunks: DataFrame, same_total, best, width: int, kept: T.StructType) -> DataFrame:
     """Documents with their figures, from chunks whose ``totals`` are the sums of their pairs, in order."""
     schema = T.StructType(kept.fields + [T.StructField(n, T.LongType()) for n in FIGURES]
                           + [T.StructField("groups_sha256", T.StringType())])
@@ -278,14 +329,14 @@ def _figures(chunks: DataFrame, same_total, best, kept: T.StructType) -> DataFra
                     return one.column(one.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
 
                 rows = one.column(one.schema.get_field_index("rows")).flatten()
-                same, pairs, totals = column("same"), column("pairs"), column("totals").astype(np.int64)
+                same, pairs, totals = column("sames"), column("pairs"), column("totals").astype(np.int64)
                 at, links = column("same_at"), column("same_links")
                 texts = of_same[same]
                 top = texts == most[same]
                 word_best = _sums(links * top[at], column("same_ends"))
                 word_sum = _sums(links * texts[at], column("same_ends"))
                 at, links = column("pair_at"), column("pair_links")
-                top = totals == most[pairs >> 32]
+                top = totals == most[pairs // width]
                 word_best += _sums(links * top[at], column("pair_ends"))
                 word_sum += _sums(links * totals[at], column("pair_ends"))
                 words, times, ends = column("words"), column("times").astype(np.int64), column("ends")
@@ -299,12 +350,11 @@ def _figures(chunks: DataFrame, same_total, best, kept: T.StructType) -> DataFra
     return chunks.mapInArrow(run, schema)
 
 
-def pair_counts(chunks: DataFrame, totals: DataFrame, same: dict[int, int], same_to: np.ndarray) -> DataFrame:
+def pair_counts(totals: DataFrame, same: dict[int, int], same_to: np.ndarray, width: int) -> DataFrame:
     """The whole table of linked ids, ``a, b, texts``."""
-    spark = chunks.sparkSession
+    spark = totals.sparkSession
     vector = spark.createDataFrame([(a, int(same_to[a]), n) for a, n in same.items()], "a bigint, b bigint, texts bigint")
-    return totals.select(F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), "texts"
-                         ).unionByName(vector)
+    return totals.select(F.expr(f"pair div {width}").alias("a"), (F.col("pair") % width).alias("b"), "texts").unionByName(vector)
 
 
 def align(df: DataFrame, byte_path: str, piece_path: str, text: str = "text", keep: list[str] | None = None,
@@ -325,7 +375,7 @@ def align(df: DataFrame, byte_path: str, piece_path: str, text: str = "text", ke
     kept = T.StructType(source.schema.fields[:-1])
     chunks = stored(_chunks(source, byte_path, piece_path, chunk_rows), "chunks")
     aligner = load_aligner(byte_path, piece_path)
-    size = len(aligner.same)
+    size, width = len(aligner.same), len(aligner.length_b)
     same = {r["id"]: r["texts"] for r in _same_counts(chunks, size).collect()}  # at most the vocabulary
     pairs = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "pair_texts")).alias("at", "p")).select(
         "chunk", "at", F.col("p.pairs").alias("pair"), F.col("p.pair_texts").alias("texts"))
@@ -333,7 +383,7 @@ def align(df: DataFrame, byte_path: str, piece_path: str, text: str = "text", ke
     same_total, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for a, n in same.items():
         same_total[a] = best[a] = n
-    highest = totals.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("texts").alias("n"))
+    highest = totals.groupBy(F.expr(f"pair div {width}").alias("a")).agg(F.max("texts").alias("n"))
     for r in highest.collect():  # at most the vocabulary
         best[r["a"]] = max(best[r["a"]], r["n"])
     back = pairs.join(totals.withColumnRenamed("texts", "total"), "pair").groupBy("chunk").agg(
@@ -341,6 +391,6 @@ def align(df: DataFrame, byte_path: str, piece_path: str, text: str = "text", ke
     joined = chunks.drop("pair_texts", "same_texts").join(back, "chunk", "left").withColumn(
         "totals", F.coalesce("totals", F.array().cast("array<bigint>"))).drop("chunk")
     context = spark.sparkContext
-    out = _figures(joined, context.broadcast(same_total), context.broadcast(best), kept)
+    out = _figures(joined, context.broadcast(same_total), context.broadcast(best), width, kept)
     named = out.select(*[F.col(p).alias(c) for p, c in zip(plain, columns)], *FIGURES, "groups_sha256")
-    return named, pair_counts(chunks, totals, same, aligner.same)
+    return named, pair_counts(totals, same, aligner.same, width)
