@@ -30,20 +30,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.bpe import ByteBpe, split_words
+from webloom.llm.bytebpe import as_piece, model_bytes
 from webloom.llm.common import stored, text_of
 
 #: Words, and characters of their groups, kept in a worker's table; beyond it the table starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 CACHE_CHARS = 40_000_000
 #: Groups with more links are multiplied out by how often they hold each id.
 LONG_GROUP = 256
 #: A chunk has at most so many documents, and ends with the document that brings it to so many bytes.
-CHUNK_ROWS, CHUNK_BYTES = 2_000, 4_000_000
+CHUNK_ROWS, CHUNK_BYTES = 1_000, 1_500_000
 
 # Fixed value: the sentencepiece blank.
 BLANK = "▁"
-#: A word starts with a blank or line end that follows other text.
-WORD = re.compile(r"[ \n](?:[^ \n]+|(?<=\s)[ \n])*")
+#: A word starts with a blank or line end that follows other text, or with one of these marks that follows a Latin letter.
+MARKS, LETTER = ",.;:!?", "A-Za-zÀ-ÖØ-öø-ɏ"
+WORD = re.compile(rf"[ \n{MARKS}](?:[^ \n{MARKS}]+|(?<=\s)[ \n]|(?<![{LETTER}])[{MARKS}])*")
 
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -67,7 +69,7 @@ class Pieces:
         self.id_of = {self.bytes_of[i]: i for i in sorted(plain, key=lambda i: not self.model.is_byte(i))}
         #: Whether no piece reaches across the start of a word and blanks are left alone, so that words can be encoded
         #: one by one.
-        self.by_word = not any(re.search(r"\S[ \n]", pieces[i].replace(BLANK, " ")) for i in plain) \
+        self.by_word = not any(re.search(rf"\S[ \n]|[{LETTER}][{MARKS}]", pieces[i].replace(BLANK, " ")) for i in plain) \
             and self.model.encode(" a  b\n") == [*self.model.encode(" a"), *self.model.encode("  b\n")]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -137,6 +139,11 @@ class Aligner:
         self.a, self.b = ByteBpe(byte_path), Pieces(piece_path)
         self.same = np.array([self.b.id_of.get(t, -1) for t in self.a.bytes_of], np.int64)
         self.length_a, self.length_b = (np.array([len(t) for t in x.bytes_of], np.int64) for x in (self.a, self.b))
+        import sentencepiece
+
+        ranks = {t: i for t, i in self.a.id_of.items() if self.a.sound[i]}
+        self.proposed = np.array(sorted(ranks.values()), np.int64)
+        self.proposer = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.words = Words()
 
     def split(self, text: str) -> list[str]:
@@ -151,14 +158,17 @@ class Aligner:
         return self.words
 
     def _learn(self, words: list[str]) -> None:
-        parts = [split_words(w) for w in words]
-        different = list(set().union(*parts))
-        tokens = dict(zip(different, self.a.encode_words(different)))
-        of_a = [list(chain.from_iterable(map(tokens.__getitem__, p))) for p in parts]
-        of_b = self.b.encode(words)
-        spell_a, spell_b = self.a.bytes_of, self.b.bytes_of
-        bad = np.array([b"".join(map(spell_b.__getitem__, b)) != (raw := w.encode()) or b"".join(map(spell_a.__getitem__, a)) != raw
-                        for w, a, b in zip(words, of_a, of_b)])
+        of_a, of_b = self._tokens_a(words), self.b.encode(words)
+        raw = [w.encode() for w in words]
+        bad = np.zeros(len(words), bool)
+        length = np.array([len(w) for w in raw], np.int64)
+        for of, spell, sizes in ((of_a, self.a.bytes_of, self.length_a), (of_b, self.b.bytes_of, self.length_b)):
+            count = np.array([len(x) for x in of], np.int64)
+            flat = np.fromiter(chain.from_iterable(of), np.int64, count.sum())
+            if (_sums(sizes[flat], np.cumsum(count)) == length).all() \
+                    and b"".join(map(spell.__getitem__, flat.tolist())) == b"".join(raw):
+                continue
+            bad |= [b"".join(map(spell.__getitem__, x)) != w for x, w in zip(of, raw)]
         for i in np.flatnonzero(bad).tolist():
             of_a[i] = of_b[i] = []
         table = self.words
@@ -169,6 +179,34 @@ class Aligner:
         table.characters += sum(map(len, groups))
         table.same, table.pairs = table.same + same, table.pairs + pairs
 
+    def _tokens_a(self, words: list[str]) -> list[list[int]]:
+        """Ids of the first vocabulary. Most words are one pre-token: a blank and letters."""
+        parts = {w: split_words(w) for w in words if not (w[0] == " " and w[1:].isalpha())}
+        different = [w for w in words if w not in parts]
+        different += set().union(*parts.values()).difference(different)
+        tokens = dict(zip(different, self._merged(different)))
+        return [list(chain.from_iterable(map(tokens.__getitem__, parts[w]))) if w in parts else tokens[w] for w in words]
+
+    def _merged(self, parts: list[str]) -> list[list[int]]:
+        """Ids of pre-tokens. A sentencepiece model with the same tokens proposes them; where some merge would cross
+        between two proposed neighbours, or a token is not what its own merges give, the merges are done one by one."""
+        found = self.proposer.encode([as_piece(p.encode()) for p in parts], num_threads=1) if parts else []
+        count = np.array([len(x) for x in found], np.int64)
+        flat = self.proposed[np.fromiter(chain.from_iterable(found), np.int64, count.sum())]
+        part = np.repeat(np.arange(len(parts)), count)
+        fails = np.zeros(len(parts), bool)
+        fails[part[~self.a.sound[flat]]] = True
+        inside = np.flatnonzero(part[1:] == part[:-1])
+        pairs, back = np.unique(flat[inside] << 32 | flat[inside + 1], return_inverse=True)
+        if len(pairs):
+            fails[part[inside[~self.a.pairs_hold(pairs >> 32, pairs & 0xFFFFFFFF)[back]]]] = True
+        flat, ends = flat.tolist(), np.cumsum(count).tolist()
+        out = [flat[s:e] for s, e in zip([0, *ends], ends)]
+        again = np.flatnonzero(fails).tolist()
+        for i, ids in zip(again, self.a.encode_words([parts[i] for i in again])):
+            out[i] = ids
+        return out
+
     def _align(self, of_a: list[list[int]], of_b: list[list[int]]) -> tuple[np.ndarray, list[str], Rows, Rows]:
         """Groups and links of many words at once. Laid end to end both token lists have the same bytes, so that groups
         end at the offsets that both have."""
@@ -257,8 +295,8 @@ def chunk_columns(aligner: Aligner, texts: list[str]) -> dict[str, np.ndarray |
 
 CHUNK_COLUMNS = (
     "figures array<bigint>, groups_sha256 array<string>, ends array<int>, words array<int>, times array<int>, "
-    "same_ends array<int>, same_at array<int>, same_links array<bigint>, sames array<int>, same_texts array<int>, "
-    "pair_ends array<int>, pair_at array<int>, pair_links array<bigint>, pairs array<bigint>, pair_texts array<int>")
+    "same_ends array<int>, same_at array<int>, same_links array<int>, sames array<int>, same_texts array<int>, "
+    "pair_ends array<int>, pair_at array<int>, pair_links array<int>, pairs array<bigint>, pair_texts array<int>")
 
 
 def _chunks(df: DataFrame, byte_path: str, piece_path: str, chunk_rows: int) -> DataFrame:
@@ -330,12 +368,12 @@ def _figures(chunks: DataFrame, same_total, best, width: int, kept: T.StructType
 
                 rows = one.column(one.schema.get_field_index("rows")).flatten()
                 same, pairs, totals = column("sames"), column("pairs"), column("totals").astype(np.int64)
-                at, links = column("same_at"), column("same_links")
+                at, links = column("same_at"), column("same_links").astype(np.int64)
                 texts = of_same[same]
                 top = texts == most[same]
                 word_best = _sums(links * top[at], column("same_ends"))
                 word_sum = _sums(links * texts[at], column("same_ends"))
-                at, links = column("pair_at"), column("pair_links")
+                at, links = column("pair_at"), column("pair_links").astype(np.int64)
                 top = totals == most[pairs // width]
                 word_best += _sums(links * top[at], column("pair_ends"))
                 word_sum += _sums(links * totals[at], column("pair_ends"))
