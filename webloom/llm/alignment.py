@@ -33,9 +33,9 @@ from webloom.llm.bpe import ByteBpe, split_words
 from webloom.llm.bytebpe import as_piece, model_bytes
 from webloom.llm.common import stored, text_of
 
-#: Words, and characters of their groups, kept in a worker's table; beyond it the table starts anew.
-CACHE_WORDS = 200_000
-CACHE_CHARS = 40_000_000
+#: Words, and characters of their groups, in a worker's table; beyond it only the most used third of the words stays, of
+#: which none is longer than ``LONG_WORD``.
+CACHE_WORDS, CACHE_CHARS, LONG_WORD = 120_000, 20_000_000, 64
 #: Groups with more links are multiplied out by how often they hold each id.
 LONG_GROUP = 256
 #: A chunk has at most so many documents, and ends with the document that brings it to so many bytes.
@@ -130,9 +130,21 @@ class Words:
         self.place: dict[str, int] = {}
         self.groups: list[str] = []
         self.characters = 0
-        self.figures, self.bad = np.zeros((0, 4), np.int64), np.zeros(0, bool)
+        self.figures, self.bad, self.uses = np.zeros((0, 4), np.int64), np.zeros(0, bool), none
         self.same = self.pairs = Rows(none, none, none)
 
+    def most_used(self, count: int) -> Words:
+        """A table of the words that were used most; they soon come again."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:count])
+        names, out = list(self.place), Words()
+        keep = keep[[len(names[i]) <= LONG_WORD for i in keep.tolist()]] if len(keep) else keep
+        out.place = {names[i]: n for n, i in enumerate(keep.tolist())}
+        out.groups = [self.groups[i] for i in keep.tolist()]
+        out.characters = sum(map(len, out.groups))
+        out.figures, out.bad, out.uses = self.figures[keep], self.bad[keep], self.uses[keep]
+        out.same, out.pairs = self.same.take(keep)[0], self.pairs.take(keep)[0]
+        return out
+
 
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
@@ -152,11 +164,15 @@ class Aligner:
     def known(self, words: set[str]) -> Words:
         """The table of words, with all of ``words`` in it."""
         if len(self.words.groups) > CACHE_WORDS or self.words.characters > CACHE_CHARS:
-            self.words = Words()
+            self.rest()
         if new := [w for w in words if w not in self.words.place]:
             self._learn(new)
         return self.words
 
+    def rest(self) -> None:
+        """Keep only the words that are used most."""
+        self.words = self.words.most_used(CACHE_WORDS // 3)
+
     def _learn(self, words: list[str]) -> None:
         of_a, of_b = self._tokens_a(words), self.b.encode(words)
         raw = [w.encode() for w in words]
@@ -175,6 +191,7 @@ class Aligner:
         table.place.update(zip(words, range(len(table.groups), len(table.groups) + len(words))))
         figures, groups, same, pairs = self._align(of_a, of_b)
         table.figures, table.bad = np.concatenate([table.figures, figures]), np.concatenate([table.bad, bad])
+        table.uses = np.concatenate([table.uses, np.zeros(len(words), np.int64)])
         table.groups += groups
         table.characters += sum(map(len, groups))
         table.same, table.pairs = table.same + same, table.pairs + pairs
@@ -270,6 +287,7 @@ def chunk_columns(aligner: Aligner, texts: list[str]) -> dict[str, np.ndarray |
     split = [aligner.split(t) if t else [] for t in texts]
     table = aligner.known(set().union(*split) if split else set())
     ids = np.fromiter(map(table.place.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+    np.add.at(table.uses, ids, 1)
     doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
     spoilt = np.zeros(len(texts), bool)
     spoilt[doc[table.bad[ids]]] = True
@@ -284,19 +302,38 @@ def chunk_columns(aligner: Aligner, texts: list[str]) -> dict[str, np.ndarray |
     ends = np.searchsorted(doc, np.arange(len(texts)), "right")
     chosen, words = np.unique(ids, return_inverse=True)
     figures = np.stack([_sums(times * table.figures[ids, k], ends) for k in range(4)], axis=1)
-    out = {"figures": figures.ravel(), "groups_sha256": digests, "ends": ends, "words": words, "times": times}
+    inner = {"figures": figures.ravel(), "digests": "".join(digests), "spoken": [d != "" for d in digests],
+             "ends": ends, "words": words, "times": times}
+    out = {}
     for name, rows in (("same", table.same), ("pair", table.pairs)):
         values, held = _texts_of(rows, ids, doc)
         mine, _ = rows.take(chosen)
-        out |= {f"{name}_ends": mine.ends, f"{name}_at": np.searchsorted(values, mine.values), f"{name}_links": mine.links,
-                f"{name}s": values, f"{name}_texts": held}
-    return out
+        inner |= {f"{name}_ends": mine.ends, f"{name}_at": np.searchsorted(values, mine.values), f"{name}_links": mine.links}
+        out |= {f"{name}s": values, f"{name}_texts": held}
+    return out | {"packed": pack(inner)}
+
+
+INNER = pa.schema([(n, pa.list_(t)) for n, t in (
+    ("figures", pa.int64()), ("spoken", pa.bool_()), ("ends", pa.int32()), ("words", pa.int32()), ("times", pa.int32()),
+    ("same_ends", pa.int32()), ("same_at", pa.int32()), ("same_links", pa.int64()),
+    ("pair_ends", pa.int32()), ("pair_at", pa.int32()), ("pair_links", pa.int64()))] + [("digests", pa.large_string())])
+
+
+def pack(columns: dict[str, np.ndarray | list | str]) -> bytes:
+    """What only Python reads of a chunk, as one compressed Arrow batch of one row."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, INNER, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays([pa.array([columns[f.name]], f.type) for f in INNER], schema=INNER))
+    return out.getvalue().to_pybytes()
+
+
+def unpack(packed: bytes) -> dict[str, np.ndarray | str]:
+    batch = pa.ipc.open_stream(packed).read_next_batch()
+    return {f.name: batch.column(i)[0].as_py() if f.name == "digests" else batch.column(i).flatten().to_numpy(zero_copy_only=False)
+            for i, f in enumerate(INNER)}
 
 
-CHUNK_COLUMNS = (
-    "figures array<bigint>, groups_sha256 array<string>, ends array<int>, words array<int>, times array<int>, "
-    "same_ends array<int>, same_at array<int>, same_links array<int>, sames array<int>, same_texts array<int>, "
-    "pair_ends array<int>, pair_at array<int>, pair_links array<int>, pairs array<bigint>, pair_texts array<int>")
+CHUNK_COLUMNS = "sames array<int>, same_texts array<int>, pairs array<bigint>, pair_texts array<int>, packed binary"
 
 
 def _chunks(df: DataFrame, byte_path: str, piece_path: str, chunk_rows: int) -> DataFrame:
@@ -330,6 +367,7 @@ def _chunks(df: DataFrame, byte_path: str, piece_path: str, chunk_rows: int) ->
                 arrays += [pa.array([found[f.name]], type=f.type) for f in list(target)[2:]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
                 start, number = end, number + 1
+        aligner.rest()
 
     return df.mapInArrow(run, schema)
 
@@ -363,26 +401,27 @@ def _figures(chunks: DataFrame, same_total, best, width: int, kept: T.StructType
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
 
-                def column(name: str) -> np.ndarray:
-                    return one.column(one.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
+                def column(name: str) -> pa.Array:
+                    return one.column(one.schema.get_field_index(name))
 
-                rows = one.column(one.schema.get_field_index("rows")).flatten()
-                same, pairs, totals = column("sames"), column("pairs"), column("totals").astype(np.int64)
-                at, links = column("same_at"), column("same_links").astype(np.int64)
+                rows = column("rows").flatten()
+                same, pairs, totals = (column(n).flatten().to_numpy().astype(np.int64) for n in ("sames", "pairs", "totals"))
+                inner = unpack(column("packed")[0].as_py())
                 texts = of_same[same]
                 top = texts == most[same]
-                word_best = _sums(links * top[at], column("same_ends"))
-                word_sum = _sums(links * texts[at], column("same_ends"))
-                at, links = column("pair_at"), column("pair_links").astype(np.int64)
+                at, links = inner["same_at"], inner["same_links"]
+                word_best, word_sum = (_sums(links * x[at], inner["same_ends"]) for x in (top, texts))
                 top = totals == most[pairs // width]
-                word_best += _sums(links * top[at], column("pair_ends"))
-                word_sum += _sums(links * totals[at], column("pair_ends"))
-                words, times, ends = column("words"), column("times").astype(np.int64), column("ends")
-                counted = column("figures").reshape(-1, 4)
+                at, links = inner["pair_at"], inner["pair_links"]
+                word_best += _sums(links * top[at], inner["pair_ends"])
+                word_sum += _sums(links * totals[at], inner["pair_ends"])
+                words, times, ends = inner["words"], inner["times"].astype(np.int64), inner["ends"]
+                counted = inner["figures"].reshape(-1, 4)
                 arrays = [rows.field(k) for k in range(len(kept.fields))]
                 arrays += [pa.array(counted[:, k]) for k in range(4)]
-                arrays += [pa.array(_sums(times * word_best[words], ends)), pa.array(_sums(times * word_sum[words], ends))]
-                arrays.append(one.column(one.schema.get_field_index("groups_sha256")).flatten())
+                arrays += [pa.array(_sums(times * x[words], ends)) for x in (word_best, word_sum)]
+                at = np.cumsum(inner["spoken"]) * 64
+                arrays.append(pa.array([inner["digests"][e - 64:e] if s else "" for s, e in zip(inner["spoken"], at.tolist())]))
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target)], schema=target)
 
     return chunks.mapInArrow(run, schema)
