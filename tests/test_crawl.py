@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from webloom.plans.crawl import crawl, crawl_depth, crawl_roots, link_edges
+from webloom.plans.crawl import Crawl, LinkGraph, crawl, crawl_depth, crawl_roots, link_edges
 from webloom.plans.discoveries import page_finds, with_site
 from webloom.plans.site_report import site_records, site_report
 
@@ -119,3 +119,67 @@ def test_site_report(spark):
     assert got[("https://ex.com", "AWS S3 Buckets")] == 1
     assert got[("https://ex.com", "Subdomains found")] == 3  # mail, static and pay
     assert report.select(F.countDistinct("metric")).first()[0] == 7
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges_above(plan, relation):
+    """Exchanges between the plan's root and the last scan of a relation, by the tree's indentation."""
+    lines = plan.splitlines()
+
+    def depth(line):
+        return max(line.find("+- "), line.find(":- "))
+
+    at = max(i for i, line in enumerate(lines) if "Scan parquet" in line and relation in line)
+    low, found = depth(lines[at]), []
+    for line in reversed(lines[:at]):
+        if depth(line) < low:
+            low = depth(line)
+            found.append(line[low + 3:])
+    return [x for x in found if "Exchange" in x]
+
+
+def test_a_round_moves_neither_edges_nor_visited_urls(spark):
+    rows = [(f"https://ex.com/{i}", f"https://ex.com/{i * 3 % 50}") for i in range(50)]
+    edges = spark.createDataFrame(rows, "from_url string, to_url string")
+    roots = spark.createDataFrame([("https://ex.com", "ex.com", "https://ex.com/1")], "input string, host string, url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    walk = Crawl(edges, 0, None, None, ["js"])
+    try:
+        walk.start(roots)
+        walk.round()
+        hop = plan_of(walk.graph.hop(walk.visited.rows().filter(F.col("level") == walk.level)))
+        assert exchanges_above(hop, walk.graph.table.name) == [] and "Exchange hashpartitioning(from_url" in hop
+        better = plan_of(walk.better())
+        assert exchanges_above(better, walk.visited.name) == [] and "PartitionFilters: [isnotnull(level" in better
+        assert "Exchange hashpartitioning(input" in better and better.count("Bucketed: true") >= 2
+        assert plan_of(walk.result()).count("Exchange") == 0  # keys lie together already
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        names = [walk.graph.table.name, walk.visited.name]
+        walk.forget()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_pages_with_very_many_links_are_dealt_over_parts(spark):
+    urls = [f"https://ex.com/{i}" for i in range(300)]
+    pairs = [(urls[0], u) for u in urls] + [(u, urls[(i * 7 + 1) % 300]) for i, u in enumerate(urls) if i % 3 == 0] + [(urls[0], urls[1])] * 50
+    edges = spark.createDataFrame(pairs, "from_url string, to_url string")
+    roots = spark.createDataFrame([("https://ex.com", "ex.com", urls[0])], "input string, host string, url string")
+    graph = LinkGraph(edges, 4, 20)
+    parts = {r.part for r in graph.table.rows().filter(F.col("from_url") == urls[0]).select("part").distinct().collect()}
+    assert parts == set(range(15)) and graph.table.rows().count() == len(set(pairs))
+    graph.table.forget()
+    one, many = (sorted(map(tuple, crawl(edges, roots, 3, hot_page=n).collect())) for n in (10**6, 20))
+    assert one == many and len(one) > 50
+
+
+def test_empty_graph(spark):
+    edges = spark.createDataFrame([], "from_url string, to_url string")
+    roots = spark.createDataFrame([("https://ex.com", "ex.com", "https://ex.com/")], "input string, host string, url string")
+    assert [r.depth for r in crawl(edges, roots, 0).collect()] == [0]
+    assert crawl(edges, roots.limit(0), 0).count() == 0

@@ -3,27 +3,33 @@
 A URL is visited when it is admitted (scope, media and exclude rules) and within the depth limit; its links are
 followed from the least depth at which it can be reached. Links found in script files start again at depth 0.
 
-Edges are extracted and written once, so rounds never touch a page body. Every round's finds are written too: plans
-stay short, a lost executor does not start the crawl again, and the size of the frontier is known when the next join
-is planned - a small one is broadcast and the edges stay in place. A page that holds a large share of all edges makes a
-skewed partition of that join, which adaptive execution splits; the frontier side has one row per URL.
+Two bucketed tables carry the crawl. Edges are extracted once and lie in buckets by the page that holds them; visited
+URLs lie in buckets by their key and grow by one partition a round. So a round moves only what the last one found: the
+frontier goes to the edges' buckets (or to all of them, while it is small), what is reached goes to the visited URLs'
+buckets, and neither table is shuffled. Every round's finds are written: plans stay short, a lost executor does not start
+the crawl again, and the size of the frontier is known when the next join is planned.
+
+A page with very many links would be one large bucket. Its edges are dealt over several parts of the key, and the frontier
+row of such a page goes to each part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import resolve_url
 from webloom.operators.dedup import union_all
 from webloom.operators.extract import link_file_exts, script_link_is_file
 from webloom.operators.filters import admitted
-from webloom.plans.checkpoints import fresh_path, write_counted, written
+from webloom.plans.checkpoints import BucketedTable, written
 from webloom.plans.discoveries import LINK, SCRIPT, SCRIPT_LINK
 
 KEY = ["input", "url", "link_file"]
+#: A page with more links than this has them dealt over several buckets.
+HOT_PAGE = 200_000
 
 
 def link_edges(finds: DataFrame, exts: Sequence[str] = ("js",)) -> DataFrame:
@@ -52,10 +58,12 @@ RESTART = ["script_link", "sibling"]
 def _targets(hop: DataFrame, exts: Sequence[str]) -> DataFrame:
     """Where the edges of a round lead: ``url, link_file`` in place of ``to_url, raw``.
 
-    A script link leads to its URL on the script's own address and, where different, to that on the crawled site.
+    A script link leads to its URL on the script's own address and, where different, to that on the crawled site. Only
+    script links are resolved: for all others the base is null, and nothing is computed from it.
     """
     kept = [c for c in hop.columns if c not in ("to_url", "raw", "link_file", "page_link_file")]
-    both = resolve_url(hop, "input", "raw", "_alt")
+    based = hop.withColumn("_site", F.when(F.col("kind") == "script_link", F.col("input")))
+    both = resolve_url(based, "_site", "raw", "_alt")
     other = F.when(F.col("_alt") != F.col("to_url"), F.col("_alt"))
     options = F.array(
         F.struct(F.col("to_url").alias("url"), F.col("page_link_file").alias("link_file")),
@@ -71,55 +79,121 @@ def _complete(edges: DataFrame) -> DataFrame:
     return edges.select("from_url", "to_url", "kind", "raw", F.col("link_file").alias("page_link_file"))
 
 
+class LinkGraph:
+    """The edges in buckets by ``from_url``; with pages of very many links, by ``from_url`` and ``part``."""
+
+    def __init__(self, edges: DataFrame, buckets: int, hot_page: int):
+        spark = edges.sparkSession
+        unique = _complete(edges).distinct()  # combines before it is shuffled: captures of a page repeat its links
+        self.table = BucketedTable(spark, "edges", ["from_url"], buckets)
+        self.table.append(unique)
+        degrees = self.table.rows().groupBy("from_url").agg(F.count(F.lit(1)).alias("links"))
+        hot = written(degrees.filter(F.col("links") > hot_page).select(
+            "from_url", F.ceil(F.col("links") / hot_page).cast("int").alias("parts")), "hot-pages")
+        self.hot = None if hot.isEmpty() else hot
+        if self.hot is not None:
+            dealt = BucketedTable(spark, "edges", ["from_url", "part"], buckets)
+            place = F.pmod(F.xxhash64("to_url", "kind", "raw", "page_link_file"), F.coalesce("parts", F.lit(1)))
+            dealt.append(self.table.rows().join(hot, "from_url", "left").withColumn("part", place.cast("int")).drop("parts"))
+            self.table.forget()
+            self.table = dealt
+
+    def hop(self, frontier: DataFrame) -> DataFrame:
+        """The edges that leave a frontier; its ``url`` becomes ``from_url``."""
+        asked = frontier.withColumnRenamed("url", "from_url")
+        if self.hot is None:
+            return asked.join(self.table.rows(), "from_url", "inner")
+        parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+        asked = asked.join(self.hot, "from_url", "left").withColumn("part", F.explode(parts)).drop("parts")
+        return asked.join(self.table.rows(), ["from_url", "part"], "inner").drop("part")
+
+
+class Crawl:
+    """A crawl in progress: :meth:`start`, then :meth:`round` until it finds nothing."""
+
+    def __init__(
+        self, edges: DataFrame, max_depth: int, include: str | None, exclude: str | None, exts: Sequence[str],
+        buckets: int | None = None, hot_page: int = HOT_PAGE,
+    ):
+        spark = edges.sparkSession
+        # As many buckets as a shuffle has partitions, so that a shuffle by the same key meets them as they lie.
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.has_script_links = "raw" in edges.columns
+        self.max_depth, self.include, self.exclude, self.exts = max_depth, include, exclude, exts
+        self.graph = LinkGraph(edges, buckets, hot_page)
+        self.visited = BucketedTable(spark, "visited", KEY, buckets, partition="level")
+        self.level = 0
+
+    def _admitted(self, urls: DataFrame) -> DataFrame:
+        return urls.filter(admitted(F.col("url"), F.col("host"), self.include, self.exclude))
+
+    def _nearest(self, urls: DataFrame) -> DataFrame:
+        """One row per key; the host belongs to the site, so any row has it."""
+        return self._admitted(urls).groupBy(*KEY).agg(F.min("host").alias("host"), F.min("depth").alias("depth"))
+
+    def _keep(self, rows: DataFrame) -> int:
+        return self.visited.append(rows.select(*KEY, "host", "depth", F.lit(self.level).alias("level")))
+
+    def start(self, roots: DataFrame) -> int:
+        if "link_file" not in roots.columns:
+            roots = roots.withColumn("link_file", F.lit(False))
+        return self._keep(self._nearest(roots.select(*KEY, "host").withColumn("depth", F.lit(0))))
+
+    def reached(self) -> DataFrame:
+        """URLs that the last round's finds lead to, each at its least depth, whether known or not."""
+        frontier = self.visited.rows().filter(F.col("level") == self.level).drop("level")
+        hop = self.graph.hop(frontier)
+        restart = F.col("kind").isin(RESTART)
+        within = F.col("depth") < self.max_depth if self.max_depth > 0 else F.lit(True)
+        followed = hop.filter(restart | (~F.col("link_file") & within))
+        if self.has_script_links:
+            targets = _targets(followed, self.exts)
+        else:
+            targets = followed.drop("link_file").withColumnsRenamed({"to_url": "url", "page_link_file": "link_file"})
+        depth = F.when(restart, F.lit(0)).otherwise(F.col("depth") + 1)
+        return self._nearest(targets.select(*KEY, "host", depth.alias("depth")))
+
+    def better(self) -> DataFrame:
+        """Of these, the ones that are new, or nearer than they were known to be."""
+        nearest, known = self.reached(), self.visited.rows().select(*KEY, F.col("depth").alias("known_depth"))
+        not_nearer = [nearest[k] == known[k] for k in KEY] + [known["known_depth"] <= nearest["depth"]]
+        return nearest.join(known, not_nearer, "left_anti")
+
+    def round(self) -> int:
+        found = self.better()
+        self.level += 1
+        return self._keep(found)
+
+    def result(self) -> DataFrame:
+        best = F.min(F.struct("depth", "level"))
+        return self.visited.rows().groupBy(*KEY).agg(F.min("host").alias("host"), best.alias("b")).select(
+            *KEY, "host", F.col("b.depth").alias("depth"), F.col("b.level").alias("level"))
+
+    def forget(self) -> None:
+        """Take the tables out of the catalog."""
+        self.graph.table.forget()
+        self.visited.forget()
+
+
 def crawl(
     edges: DataFrame, roots: DataFrame, max_depth: int = 1, include: str | None = None, exclude: str | None = None,
-    exts: Sequence[str] = ("js",),
+    exts: Sequence[str] = ("js",), buckets: int | None = None, hot_page: int = HOT_PAGE,
 ) -> DataFrame:
-    """Visited URLs ``input, host, url, link_file, depth, level`` from ``roots(input, host, url[, link_file])``.
+    """Visited URLs ``input, url, link_file, host, depth, level`` from ``roots(input, host, url[, link_file])``.
 
     ``edges`` has at least ``from_url, to_url``; see :func:`link_edges` for the rest. ``max_depth`` 0 means no limit.
     ``level`` is the round in which the least depth was found. A URL reached both as a page and as a link file has a
-    row for each.
+    row for each. ``buckets`` is the number of buckets of both tables (default: the shuffle partitions), ``hot_page``
+    the number of links from which a page's edges are dealt over several buckets.
     """
-    spark = edges.sparkSession
-    has_script_links = "raw" in edges.columns
-    edges = written(_complete(edges), "edges")
-    if "link_file" not in roots.columns:
-        roots = roots.withColumn("link_file", F.lit(False))
-
-    def may_visit(urls: DataFrame) -> DataFrame:
-        return urls.filter(admitted(F.col("url"), F.col("host"), include, exclude))
-
-    start = may_visit(roots.select(*KEY, "host").distinct()).withColumn("depth", F.lit(0))
-    folder = fresh_path(spark, "crawl")
-    level, found = 0, write_counted(start, f"{folder}/level=0")
-    while found > 0:
-        frontier, known = _levels(spark, folder, [level]), _levels(spark, folder, range(level + 1))
-        hop = frontier.withColumnRenamed("url", "from_url").join(edges, "from_url", "inner")
-        restart = F.col("kind").isin(RESTART)
-        within = F.col("depth") < max_depth if max_depth > 0 else F.lit(True)
-        followed = hop.filter(restart | (~F.col("link_file") & within))
-        if has_script_links:
-            targets = _targets(followed, exts)
-        else:
-            targets = followed.drop("link_file").withColumnsRenamed({"to_url": "url", "page_link_file": "link_file"})
-        reached = targets.select(*KEY, "host", F.when(restart, F.lit(0)).otherwise(F.col("depth") + 1).alias("depth"))
-        nearest = may_visit(reached).groupBy(*KEY, "host").agg(F.min("depth").alias("depth"))
-        not_nearer = [nearest[k] == known[k] for k in KEY] + [known["depth"] <= nearest["depth"]]
-        better = nearest.join(known, not_nearer, "left_anti")
-        level += 1
-        found = write_counted(better.select(*KEY, "host", "depth"), f"{folder}/level={level}")
-    best = F.min(F.struct("depth", "level"))
-    return _levels(spark, folder, range(level + 1)).groupBy(*KEY, "host").agg(best.alias("b")).select(
-        *KEY, "host", F.col("b.depth").alias("depth"), F.col("b.level").alias("level")
-    )
-
-
-def _levels(spark: SparkSession, folder: str, levels: Iterable[int]) -> DataFrame:
-    """What the given rounds found."""
-    schema = "input STRING, url STRING, link_file BOOLEAN, host STRING, depth INT, level INT"
-    paths = [f"{folder}/level={n}" for n in levels]
-    return spark.read.schema(schema).option("basePath", folder).parquet(*paths)
+    walk = Crawl(edges, max_depth, include, exclude, exts, buckets, hot_page)
+    try:
+        found = walk.start(roots)
+        while found > 0:
+            found = walk.round()
+        return written(walk.result(), "crawl")
+    finally:
+        walk.forget()
 
 
 def crawl_depth(edges: DataFrame, roots: DataFrame, max_depth: int = 1, **scope) -> DataFrame:
