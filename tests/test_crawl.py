@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from webloom.plans.crawl import Crawl, LinkGraph, crawl, crawl_depth, crawl_roots, link_edges
-from webloom.plans.discoveries import page_finds, with_site
+from webloom.plans.discoveries import names_below, page_finds, with_site
 from webloom.plans.site_report import site_records, site_report
 
 
@@ -183,3 +183,21 @@ def test_empty_graph(spark):
     roots = spark.createDataFrame([("https://ex.com", "ex.com", "https://ex.com/")], "input string, host string, url string")
     assert [r.depth for r in crawl(edges, roots, 0).collect()] == [0]
     assert crawl(edges, roots.limit(0), 0).count() == 0
+
+
+def test_site_records_scan_bodies_once(spark, tmp_path):
+    path = str(tmp_path / "captures")
+    capture(spark, PAGES).write.parquet(path)
+    captures = spark.read.parquet(path)
+    finds = plan_of(page_finds(captures, names=True))
+    assert "Exchange" not in finds and finds.count("FileScan parquet") == 1
+    records = plan_of(site_records(captures, seed(spark), *[x.limit(1) for x in lists(spark)], max_depth=1))
+    assert "html" not in records and path not in records  # all that comes later reads the small rows
+
+
+def test_names_below_any_domain(spark):
+    pages = capture(spark, [("https://o.test/?r=ex.com", "pay.EX.com Pay.ex.com x.ex.community a.o.test ex.com", 200)])
+    finds = page_finds(pages, names=True)
+    for domain, want in (("ex.com", ["pay.ex.com", "x.ex.com"]), ("o.test", ["a.o.test"]), ("none.test", [])):
+        rows = names_below(finds, F.lit(domain)).filter("text is not null").orderBy("at").collect()
+        assert [r.text for r in rows] == want

@@ -1,14 +1,14 @@
 """Word lists, lookup tables, patterns and formats that results depend on.
 
-Everything here is data. Patterns are written for ``java.util.regex``: repeated groups are possessive, because the
-JVM walks a possessive group in a loop but a backtracking one by recursion, which overflows the stack on long input.
+Everything here is data.
 """
 
 # -- media, font and style files that a crawl never visits ------------------------------------------------------------
-BLACKLISTED_EXTENSIONS = (
-    "png apng bmp gif ico cur jpg jpeg jfif pjp pjpeg svg tif tiff webp xbm 3gp aac flac mpg mpeg mp3 mp4 m4a m4v "
-    "m4p oga ogg ogv mov wav webm eot woff woff2 ttf otf css"
-).split()
+BLACKLISTED_EXTENSIONS = [
+    "png", "apng", "bmp", "gif", "ico", "cur", "jpg", "jpeg", "jfif", "pjp", "pjpeg", "svg", "tif", "tiff", "webp", "xbm",
+    "3gp", "aac", "flac", "mpg", "mpeg", "mp3", "mp4", "m4a", "m4v", "m4p", "oga", "ogg", "ogv", "mov", "wav", "webm", "eot",
+    "woff", "woff2", "ttf", "otf", "css",
+]
 
 # -- well-known sitemap locations -------------------------------------------------------------------------------------
 SITEMAP_PATHS = [
@@ -27,7 +27,7 @@ SITEMAP_PATHS = [
 ]
 
 # -- archives and scanners, in declared order (the order decides which one keeps a shared URL) ------------------------
-PROVIDERS = "wayback commoncrawl otx urlscan virustotal grayhatwarfare shodan censys".split()
+PROVIDERS = ["wayback", "commoncrawl", "otx", "urlscan", "virustotal", "grayhatwarfare", "shodan", "censys"]
 
 # -- record types -----------------------------------------------------------------------------------------------------
 URL_TYPES = ["url", "href", "sitemap", "robots", "linkfinder"]
@@ -90,20 +90,13 @@ CENSYS_PORTS = [80, 443, 8080, 8443]
 CENSYS_TLS_PORTS = [443, 8443]
 FALLBACK_CRAWL_INDEX = "CC-MAIN-2023-23"
 
-# -- script links: full URLs, rooted and relative paths, path/file.ext, path/name, file.ext -- always in quotes --------
-SCRIPT_LINK = (
-    r"""(?:"|')("""
-    r"""((?:[a-zA-Z]{1,10}://|//)[^"'/]{1,}\.[a-zA-Z]{2,}[^"']{0,})"""
-    r"""|((?:/|\.\./|\./)[^"'><,;| *()(%%$^/\\\[\]][^"'><,;|()]{1,})"""
-    r"""|([a-zA-Z0-9_\-/]{1,}/[a-zA-Z0-9_\-/]{1,}\.(?:[a-zA-Z]{1,4}|action)(?:[\?|#][^"|']{0,}|))"""
-    r"""|([a-zA-Z0-9_\-/]{1,}/[a-zA-Z0-9_\-/]{3,}(?:[\?|#][^"|']{0,}|))"""
-    r"""|([a-zA-Z0-9_\-]{1,}\.(?:php|asp|aspx|jsp|json|action|html|js|txt|xml)(?:[\?|#][^"|']{0,}|))"""
-    r""")(?:"|')"""
-)
+# -- script links: full URLs, rooted and relative paths, path/file.ext, path/name, file.ext -- always in quotes. What the
+# linear scan in the extraction must find; used to compare with it. ------------------------------------------------------
+SCRIPT_LINK = r"""(?:"|')(((?:[a-zA-Z]{1,10}://|//)[^"'/]{1,}\.[a-zA-Z]{2,}[^"']{0,})|((?:/|\.\./|\./)[^"'><,;| *()(%%$^/\\\[\]][^"'><,;|()]{1,})|([a-zA-Z0-9_\-/]{1,}/[a-zA-Z0-9_\-/]{1,}\.(?:[a-zA-Z]{1,4}|action)(?:[\?|#][^"|']{0,}|))|([a-zA-Z0-9_\-/]{1,}/[a-zA-Z0-9_\-/]{3,}(?:[\?|#][^"|']{0,}|))|([a-zA-Z0-9_\-]{1,}\.(?:php|asp|aspx|jsp|json|action|html|js|txt|xml)(?:[\?|#][^"|']{0,}|)))(?:"|')"""
 
 # -- one DNS label, and the percent-code residues stripped from the front of a name -----------------------------------
 DNS_LABEL = r"(?:[a-zA-Z0-9]|[_a-zA-Z0-9][_a-zA-Z0-9-]{0,61}[a-zA-Z0-9])"
-NAME_RESIDUES = "20 25 2b 2f 3d 3a 40".split()
+NAME_RESIDUES = ["20", "25", "2b", "2f", "3d", "3a", "40"]
 
 # -- bucket names: host form, one-character region form, website form, path form, regional path form ------------------
 BUCKET_FORMS = [

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.fixed_values import BUCKET_FORMS, SCRIPT_LINK
+from webloom.fixed_values import BUCKET_FORMS
 from webloom.functions.text import (
     clean_subdomain, collapse_newlines, decode_chars, regex_quote, unescape_html,
 )
@@ -141,6 +141,24 @@ def subdomain_array(text: Column, domain: Column) -> Column:
     return F.when(mentioned, hits).otherwise(F.array().cast("array<string>"))
 
 
+# What host names are written with: letters, digits, hyphen, underscore, dot, and anything beyond ASCII.
+_NAME = r"[^\x00-,/:-@\[-^`{-\x7f]"
+_NO_DOT = r"[^\x00-,./:-@\[-^`{-\x7f]"
+#: A whole run of such characters with a dot behind a first label; it can only start where a run starts.
+NAME_RUN = rf"(?<!{_NAME})\.*+{_NO_DOT}++\.{_NAME}*+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def name_runs(text: Column) -> Column:
+    """Dotted names in a text as they stand, in small letters, in order, each once.
+
+    They are what :func:`subdomain_array` needs to know of a text, whatever the domain: a name below a domain lies within
+    one run. So a body is read once, before any domain is known, and each run is searched when one is.
+    """
+    found = F.regexp_extract_all(text, F.lit(NAME_RUN), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda s: F.translate(s, _UPPER, _LOWER)))
+
+
 def extract_subdomains(texts: DataFrame, text: str, domain: Column) -> DataFrame:
     """Rows ``(…, sub, pos)`` in place of the text column."""
     kept = [c for c in texts.columns if c != text]
@@ -181,9 +199,31 @@ def extract_s3(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(*kept, F.posexplode(bucket_array(F.col(text))).alias("pos", "bucket"))
 
 
+# Script links, in two steps. A scan from quote to quote cuts the strings of a script, each read once; a string is then
+# looked at as a whole. No form below gives back a character that it has taken, so both steps are linear.
+_PATH, _PART = r"[a-zA-Z0-9_\-/]", r"[a-zA-Z0-9_\-]"
+_TAIL = r"(?:[?|#][^\"|']*+)?+"
+_LINK_FORMS = [
+    # a URL whose authority has a dot and two letters behind its first character
+    r"(?:[a-zA-Z]{1,10}+:)?+//[^\"'/][^\"'/.]*+(?:\.(?![a-zA-Z]{2})[^\"'/.]*+)*+\.[a-zA-Z]{2}[^\"']*+",
+    # a path from the root, from here or from the folder above
+    r"(?:/|\.\./|\./)[^\"'><,;| *()%$^/\\\[\]][^\"'><,;|()]++",
+    # folder/file.ext: the first slash behind the first character leaves most for the file
+    rf"{_PATH}{_PART}*+/{_PATH}++\.(?:[a-zA-Z]{{1,4}}+|action){_TAIL}",
+    # folder/name
+    rf"{_PATH}{_PART}*+/{_PATH}{{3,}}+{_TAIL}",
+    # file.ext
+    rf"{_PART}++\.(?:php|aspx?+|jsp|json|action|html|js|txt|xml){_TAIL}",
+]
+STRING_LINK = "[\"'](" + "|".join(f"(?:{form})(?=[\"'])" for form in _LINK_FORMS) + ")[\"']"
+
+
 def script_link_array(text: Column) -> Column:
-    """Quoted links in a script text, line breaks collapsed, in order, each once."""
-    found = F.regexp_extract_all(decode_chars(text), F.lit(SCRIPT_LINK), F.lit(1))
+    """Quoted links in a script text, line breaks collapsed, in order, each once.
+
+    A string that is a link ends at its closing quote; one that is none leaves that quote to open the next.
+    """
+    found = F.regexp_extract_all(decode_chars(text), F.lit(STRING_LINK), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, collapse_newlines), lambda s: s != ""))
 
 

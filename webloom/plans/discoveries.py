@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from webloom.functions.text import unescape_html
 from webloom.functions.urls import bare_ext, hostname_of, pin, registered_domain, resolve_url
 from webloom.operators.extract import (
-    attribute_text, bucket_array, is_form, is_upload, link_file_exts, open_tags, script_link_array, script_link_is_file,
+    attribute_text, bucket_array, is_form, is_upload, link_file_exts, name_runs, open_tags, script_link_array, script_link_is_file,
     script_link_type, site_of, subdomain_array, tag_is,
 )
 
 # Order of a page's records
 PAGE, SUBDOMAIN, BUCKET, SCRIPT_LINK, LINK, FORM, UPLOAD, SCRIPT = range(8)
 PASSIVE, SITEMAP, ROBOTS = 8, 9, 10
+# A dotted name as it stands in a page; a subdomain once a domain is known
+NAME = 11
 
 RECORD_COLUMNS = ["input", "source", "type", "url", "status", "length", "from", "seen_set", "level", "step", "origin",
                   "pos"]
@@ -48,14 +50,15 @@ def _once(step: int, condition: Column) -> Column:
 
 def page_finds(
     pages: DataFrame, exts: Sequence[str] = ("js",), html: str = "html", parse: Column | None = None,
-    in_scope: Column | None = None,
+    in_scope: Column | None = None, names: bool = False,
 ) -> DataFrame:
     """One row per thing found in a page; the body is dropped here.
 
     ``pages`` has ``url``, ``domain`` (whose subdomains are looked for), the body and any columns to keep. A row has the
     ``step`` (what it is), its place ``at``, its ``text``, and for links the link text ``raw`` and the URL ``own`` that
     it has on the page's own address. ``parse`` says which pages are read as HTML, ``in_scope`` which are searched for
-    subdomains and buckets.
+    subdomains and buckets. With ``names`` no domain is asked for: every dotted name of a page is a ``NAME`` row, from
+    which :func:`names_below` makes the subdomains of any domain.
     """
     none = F.array().cast("array<string>")
     body, kept = F.col(html), [c for c in pages.columns if c != html]
@@ -66,7 +69,7 @@ def page_finds(
 
     texts = pages.select(
         *kept,
-        where(in_scope, subdomain_array(body, F.col("domain"))).alias("_subs"),
+        where(in_scope, name_runs(body) if names else subdomain_array(body, F.col("domain"))).alias("_subs"),
         where(in_scope, bucket_array(body)).alias("_buckets"),
         where(link_file, script_link_array(body)).alias("_links"),
         where(parse, open_tags(body)).alias("_tags"),
@@ -77,7 +80,7 @@ def page_finds(
         i.alias("at"), t.alias("text")))
     found = F.concat(
         _once(PAGE, F.lit(True)),
-        _items(SUBDOMAIN, F.col("_subs")),
+        _items(NAME if names else SUBDOMAIN, F.col("_subs")),
         _items(BUCKET, F.col("_buckets")),
         _items(SCRIPT_LINK, F.col("_links")),
         F.filter(tags, lambda t: t["step"] >= 0),
@@ -88,13 +91,22 @@ def page_finds(
     value = F.when(step == LINK, attribute_text(text, "href")).when(step == SCRIPT, attribute_text(text, "src"))
     finds = texts.select(*kept, F.inline(found)).withColumn("_value", value)
     raw = F.when(step == SCRIPT_LINK, text).otherwise(unescape_html(F.col("_value")))
-    plain = F.when(step.isin(SUBDOMAIN, BUCKET), text)
+    plain = F.when(step.isin(SUBDOMAIN, NAME, BUCKET), text)
     finds = pin(finds.select(*kept, "step", "at", plain.alias("text"), raw.alias("raw")), "raw")
     resolved = resolve_url(finds.filter((F.col("raw") != "") | F.col("raw").isNull()), "url", "raw", "own")
     wanted = (step != SCRIPT) | bare_ext(F.col("own")).isin(link_file_exts(exts))
     return resolved.filter((F.col("raw").isNull() | (F.col("own") != "")) & wanted)
 
 
+def names_below(finds: DataFrame, domain: Column) -> DataFrame:
+    """Rows of :func:`page_finds` with ``names``, where each ``NAME`` row gives way to the subdomains of ``domain`` that it
+    holds. A page that writes a name in two ways, as part of different runs, gives it for each."""
+    named = F.col("step") == NAME
+    texts = F.when(named, subdomain_array(F.col("text"), domain)).otherwise(F.array("text"))
+    rows = finds.withColumns({"text": F.explode(texts)})
+    return rows.withColumn("step", F.when(named, SUBDOMAIN).otherwise(F.col("step")))
+
+
 def find_records(
     finds: DataFrame, exts: Sequence[str] = ("js",), bare_subdomains: bool = False, with_from: bool = False
 ) -> DataFrame:

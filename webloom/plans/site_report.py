@@ -11,16 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.urls import registered_domain, url_key
+from webloom.functions.urls import url_key
 from webloom.operators.dedup import first_wins_printed
-from webloom.operators.extract import link_file_exts, subdomain_array
+from webloom.operators.extract import link_file_exts
 from webloom.operators.joins import join_source_attribution
 from webloom.operators.report import count_by_provider, crawl_summary
 from webloom.plans.checkpoints import written
 from webloom.plans.crawl import crawl, crawl_roots, link_edges
 from webloom.plans.discoveries import (
-    BUCKET, FIND_COLUMNS, FORM, LINK, PAGE, PASSIVE, ROBOTS, SCRIPT, SCRIPT_LINK, SITEMAP, SUBDOMAIN, UPLOAD, find_records,
-    page_finds, root_records, union_discoveries,
+    BUCKET, FIND_COLUMNS, FORM, LINK, NAME, PAGE, PASSIVE, ROBOTS, SCRIPT, SCRIPT_LINK, SITEMAP, UPLOAD, find_records,
+    names_below, page_finds, root_records, union_discoveries,
 )
 
 
@@ -36,10 +36,8 @@ def site_records(
     exts = link_file_exts(exts)
     captures = captures.withColumn("status", F.coalesce("status", F.lit(200)))
     good = captures.filter((F.col("status") >= 100) & (F.col("status") < 400)).select(
-        "url", "html", "status", F.length("html").cast("long").alias("length"),
-        registered_domain(F.col("url")).alias("domain"),
-    )
-    finds = written(page_finds(good, exts), "finds")
+        "url", "html", "status", F.length("html").cast("long").alias("length"))
+    finds = written(page_finds(good, exts, names=True), "finds")  # the only scan of the bodies
     roots = crawl_roots(seeds, sitemap_urls, robots_urls, passive_urls)
     seen = crawl(link_edges(finds, exts), roots, max_depth, include, exclude, exts)
 
@@ -54,34 +52,29 @@ def site_records(
     sourced = written(attribute_sources(visits, providers).join(seed_domains, "input", "inner"), "visits")
     scope = F.col("url").rlike(include) if include else F.col("url").contains(F.col("host"))
     sourced = sourced.withColumn("searched", scope)
+    of_pages = find_records(_visited_finds(finds, sourced, max_depth), exts)
+
+    def listed(urls: DataFrame, kind: str, step: int) -> DataFrame:
+        return root_records(urls, F.lit(kind), F.lit(kind), step)
+
+    of_archives = root_records(passive_urls, F.concat(F.lit("passive-"), "provider"), F.col("provider"), PASSIVE)
+    return union_discoveries(of_pages, listed(sitemap_urls, "sitemap", SITEMAP), listed(robots_urls, "robots", ROBOTS),
+                             of_archives)
+
 
+def _visited_finds(finds: DataFrame, visits: DataFrame, max_depth: int) -> DataFrame:
+    """What the visits of each site read: small rows joined by URL. Names become subdomains of the site's own domain here,
+    whatever domain their page belongs to."""
     step = F.col("step")
     followed = F.col("page_depth") < max_depth if max_depth > 0 else F.col("page_depth").isNotNull()
     read_as_page = F.coalesce(followed, F.lit(False))
     wanted = (
         step.isin(PAGE, SCRIPT_LINK)
-        | ((step == SUBDOMAIN) & F.col("searched") & (F.col("domain") == F.col("seed_domain")))
-        | ((step == BUCKET) & F.col("searched"))
+        | (step.isin(NAME, BUCKET) & F.col("searched"))
         | (step.isin(LINK, SCRIPT, FORM, UPLOAD) & read_as_page)
     )
     kept = [*FIND_COLUMNS, "status", "length", "input", "source", "level"]
-    of_finds = finds.join(sourced, "url", "inner").filter(wanted).select(*kept)
-
-    # pages outside their seed's own domain, in scope by another part of their URL: their bodies are searched anew
-    strangers = sourced.filter(F.col("searched") & (registered_domain(F.col("url")) != F.col("seed_domain")))
-    bodies = good.drop("domain").join(strangers, "url", "inner")
-    others = bodies.select("url", "status", "length", "input", "source", "level", F.posexplode(
-        subdomain_array(F.col("html"), F.col("seed_domain"))).alias("at", "text"))
-    of_others = others.withColumns({"step": F.lit(SUBDOMAIN), "raw": F.lit(None).cast("string"),
-                                    "own": F.lit(None).cast("string")}).select(*kept)
-    of_pages = find_records(of_finds.unionByName(of_others), exts)
-
-    def listed(urls: DataFrame, kind: str, step: int) -> DataFrame:
-        return root_records(urls, F.lit(kind), F.lit(kind), step)
-
-    of_archives = root_records(passive_urls, F.concat(F.lit("passive-"), "provider"), F.col("provider"), PASSIVE)
-    return union_discoveries(of_pages, listed(sitemap_urls, "sitemap", SITEMAP), listed(robots_urls, "robots", ROBOTS),
-                             of_archives)
+    return names_below(finds.join(visits, "url", "inner").filter(wanted), F.col("seed_domain")).select(*kept)
 
 
 def attribute_sources(visits: DataFrame, sources: DataFrame) -> DataFrame:

@@ -31,13 +31,13 @@ def query(name, sql=None):
 
 DOM = X.DOMAIN
 SITES = f"""sites as (select 'https://' || {DOM} as input, {DOM} as host, arg_min(url, page_id) as url from pages
-  group by 1, 2)"""
+  group by 1, 2, {X.HOST})"""
 
 
 def domain_roots(spark, d):
-    """One crawl per registered domain, from its lowest-numbered page."""
-    host = U.registered_domain(F.col("url"))
-    firsts = X.table(spark, d, "pages").groupBy(host.alias("host")).agg(F.min_by("url", "page_id").alias("url"))
+    """One crawl per registered domain, from the lowest-numbered page of each of its hosts."""
+    host, name = U.registered_domain(F.col("url")), U.hostname_of(F.col("url"))
+    firsts = X.table(spark, d, "pages").groupBy(host.alias("host"), name).agg(F.min_by("url", "page_id").alias("url"))
     return firsts.select(F.concat(F.lit("https://"), "host").alias("input"), "host", "url")
 
 
