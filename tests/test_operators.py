@@ -82,13 +82,20 @@ def test_first_wins_combines_before_the_shuffle(spark):
 
 def test_limit_per_group_is_exact_on_a_hot_group(spark):
     rng = random.Random(5)
-    rows = [("hot" if rng.random() < 0.7 else f"g{rng.randint(0, 9)}", rng.randint(0, 10**6), i) for i in range(3000)]
+    rows = [("hot" if rng.random() < 0.7 else f"g{rng.randint(0, 9)}", rng.randint(0, 10**6), i) for i in range(30000)]
+    rows += [(None, 3, -1), ("nulls", None, -2), ("nulls", 1, -3)]
     df = frame(spark, rows, "g string, o int, id int")
-    expected = []
-    for g in {r[0] for r in rows}:
-        expected += sorted(((r[1], r[2]) for r in rows if r[0] == g))[:40]
-    got = D.limit_per_group(df, ["g"], ["o", "id"], 40, salts=4).collect()
-    assert sorted((r.o, r.id) for r in got) == sorted(expected)
+    for cap in (40, 2500):
+        expected = []
+        for g in {r[0] for r in rows}:
+            expected += sorted(((r[1] if r[1] is not None else -1, r[2]) for r in rows if r[0] == g))[:cap]
+        got = D.limit_per_group(df, ["g"], ["o", "id"], cap).collect()
+        assert sorted((r.o if r.o is not None else -1, r.id) for r in got) == sorted(expected)
+    places = D.group_thresholds(df, ["g"], ["o", "id"], 2500).collect()
+    hot = sorted((r[1], r[2]) for r in rows if r[0] == "hot")
+    assert {r.g for r in places} >= {"hot"} and all(2500 <= sum(p <= tuple(r._last) for p in hot) < 4000 for r in places if r.g == "hot")
+    same = frame(spark, [("hot", 1, i % 3) for i in range(9000)], "g string, o int, id int")
+    assert D.limit_per_group(same, ["g"], ["o", "id"], 2500).groupBy("id").count().collect() == [(0, 2500)]
 
 
 def test_scope_join_agrees_with_all_pairs(spark):
@@ -103,6 +110,45 @@ def test_scope_join_agrees_with_all_pairs(spark):
     assert sorted((r.url, r.host, r.n) for r in got.collect()) == expected
 
 
+def test_scope_join_edges(spark):
+    hosts = ["a.co.uk", "amazon.co.uk", ".x.y", "x.", "a..b", "t.co", "é.de", "h", "long-label.example.com", ""]
+    urls = ["http://a.co.uk", "http://banana.co.uk.x.yz/", "x." * 40, "", None, "http://long-label.example.com.", "a..b?t.co", "sé.de", "/".join(["a.b"] * 30)]
+    got = J.join_scope_sites(frame(spark, [(u, 1) for u in urls], "url string, host int").withColumnRenamed("host", "n"),
+                             frame(spark, [(h,) for h in hosts], "host string"))
+    assert sorted((r.url, r.host) for r in got.collect()) == sorted((u, h) for u in urls if u is not None for h in hosts if h and h in u)
+    no_dots = J.join_scope_sites(frame(spark, [("http://a.b",)], "url string"), frame(spark, [], "host string"))
+    assert no_dots.count() == 0
+
+
+def test_one_capture_of_a_url_is_fetched(spark):
+    schema = "url string, html string, status int, captured_at string, page_id int"
+    captures = frame(spark, [
+        ("u", "old", 200, "2024", 1), ("u", "new", 200, "2025", 2), ("u", "gone", 404, "2026", 3), ("u", "never", None, None, 4),
+        ("v", "b", 200, "2025", 5), ("v", "a", 200, "2025", 5), ("v", "a", 200, "2025", 5), ("w", "x", 500, "2025", 6),
+        ("n", "one", None, None, None), ("other", "o", 200, "2025", 7)], schema)
+    frontier = frame(spark, [("u", 0), ("u", 1), ("v", 0), ("w", 0), ("n", 0), (None, 0)], "url string, depth int")
+
+    def fetched(**options):
+        return sorted((r.url, r.depth, r.html) for r in J.join_frontier_pages(frontier, captures, **options).collect())
+
+    assert fetched() == [("n", 0, "one"), ("u", 0, "new"), ("u", 1, "new"), ("v", 0, "a")]
+    assert fetched(at="2024") == [("n", 0, "one"), ("u", 0, "old"), ("u", 1, "old")]
+    plain = J.join_frontier_pages(frontier, captures.select("url", "html", "status"))
+    assert sorted(r.url for r in plain.collect()) == ["n", "u", "u", "v"]
+    assert J.join_frontier_pages(frontier, captures.limit(0)).count() == 0
+    places = J.join_frontier_pages(frontier, captures)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in places
+
+
+def test_latest_observation_counts(spark):
+    recs = frame(spark, [("url", u, None) for u in "abcde"], "type string, url string, status int")
+    log = frame(spark, [("a", "HEAD", 503, "1"), ("a", "HEAD", 200, "2"), ("a", "GET", 404, "3"), ("b", "GET", 200, "1"), ("b", "GET", 500, None),
+                        ("c", "HEAD", 200, "1"), ("c", "HEAD", 301, "1"), ("d", "HEAD", None, "9"), ("d", "GET", 204, "1"), ("x", None, 1, None)],
+                "url string, method string, status int, observed_at string")
+    got = {r.url: r.status for r in J.join_status_check(recs, log).collect()}
+    assert got == {"a": 200, "b": 200, "c": 301, "d": 204, "e": None}
+
+
 def test_status_and_source_lookups(spark):
     recs = frame(spark, [("url", "u1", 200), ("href", "u2", None), ("href", "u3", None), ("form", "u2", None),
                          ("passive-otx", "u4", None)], "type string, url string, status int")

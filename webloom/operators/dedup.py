@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from webloom.fixed_values import PROVIDERS
 from webloom.functions.urls import pin, strip_query, url_key
+from webloom.plans.checkpoints import written
 
 RECORD_ORDER = ["level", "step", "origin", "pos"]
 
@@ -68,18 +69,60 @@ def ordered_unique(rows: DataFrame, col: str) -> DataFrame:
     return rows.withColumn(col, F.array_distinct(F.col(col)))
 
 
-def limit_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[str], cap: int, salts: int = 32) -> DataFrame:
-    """The first ``cap`` rows of every group, exactly, without collecting a group.
+#: Rows of a sample that lie below a threshold, about. Caps up to this need no threshold.
+SAMPLED_BELOW = 1_000
 
-    Each group is first cut to ``cap`` rows in each of ``salts`` slices, picked by a hash of the order columns; every
-    row of the answer survives in its slice. The final ranking then sees at most ``cap * salts`` rows of a group.
+
+def _first_ranked(rows: DataFrame, group: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
+    """By ranking alone: each task cuts its share of a group before the shuffle, what is left meets in one task."""
+    within = Window.partitionBy(*group).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(within)).filter(F.col("_n") <= cap).drop("_n")
+
+
+def group_thresholds(
+    rows: DataFrame, group: Sequence[str], order: Sequence[str], cap: int, sampled: int = SAMPLED_BELOW, seed: int = 7,
+) -> DataFrame:
+    """For each group with many rows, a place in its order with at least ``cap`` rows up to it, and hardly more.
+
+    A sample holds about ``sampled`` of a group's first ``cap`` rows; the sampled row some way behind that is the
+    place. All rows up to it are counted, and a place with fewer than ``cap`` is left out, so that a cut there is exact.
+    """
+    share = min(1.0, sampled / cap)
+    wanted = round(share * cap + 6 * (share * cap) ** 0.5) + 1
+    drawn = rows.select(*group, F.struct(*order).alias("_place")).filter(F.rand(seed) < share)
+    nth = Window.partitionBy(*group).orderBy("_place")
+    places = drawn.withColumn("_n", F.row_number().over(nth)).filter(F.col("_n") <= wanted).groupBy(*group).agg(
+        F.max("_place").alias("_last"), F.max("_n").alias("_n")).filter(F.col("_n") == wanted).drop("_n")
+    # A group's rows are dealt over slices, so that a large group is counted and cut by all tasks.
+    below = with_thresholds(rows, places, group, order).filter(F.col("_place") <= F.col("_last"))
+    enough = below.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= cap).drop("_rows")
+    return places.join(enough, list(group), "left_semi")
+
+
+def with_thresholds(rows: DataFrame, places: DataFrame, group: Sequence[str], order: Sequence[str], slices: int = 64
+                    ) -> DataFrame:
+    """Rows with their place in the order and their group's threshold, if it has one. Both sides are dealt over slices of a
+    group, whatever its size."""
+    dealt = rows.withColumns({"_place": F.struct(*order), "_slice": F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int")})
+    spread = places.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return dealt.join(spread, [*group, "_slice"], "left").drop("_slice")
+
+
+def limit_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[str], cap: int, sampled: int = SAMPLED_BELOW
+                    ) -> DataFrame:
+    """The first ``cap`` rows of every group, exactly. Equal rows in the order are cut anywhere among them.
+
+    With a cap of up to ``sampled``, ranking is enough: every task passes on at most ``cap`` rows of a group. With a larger one, the
+    rows of many tasks would still be too many for the one that ranks them; so a threshold is found first, all rows beyond
+    it go where they lie, and little more than ``cap`` rows of a group are ranked. The rows are written for that, since
+    they are read three times.
     """
-    slice_of = F.pmod(F.xxhash64(*order), F.lit(salts))
-    within = Window.partitionBy(*group, "_slice").orderBy(*order)
-    overall = Window.partitionBy(*group).orderBy(*order)
-    cut = rows.withColumn("_slice", slice_of).withColumn("_n", F.row_number().over(within)).filter(F.col("_n") <= cap)
-    ranked = cut.drop("_slice").withColumn("_n", F.row_number().over(overall))
-    return ranked.filter(F.col("_n") <= cap).drop("_n")
+    if cap <= sampled:
+        return _first_ranked(rows, group, order, cap)
+    rows = written(rows, "capped")
+    places = written(group_thresholds(rows, group, order, cap, sampled), "thresholds")
+    kept = with_thresholds(rows, places, group, order).filter(F.col("_last").isNull() | (F.col("_place") <= F.col("_last")))
+    return _first_ranked(kept.drop("_place", "_last"), group, order, cap)
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

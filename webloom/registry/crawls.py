@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from webloom.functions import urls as U
 from webloom.operators import filters as P
 from webloom.plans.checkpoints import fresh_path
@@ -176,8 +174,10 @@ def site_report_(spark, d):
 # -- streams ----------------------------------------------------------------------------------------------------------
 
 def _pages_stream(spark, d):
-    """The pages table as a stream; the pattern fits a single file as well as a folder of files."""
-    return ST.capture_stream(spark, f"{d}/pages.parque[t]")
+    """The pages table as a stream of several files, taken two at a time."""
+    folder = fresh_path(spark, "stream-in")
+    X.table(spark, d, "pages").repartition(6, "page_id").write.parquet(folder)
+    return ST.capture_stream(spark, folder, 2)
 
 
 def _status_and_source(pages):
@@ -206,20 +206,31 @@ PLAIN_RECORDS = ",\n".join([
     select type, case type when 'linkfinder' then 'linkfinder' else source end as source, count(*) as records
     from disc group by 1, 2""")
 def stream_counts(spark, d):
-    name = "counts_" + uuid.uuid4().hex
-    captures = _status_and_source(_pages_stream(spark, d))
-    ST.stream_counts(captures, name, fresh_path(spark, "state")).awaitTermination()
-    return spark.table(name)
+    path = fresh_path(spark, "counts")
+    ST.stream_counts(_status_and_source(_pages_stream(spark, d)), path, fresh_path(spark, "state")).awaitTermination()
+    return ST.read_counts(spark, path)
 
 
+# Each URL is observed three times: by its page's source, by a source that was there earlier, and by one that was later.
 @query("stream_attribution", """
-    select trim(lower(url)) as url_key,
-      case when page_id % 4 = 3 then 'otx' when page_id % 4 = 2 then 'wayback' else 'body' end as source from pages""")
+    select url_key, source from (select trim(lower(url)) as url_key, seen_at, source from (
+      select url, '20240301' as seen_at, case when page_id % 4 = 3 then 'otx' when page_id % 4 = 2 then 'wayback' else 'body' end as source from pages
+      union all select upper(url), '20240401', 'shodan' from pages
+      union all select ' ' || url, case when page_id % 3 = 0 then '20240101' end, 'censys' from pages))
+    qualify row_number() over (partition by url_key order by coalesce(seen_at, '9'), source) = 1""")
 def stream_attribution(spark, d):
+    pages = X.table(spark, d, "pages").select("page_id", "url")
+    folder = fresh_path(spark, "stream-in")
+    own = _status_and_source(pages).withColumn("captured_at", F.lit("20240301"))
+    later = pages.withColumns({"url": F.upper("url"), "source": F.lit("shodan"), "captured_at": F.lit("20240401")})
+    early = F.when(F.col("page_id") % 3 == 0, F.lit("20240101"))
+    some = pages.withColumns({"url": F.concat(F.lit(" "), "url"), "source": F.lit("censys"), "captured_at": early})
+    seen = [own, later, some]
+    for rows in seen:  # the files of one source come before those of the next
+        rows.select("url", "source", "captured_at").repartition(2, "url").write.mode("append").parquet(folder)
     path = fresh_path(spark, "attribution")
-    captures = _status_and_source(_pages_stream(spark, d))
-    ST.stream_attribution(captures, path, fresh_path(spark, "state")).awaitTermination()
-    return spark.read.schema("url_key string, source string").parquet(path)
+    ST.stream_attribution(ST.capture_stream(spark, folder, 1), path, fresh_path(spark, "state")).awaitTermination()
+    return ST.read_attribution(spark, path)
 
 
 @query("stream_sink", S.with_(PLAIN_RECORDS) + f"select '[' || {S.clean_tag('type', 'url')} || '] ' || url as line from disc")

@@ -280,7 +280,7 @@ def limit_per_source(spark, d):
     rows = j.select("domain", "page_no", "part", F.posexplode(items).alias("k", "i"))
     raw = rows.select("domain", "page_no", "part", F.lpad(F.col("k").cast("string"), 9, "0").alias("pos"),
                       F.col("i.url").alias("raw")).filter("raw is not null")
-    return D.limit_per_group(raw, ["domain"], ["page_no", "part", "pos", "raw"], 25)
+    return D.limit_per_group(raw, ["domain"], ["page_no", "part", "pos", "raw"], 25, sampled=10)
 
 
 # -- de-duplication and unions ----------------------------------------------------------------------------------------
@@ -338,12 +338,28 @@ def new_urls(spark, d):
 
 # -- joins ------------------------------------------------------------------------------------------------------------
 
-@query("join_frontier_pages", S.with_(X.cte("site_graph", "captures")) + """
-    select f.to_url as url, c.status, length(c.html) as length from (select distinct to_url from site_graph) f
-    join captures c on c.url = f.to_url where c.status < 400""")
+# Every third page was captured again later, every fifth after the time asked for.
+_CAPTURED = """captured as (
+      select page_id, url, html, status, '2024010' || cast(page_id % 5 + 1 as varchar(20)) || '120000' as captured_at from captures
+      union all select page_id, url, html || '<p>again</p>', status, '20240301000000' from captures where page_id % 3 = 0
+      union all select page_id, url, html || '<p>too late</p>', status, '20250101000000' from captures where page_id % 5 = 0)"""
+
+
+@query("join_frontier_pages", S.with_(X.cte("site_graph", "captures"), _CAPTURED) + """
+    select f.to_url as url, c.status, length(c.html) as length, c.captured_at from (select distinct to_url from site_graph) f
+    join (select * from captured where status < 400 and captured_at <= '20240630000000'
+      qualify row_number() over (partition by url order by captured_at desc, page_id desc) = 1) c on c.url = f.to_url""")
 def join_frontier_pages(spark, d):
     frontier = X.derived(spark, d, "site_graph").select(F.col("to_url").alias("url")).distinct()
-    return J.join_frontier_pages(frontier, C.read_pages(X.derived(spark, d, "captures"))).select("url", "status", "length")
+    pages = X.derived(spark, d, "captures").select("page_id", "url", "html", "status")
+    n, html = F.col("page_id"), F.col("html")
+    first = F.concat(F.lit("2024010"), (n % 5 + 1).cast("string"), F.lit("120000"))
+    captures = D.union_all(
+        pages.withColumn("captured_at", first),
+        pages.filter(n % 3 == 0).withColumns({"html": F.concat(html, F.lit("<p>again</p>")), "captured_at": F.lit("20240301000000")}),
+        pages.filter(n % 5 == 0).withColumns({"html": F.concat(html, F.lit("<p>too late</p>")), "captured_at": F.lit("20250101000000")}))
+    fetched = J.join_frontier_pages(frontier, captures, at="20240630000000")
+    return fetched.select("url", "status", F.length("html").alias("length"), "captured_at")
 
 
 @query("join_unvisited", S.with_(X.cte("site_graph")) + """
@@ -353,13 +369,22 @@ def join_unvisited(spark, d):
     return J.join_unvisited(X.table(spark, d, "pages").select("url"), visited.select(F.col("to_url").alias("url")))
 
 
+# Half of the pages were first seen to fail, by both methods.
+_OBSERVED = """observed as (select url, method, status, '2' as observed_at from status_log
+      union all select url, method, 503, '1' from pages, (values ('HEAD'), ('GET')) m(method) where page_id % 2 = 0),
+    latest as (select * from observed qualify row_number() over (partition by url, method order by observed_at desc, status desc) = 1)"""
+
+
 @query("join_status_check", over_records("""
     select d.type, d.url, coalesce(d.status, case when d.type in ('url', 'href', 'linkfinder', 'subdomains')
       then coalesce(h.status, g.status) end) as status
-    from disc d left join status_log h on h.url = d.url and h.method = 'HEAD'
-      left join status_log g on g.url = d.url and g.method = 'GET'""", X.cte("status_log")))
+    from disc d left join latest h on h.url = d.url and h.method = 'HEAD'
+      left join latest g on g.url = d.url and g.method = 'GET'""", X.cte("status_log"), _OBSERVED))
 def join_status_check(spark, d):
-    return J.join_status_check(rich_records(spark, d), X.derived(spark, d, "status_log")).select("type", "url", "status")
+    failed = X.table(spark, d, "pages").filter("page_id % 2 = 0").select(
+        "url", F.explode(F.array(F.lit("HEAD"), F.lit("GET"))).alias("method"), F.lit(503).alias("status"), F.lit("1").alias("observed_at"))
+    log = D.union_all(X.derived(spark, d, "status_log").withColumn("observed_at", F.lit("2")), failed)
+    return J.join_status_check(rich_records(spark, d), log).select("type", "url", "status")
 
 
 @query("join_source_attribution", S.with_(X.cte("captures", "site_graph")) + """

@@ -6,6 +6,8 @@ it: give ``watermark`` as ``(column, delay)`` to keep keys for that long only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,25 +44,64 @@ def stream_first_seen(
     return _file_sink(_once_per_key(keyed.select("url_key", *extra), watermark), path, checkpoint)
 
 
-def stream_counts(captures: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Running number of records per type and source, in the in-memory table ``name``.
+def _delta_sink(rows: DataFrame, delta: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Write what each batch comes to as a folder under the batch's number.
 
-    The result has one row per record type and source, so the whole of it may be kept by the driver.
+    A batch that is run again after a failure replaces its own folder, so that it counts once. Nothing is kept by the
+    driver, and no state grows in the query: what all batches come to is put together when it is read.
     """
-    records = page_discoveries(captures)
+    def write(batch: DataFrame, number: int) -> None:
+        delta(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            .start())
+
+
+COUNTS = "type STRING, source STRING, records LONG, batch LONG"
+
+
+def stream_counts(captures: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Running number of records per type and source; read them with :func:`read_counts`."""
     named = F.when(F.col("type") == "linkfinder", "linkfinder").otherwise(F.col("source"))
-    counts = records.groupBy("type", named.alias("source")).agg(F.count(F.lit(1)).alias("records"))
-    return (counts.writeStream.format("memory").queryName(name).outputMode("complete")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+    def counted(records: DataFrame) -> DataFrame:
+        return records.groupBy("type", named.alias("source")).agg(F.count(F.lit(1)).alias("records"))
+
+    return _delta_sink(page_discoveries(captures), counted, path, checkpoint)
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of all batches so far."""
+    return spark.read.schema(COUNTS).parquet(path).groupBy("type", "source").agg(F.sum("records").alias("records"))
+
+
+def _first_sources(rows: DataFrame) -> DataFrame:
+    """The least of time, rank and source of each key; combines before it is shuffled."""
+    return rows.groupBy("url_key").agg(F.min(F.struct("seen_at", "rank", "source")).alias("first")).select(
+        "url_key", "first.*")
 
 
 def stream_attribution(
-    captures: DataFrame, path: str, checkpoint: str, watermark: tuple[str, str] | None = None
+    captures: DataFrame, path: str, checkpoint: str, time: str = "captured_at", rank: str = "rank",
 ) -> StreamingQuery:
-    """Append the source that first brought each URL; later sources of the same URL are dropped."""
-    extra = [watermark[0]] if watermark else []
-    keyed = captures.select(url_key(F.col("url")).alias("url_key"), "source", *extra)
-    return _file_sink(_once_per_key(keyed, watermark), path, checkpoint)
+    """The source that first brought each URL, by time, then rank, then name; read with :func:`read_attribution`.
+
+    The order in which files come does not matter: a batch keeps the first of its own, and an earlier observation in a later
+    batch takes the URL over. Either column may be missing; a row without a time comes after those that have one.
+    """
+    end = F.lit("\uffff")  # behind all times as text
+    seen = F.coalesce(F.col(time).cast("string"), end) if time in captures.columns else end
+    place = F.coalesce(F.col(rank).cast("long"), F.lit(2**62)) if rank in captures.columns else F.lit(0).cast("long")
+    keyed = captures.select(url_key(F.col("url")).alias("url_key"), seen.alias("seen_at"), place.alias("rank"), "source")
+    return _delta_sink(keyed, _first_sources, path, checkpoint)
+
+
+ATTRIBUTION = "url_key STRING, seen_at STRING, rank LONG, source STRING, batch LONG"
+
+
+def read_attribution(spark: SparkSession, path: str) -> DataFrame:
+    """``url_key, source`` after all batches so far."""
+    return _first_sources(spark.read.schema(ATTRIBUTION).parquet(path)).select("url_key", "source")
 
 
 def stream_sink(captures: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
