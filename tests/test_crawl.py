@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from webloom.plans.crawl import Crawl, LinkGraph, crawl, crawl_depth, crawl_roots, link_edges
 from webloom.plans.discoveries import names_below, page_finds, with_site
 from webloom.plans.site_report import site_records, site_report
+from webloom.plans.site_run import listing_files, passive_roots, site_roots, site_run
 
 
 def walk(edges, roots, limit):
@@ -201,3 +202,26 @@ def test_names_below_any_domain(spark):
     for domain, want in (("ex.com", ["pay.ex.com", "x.ex.com"]), ("o.test", ["a.o.test"]), ("none.test", [])):
         rows = names_below(finds, F.lit(domain)).filter("text is not null").orderBy("at").collect()
         assert [r.text for r in rows] == want
+
+
+def test_one_run_gives_records_lines_and_summary(spark):
+    maps = "<urlset><url><loc>https://ex.com/listed?a=1&amp;b=2</loc></url></urlset>"
+    files = [("https://ex.com/sitemap_index.xml", "<sitemapindex><sitemap><loc>https://ex.com/deep.xml</loc></sitemap></sitemapindex>", 200),
+             ("https://ex.com/deep.xml", maps, 200), ("https://ex.com/sitemap.xml", maps.replace("listed", "lost"), 404),
+             ("https://ex.com/robots.txt", "Disallow: /hidden\nallow: \nDisallow:none", 200), ("https://ex.com/hidden", '<a href="/found">f</a>', 200)]
+    captures = capture(spark, PAGES + files)
+    roots = [sorted((r.input, r.url) for r in x.collect()) for x in site_roots(seed(spark), captures)]
+    assert roots == [[("https://ex.com", "https://ex.com/listed?a=1&b=2")], [("https://ex.com", "https://ex.com"), ("https://ex.com", "https://ex.com/hidden")]]
+    pays = spark.createDataFrame([("ex.com", 0, 0, '{"url_list": [{"url": "https://ex.com/old"}, {"url": "https://s.ex.com/x"}], "has_next": true}'),
+                                  ("ex.com", 1, 1, '{"url_list": [{"url": "https://ex.com/later"}], "has_next": false}')],
+                                 "domain string, part bigint, page_no bigint, payload string")
+    log = spark.createDataFrame([("https://ex.com/listed?a=1&b=2", "HEAD", 204)], "url string, method string, status int")
+    run = site_run(captures, seed(spark), {"otx": pays}, log, style="clean", max_depth=2, no_subs=True, pages={"otx": 1})
+    rows = {r.url: r for r in run.records.collect()}
+    assert rows["https://ex.com/listed?a=1&b=2"].status == 204 and rows["https://ex.com/found"].type == "href"
+    assert "https://s.ex.com/x" not in rows and "https://ex.com/later" not in rows and rows["https://ex.com/old"].type == "url"
+    assert run.lines.count() == run.records.count() and run.lines.filter("line = '[URL] https://ex.com/found'").count() == 1
+    same = site_report(captures, seed(spark), *site_roots(seed(spark), captures), passive_roots(seed(spark), {"otx": pays}, no_subs=True, pages={"otx": 1}), max_depth=2)
+    assert sorted(run.summary.collect()) == sorted(same.collect())
+    plan = plan_of(listing_files(captures))
+    assert "Exchange" not in plan

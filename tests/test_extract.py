@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin
 
@@ -207,3 +208,15 @@ def test_names_of_runs_are_names_of_the_text(spark):
     long = spark.createDataFrame([("a" * 2_000_000 + " " + "a." * 500_000 + " " + "." * 1_000_000,)], "t string")
     assert long.select(F.size(E.name_runs(F.col("t")))).first()[0] == 1
     assert time.perf_counter() - began < 20
+
+
+def test_character_references_of_attributes(spark):
+    pairs = [("a&apos;b", "a'b"), ("&colon;&sol;&sol;", "://"), ("&#150;", "\u2013"), ("&#x80;&#129;", "\u20ac\x81"), ("&copy=1&copy;&copyx&copy", "&copy=1\xa9&copyx\xa9"),
+             ("?a=1&lang=en&amp=2&amp;b", "?a=1&lang=en&amp=2&b"), ("&notit;&notin;", "&notit;\u2209"), ("&NotEqualTilde;", "\u2242\u0338"), ("&#0;&#xD800;&#1114112;", "\ufffd" * 3),
+             ("&", "&"), ("&;&#;&#x;", "&;&#;&#x;"), ("&bogus;&AMP;&Auml", "&bogus;&\xc4"), ("&amp&lt", "&<")]
+    df = spark.createDataFrame(pairs, "t string, want string")
+    for r in df.select("t", "want", T.unescape_html(F.col("t")).alias("got")).collect():
+        assert r.got == r.want, r.t
+    names = [(n, t) for n, t in html5.items() if n.endswith(";")]
+    df = spark.createDataFrame([(f"<&{n}>", f"<{t}>") for n, t in names], "t string, want string")
+    assert len(names) > 2000 and df.filter(T.unescape_html(F.col("t")) != F.col("want")).count() == 0

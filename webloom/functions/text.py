@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,32 +37,61 @@ def regex_quote(c: Column) -> Column:
     return F.regexp_replace(c, r"([^A-Za-z0-9_])", r"\\$1")
 
 
+def _windows_points() -> dict[int, int]:
+    """What the numeric references 128 to 159 stand for: the Windows code page, where it has a character."""
+    out = {}
+    for n in range(128, 160):
+        try:
+            out[n] = ord(bytes([n]).decode("cp1252"))
+        except UnicodeDecodeError:
+            pass
+    return out
+
+
+#: Names with their semicolon, and the older ones that may stand without it.
+CLOSED_NAMES = {n[:-1]: t for n, t in html5.items() if n.endswith(";")}
+OPEN_NAMES = {n: t for n, t in html5.items() if not n.endswith(";")}
+MARKUP = {"amp": "&", "lt": "<", "gt": ">", "quot": '"'}
+
+
+def _table(entries: dict, value: str = "string") -> Column:
+    """A fixed table as a map; one literal, whatever its size."""
+    return F.from_json(F.lit(json.dumps(entries)), f"map<string,{value}>")
+
+
 def unescape_html(c: Column) -> Column:
-    """Decode HTML character references in one pass.
+    """Decode the character references of an HTML attribute value in one pass, as a browser does.
 
-    Numeric ones need no semicolon. Named ones do, except the four markup characters, and those only where no letter,
-    digit or ``=`` follows, as in an attribute value.
+    Numeric ones need no semicolon; 128 to 159 mean the Windows code page, and what is no character becomes U+FFFD. Names
+    with a semicolon are looked up among all of HTML's. The older ones may do without, unless a letter, digit or ``=``
+    follows. Everything else stays as it is.
     """
-    names = F.from_json(F.lit(json.dumps({n: chr(p) for n, p in name2codepoint.items()})), "map<string,string>")
-    reference = r"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|(?:amp|lt|gt|quot)(?![=A-Za-z0-9]))"
+    closed, opened = _table(CLOSED_NAMES), _table(OPEN_NAMES)
+    windows, markup = _table(_windows_points(), "bigint"), _table(MARKUP)
+    reference = r"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*+;|[A-Za-z][A-Za-z0-9]*+(?!=))"
 
-    def decoded(piece: Column) -> Column:
-        ref = F.regexp_extract(piece, reference, 1)
+    def glyph_of(ref: Column) -> Column:
         name = F.rtrim(ref, F.lit(";"))
         hexed = F.lower(name).startswith("#x")
         digits = F.when(hexed, F.substr(name, F.lit(3))).otherwise(F.substr(name, F.lit(2)))
         # No code point has more than seven digits; longer references are not converted at all.
         short = F.ltrim(digits, F.lit("0"))
         short = F.when(F.length(short).between(1, 7), short).otherwise("0")
-        point = F.when(hexed, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
+        number = F.when(hexed, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
+        point = F.coalesce(F.element_at(windows, number.cast("string")), number)
         valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
         packed = F.unhex(F.lpad(F.hex(point), 8, "0"))
         numeric = F.when(valid, F.decode(packed, "UTF-32")).otherwise("\ufffd")
-        glyph = F.when(ref.startswith("#"), numeric).otherwise(F.element_at(names, name))
-        return F.when((ref == "") | glyph.isNull(), F.concat(F.lit("&"), piece)).otherwise(
-            F.concat(glyph, F.substr(piece, F.length(ref) + 1))
-        )
+        # the four of markup are nearly all there are, and the other tables are long
+        rest = F.when(ref.endswith(";"), F.element_at(closed, name)).otherwise(F.element_at(opened, name))
+        named = F.coalesce(F.element_at(markup, name), rest)
+        return F.when(ref.startswith("#"), numeric).when(ref != "", named)
+
+    def decoded(piece: Column) -> Column:
+        found = F.array(F.regexp_extract(piece, reference, 1))  # one element, so that the reference is looked for once
+        return F.element_at(F.transform(found, lambda ref: F.coalesce(
+            F.concat(glyph_of(ref), F.substr(piece, F.length(ref) + 1)), F.concat(F.lit("&"), piece))), 1)
 
     pieces = F.split(c, "&")
-    opened = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decoded(p)))
-    return F.when(c.contains("&"), F.array_join(opened, "")).otherwise(c)
+    done = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decoded(p)))
+    return F.when(c.contains("&"), F.array_join(done, "")).otherwise(c)

@@ -7,7 +7,9 @@ from webloom.operators import filters as P
 from webloom.plans.checkpoints import fresh_path
 from webloom.plans.crawl import crawl, crawl_depth, crawl_roots, link_edges
 from webloom.plans.discoveries import page_finds
+from webloom.operators.dedup import union_all
 from webloom.plans.site_report import site_report
+from webloom.plans.site_run import site_roots
 from webloom.registry.common import F, S, X, over_records, rich_captures, with_site
 from webloom.registry.reports import COUNTS, PASSIVE_TABLES, summary_lines
 from webloom.sources import captures as C
@@ -142,6 +144,26 @@ def crawl_roots_(spark, d):
     return crawl_roots(domain_seeds(spark, d), *listed(spark, d))
 
 
+@query("site_roots", S.with_(X.cte("sitemaps", "robots", "seeds"), "sd as (select 'https://' || site as site from seeds)",
+    "ls_r as (select 'https://' || site as site, unnest(['/private/' || cast(page_id as varchar(20)), '/pub', '', 'rel/../a?b#c']) as p "
+    f"from (select page_id, {X.HOST} as site from pages))", S.resolved("rr", "ls_r", "site", "p", "found")) + """
+    select distinct 'sitemap' as kind, m.input, m.url from (
+      select regexp_extract(url, '^https://[^/]*') as input, replace(regexp_extract(body, '<loc>(.*)</loc>', 1), '&amp;', '&') as url from sitemaps
+      union all select site, site || '/only-by-index' from sd) m join sd on sd.site = m.input
+    union all select distinct 'robots', site, found from rr where site in (select site from sd)""")
+def site_roots_(spark, d):
+    def bodies(name):
+        return X.derived(spark, d, name).select("url", F.col("body").alias("html"))
+
+    seeds = C.read_seeds(X.derived(spark, d, "seeds"), "site")
+    only = seeds.select(F.concat("site", F.lit("/none.xml")).alias("url"), F.concat(
+        F.lit("<urlset><url><loc>"), "site", F.lit("/only-by-index</loc></url></urlset>")).alias("html"))
+    captures = union_all(X.table(spark, d, "pages").select("url", "html"), bodies("sitemaps"), bodies("sitemap_indexes"),
+                         bodies("robots"), only)
+    maps, robots = site_roots(seeds, captures)
+    return union_all(maps.withColumn("kind", F.lit("sitemap")), robots.withColumn("kind", F.lit("robots")))
+
+
 def report_sql(depth):
     visits = f"""visits as (select input, host, url, min(depth) as depth, bool_and(lf) as lf,
         min(case when not lf then depth end) as page_depth from states group by 1, 2, 3)"""

@@ -17,9 +17,10 @@ from webloom.fixed_values import (
     FALLBACK_CRAWL_INDEX, PROVIDERS, URLSCAN_PAGE_SIZE,
 )
 from webloom.functions.labels import bucket_url, certificate_url, service_url
-from webloom.functions.urls import normalize_url
+from webloom.functions.urls import hostname_of, normalize_url
 from webloom.operators.dedup import dedup_after_strip, first_wins, first_wins_provider, limit_per_group, union_all
 from webloom.operators.filters import filter_blank_url, filter_date_range, filter_ext_url, http_service
+from webloom.plans.checkpoints import written
 
 PLACE = ["page_no", "part", "pos"]
 _LINK = "STRUCT<url: STRING>"
@@ -113,19 +114,22 @@ def virustotal_urls(payloads: DataFrame, cap: int | None = None) -> DataFrame:
 
 def otx_page_stop(payloads: DataFrame, pages: int | None = None) -> DataFrame:
     """Pages that a page-by-page reader would get to: up to the first empty page or the first without a successor, and
-    no more than ``pages`` if that is given."""
+    no more than ``pages`` if that is given.
+
+    Payloads are parsed once and written as such; where a domain stops is told from two narrow columns of that table.
+    """
     j = _parsed(payloads, f"url_list ARRAY<{_LINK}>, has_next BOOLEAN")
     if pages is not None:
         j = j.filter(F.col("page_no") < pages)
     empty = F.coalesce(F.size("j.url_list"), F.lit(0)) <= 0
-    last = empty | ~F.coalesce("j.has_next", F.lit(False))
-    stops = j.filter(last).groupBy("domain").agg(F.min("page_no").alias("stop"))
-    reached = j.join(stops, "domain", "left").filter(F.col("stop").isNull() | (F.col("page_no") <= F.col("stop")))
-    return reached.drop("stop")
+    parsed = written(j.withColumn("last", empty | ~F.coalesce("j.has_next", F.lit(False))), "otx")
+    stops = parsed.filter("last").groupBy("domain").agg(F.min("page_no").alias("stop"))
+    reached = parsed.join(stops, "domain", "left").filter(F.col("stop").isNull() | (F.col("page_no") <= F.col("stop")))
+    return reached.drop("stop", "last")
 
 
-def otx_urls(payloads: DataFrame, cap: int | None = None) -> DataFrame:
-    rows = otx_page_stop(payloads).select("domain", "part", "page_no", F.posexplode("j.url_list").alias("pos", "item"))
+def otx_urls(payloads: DataFrame, cap: int | None = None, pages: int | None = None) -> DataFrame:
+    rows = otx_page_stop(payloads, pages).select("domain", "part", "page_no", F.posexplode("j.url_list").alias("pos", "item"))
     return _raw(rows.withColumn("raw", F.col("item.url")), "otx", cap)
 
 
@@ -243,15 +247,24 @@ READERS = {
 
 def provider_rows(
     payloads: dict[str, DataFrame], providers: Iterable[str] | None = None, since: str | None = None,
-    until: str | None = None, caps: dict[str, int] | None = None,
+    until: str | None = None, caps: dict[str, int] | None = None, pages: dict[str, int] | None = None,
+    no_subs: bool = False,
 ) -> DataFrame:
-    """Raw URL rows of the wanted providers in one table; names are not case-sensitive, unknown ones are ignored."""
+    """Raw URL rows of the wanted providers in one table; names are not case-sensitive, unknown ones are ignored.
+
+    ``caps`` and ``pages`` cut the exports of the providers they name to rows and pages. With ``no_subs``, scanners leave
+    out names that do not belong to the domain.
+    """
     wanted = PROVIDERS if providers is None else [p.lower() for p in providers]
     frames = []
     for p in PROVIDERS:
         if p in wanted and p in payloads:
-            dated = {"since": since, "until": until} if p in ("wayback", "commoncrawl") else {}
-            frames.append(URL_ROWS[p](payloads[p], cap=(caps or {}).get(p), **dated))
+            options = {"since": since, "until": until} if p in ("wayback", "commoncrawl") else {}
+            if p in ("otx", "urlscan"):
+                options["pages"] = (pages or {}).get(p)
+            if p in ("shodan", "censys"):
+                options["no_subs"] = no_subs
+            frames.append(URL_ROWS[p](payloads[p], cap=(caps or {}).get(p), **options))
     return union_all(*frames)
 
 
@@ -266,14 +279,17 @@ def union_providers(payloads: dict[str, DataFrame], providers: Iterable[str] | N
 def passive_discoveries(
     payloads: dict[str, DataFrame], providers: Iterable[str] | None = None, since: str | None = None,
     until: str | None = None, blacklist_ext: str | Iterable[str] | None = None, filter_params: bool = False,
-    caps: dict[str, int] | None = None,
+    caps: dict[str, int] | None = None, pages: dict[str, int] | None = None, no_subs: bool = False,
 ) -> DataFrame:
     """All providers' URLs: first provider wins, extension blacklist, optional query strip and second de-dup.
 
     Exports are read whole. ``caps`` cuts them to a number of rows per provider and domain, as the providers' own
-    answers are.
+    answers are, and ``pages`` to a number of pages. With ``no_subs``, only URLs on the domain itself stay, whichever
+    provider lists them.
     """
     # the first of all providers is also the first of its own, so one de-duplication does for both
-    urls = first_wins_provider(_canonical(provider_rows(payloads, providers, since, until, caps)))
-    urls = filter_ext_url(urls, blacklist_ext)
+    urls = _canonical(provider_rows(payloads, providers, since, until, caps, pages, no_subs))
+    if no_subs:
+        urls = urls.filter(hostname_of(F.col("url")) == F.col("domain"))
+    urls = filter_ext_url(first_wins_provider(urls), blacklist_ext)
     return filter_blank_url(dedup_after_strip(urls) if filter_params else urls)
