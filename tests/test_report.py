@@ -6,19 +6,19 @@ from webloom.operators import report as R
 
 SCHEMA = "input string, source string, type string, url string, status int, length long, `from` string"
 ROWS = [
-    ("https://example.com", "body", "url", "https://example.com/page", 200, 1234567, None),
-    ("https://example.com", "body", "subdomains", "http://sub.example.com", None, None, None),
-    ("https://example.com", "body", "subdomains", "https://sub.example.com", None, None, None),
-    ("https://example.com", "body", "subdomains", "http://example.com", None, None, None),
-    ("https://example.com", "body", "javascript", "https://example.com/js/app.js", None, None, None),
-    ("https://example.com", "body", "javascript", "https://example.com/css/style.css", None, None, None),
-    ("https://example.com", "body", "javascript", "https://example.com/page.html", None, None, None),
-    ("https://example.com", "body", "aws-s3", "https://bucket.s3.amazonaws.com/file", None, None, None),
-    ("https://example.com", "body", "href", "https://d123.cloudfront.net/file", None, None, "x" * 60),
-    ("https://example.com", "wayback", "passive-wayback", "https://example.com/old-page", None, None, None),
-    ("https://example.com", "otx", "passive-otx", "https://example.com/api", None, None, ""),
-    ("https://example.com", "https://example.com/a.js", "linkfinder", "https://example.com/é", None, None, "y"),
-    ("https://example.com", "body", "upload-form", "https://example.com/up", None, None, None),
+    ("https://orchard.test", "body", "url", "https://orchard.test/pears", 200, 1234567, None),
+    ("https://orchard.test", "body", "subdomains", "http://trees.orchard.test", None, None, None),
+    ("https://orchard.test", "body", "subdomains", "https://trees.orchard.test", None, None, None),
+    ("https://orchard.test", "body", "subdomains", "http://orchard.test", None, None, None),
+    ("https://orchard.test", "body", "javascript", "https://orchard.test/lib/grow.js", None, None, None),
+    ("https://orchard.test", "body", "javascript", "https://orchard.test/leaf.css", None, None, None),
+    ("https://orchard.test", "body", "javascript", "https://orchard.test/map.html", None, None, None),
+    ("https://orchard.test", "body", "aws-s3", "https://crates.s3.amazonaws.com/file", None, None, None),
+    ("https://orchard.test", "body", "href", "https://dq7.cloudfront.net/file", None, None, "x" * 60),
+    ("https://orchard.test", "wayback", "passive-wayback", "https://orchard.test/autumn", None, None, None),
+    ("https://orchard.test", "otx", "passive-otx", "https://orchard.test/press", None, None, ""),
+    ("https://orchard.test", "https://orchard.test/a.js", "linkfinder", "https://orchard.test/é", None, None, "y"),
+    ("https://orchard.test", "body", "upload-form", "https://orchard.test/up", None, None, None),
 ]
 
 
@@ -38,28 +38,28 @@ def test_clean_lines(spark):
 
 def test_standard_lines(spark):
     got = lines(R.format_standard(records(spark), show_length=True))
-    assert got[0] == "[WEB] [1,234,567 bytes] https://example.com/page [200]"
-    assert got[1] == "[WEB] [SUBDOMAINS] http://sub.example.com"
-    assert got[4] == "[WEB] [JAVASCRIPT] https://example.com/js/app.js"
-    assert got[8] == f"[WEB] [from: {'x' * 60}] https://d123.cloudfront.net/file"
-    assert got[9] == "[Wayback Machine] https://example.com/old-page"
-    assert got[10] == "[OTX] https://example.com/api"
-    assert got[11] == "[HTTPS://EXAMPLE.COM/A.JS] [from: y] https://example.com/é"
-    assert got[12] == "[WEB] [UPLOAD_FORM] https://example.com/up"
-    assert lines(R.format_standard(records(spark)))[0] == "[WEB] https://example.com/page [200]"
+    assert got[0] == "[WEB] [1,234,567 bytes] https://orchard.test/pears [200]"
+    assert got[1] == "[WEB] [SUBDOMAINS] http://trees.orchard.test"
+    assert got[4] == "[WEB] [JAVASCRIPT] https://orchard.test/lib/grow.js"
+    assert got[8] == f"[WEB] [from: {'x' * 60}] https://dq7.cloudfront.net/file"
+    assert got[9] == "[Wayback Machine] https://orchard.test/autumn"
+    assert got[10] == "[OTX] https://orchard.test/press"
+    assert got[11] == "[HTTPS://ORCHARD.TEST/A.JS] [from: y] https://orchard.test/é"
+    assert got[12] == "[WEB] [UPLOAD_FORM] https://orchard.test/up"
+    assert lines(R.format_standard(records(spark)))[0] == "[WEB] https://orchard.test/pears [200]"
 
 
 def test_json_and_quiet_lines(spark):
     got = [json.loads(x) for x in lines(R.format_json(records(spark)))]
-    assert got[0] == {"input": "https://example.com", "source": "body", "type": "url", "url": "https://example.com/page",
+    assert got[0] == {"input": "https://orchard.test", "source": "body", "type": "url", "url": "https://orchard.test/pears",
                       "status": 200, "length": 1234567}
     assert "from" not in got[10] and got[11]["from"] == "y" and "status" not in got[1]
     assert lines(R.format_quiet(records(spark))) == [r[3] for r in ROWS]
 
 
 def test_summary(spark):
-    counts = spark.createDataFrame([("https://example.com", "wayback", 50), ("https://example.com", "otx", 10),
-                                    ("https://example.com", "shodan", 0), ("https://example.com", "mine", 1)],
+    counts = spark.createDataFrame([("https://orchard.test", "wayback", 50), ("https://orchard.test", "otx", 10),
+                                    ("https://orchard.test", "shodan", 0), ("https://orchard.test", "mine", 1)],
                                    "input string, provider string, urls long")
     summary = R.summary_text(R.crawl_summary(records(spark), counts)).orderBy("input", "ord", "metric_key")
     assert lines(summary) == ["URLs discovered: 5", "Subdomains found: 1", "JavaScript files: 3", "Forms found: 1",

@@ -108,21 +108,30 @@ def crawl_js_reset(spark, d):
     return seen.select("input", "url", "link_file", "depth")
 
 
+def indexed_files(spark, d):
+    """A sitemap on each host that only the host's index lists."""
+    seeds = C.read_seeds(X.derived(spark, d, "seeds"), "site")
+    return seeds.select(F.concat("site", F.lit("/none.xml")).alias("url"), F.concat(
+        F.lit("<urlset><url><loc>"), "site", F.lit("/only-by-index</loc></url></urlset>")).alias("body"))
+
+
 def listed(spark, d):
     """Sitemap, robots and archive URLs, each with the site that they belong to."""
     def of_site(urls):
         return urls.select(F.concat(F.lit("https://"), U.registered_domain(F.col("site"))).alias("input"), "url")
 
-    maps = of_site(C.read_sitemap(X.derived(spark, d, "sitemaps")))
+    maps = of_site(union_all(C.read_sitemap(X.derived(spark, d, "sitemaps")),
+                             C.read_sitemap_index(X.derived(spark, d, "sitemap_indexes"), indexed_files(spark, d))))
     robots = of_site(C.read_robots(X.derived(spark, d, "robots")))
     passive = V.passive_discoveries(X.payloads(spark, d)).withColumn("input", F.concat(F.lit("https://"), "domain"))
     return maps, robots, passive
 
 
 LISTED = ",\n".join([
-    X.cte("sitemaps", "robots"),
+    X.cte("sitemaps", "robots", "seeds"),
     f"maps as (select 'https://' || {DOM} as input, replace(regexp_extract(body, '<loc>(.*)</loc>', 1), '&amp;', '&') "
-    "as url from sitemaps)",
+    f"as url from sitemaps union all select 'https://' || {DOM}, url || '/only-by-index' from "
+    "(select 'https://' || site as url from seeds))",
     S.exploded("ls", "robots", "str_split(body, chr(10))", "line", "place", "url as robots_url, body"),
     "ps as (select regexp_extract(robots_url, '^https?://[^/]*') as site, trim(regexp_replace(line, '(?i).*llow: ', '')) "
     "as p from ls where contains(lower(line), 'llow: '))", S.resolved("rs_", "ps", "site", "p", "found"),
@@ -156,8 +165,7 @@ def site_roots_(spark, d):
         return X.derived(spark, d, name).select("url", F.col("body").alias("html"))
 
     seeds = C.read_seeds(X.derived(spark, d, "seeds"), "site")
-    only = seeds.select(F.concat("site", F.lit("/none.xml")).alias("url"), F.concat(
-        F.lit("<urlset><url><loc>"), "site", F.lit("/only-by-index</loc></url></urlset>")).alias("html"))
+    only = indexed_files(spark, d).withColumnRenamed("body", "html")
     captures = union_all(X.table(spark, d, "pages").select("url", "html"), bodies("sitemaps"), bodies("sitemap_indexes"),
                          bodies("robots"), only)
     maps, robots = site_roots(seeds, captures)

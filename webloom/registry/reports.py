@@ -307,20 +307,20 @@ def first_wins_by_set(spark, d):
     union all select 'https://' || {X.HOST}, 'sitemap', 'sitemap', url, 9 from pages
     union all select 'https://' || split_part(split_part(url, '://', 2), '/', 1), 'robots', 'robots', url, 10 from rs
       where url <> ''
-    union all select 'https://' || domain, 'virustotal', 'passive-virustotal', url, 8 from virustotal_urls""",
+    union all select 'https://' || domain, provider, 'passive-' || provider, url, 8 from united""",
     X.cte("robots"), S.exploded("ls", "robots", "str_split(body, chr(10))", "line", "pos", "url as robots_url, body"),
     "ps as (select regexp_extract(robots_url, '^https?://[^/]*') as site, trim(regexp_replace(line, '(?i).*llow: ', '')) "
     "as p from ls where contains(lower(line), 'llow: '))", S.resolved("rs", "ps", "site", "p", "url"),
-    *provider_tables("virustotal")))
+    *_ALL, _UNION))
 def union_discoveries_(spark, d):
     maps = C.read_sitemap(X.derived(spark, d, "sitemaps")).withColumnRenamed("site", "input")
     robots = C.read_robots(X.derived(spark, d, "robots")).withColumnRenamed("site", "input")
-    vt = V.read_virustotal(X.derived(spark, d, "virustotal")).withColumn("input", F.concat(F.lit("https://"), "domain"))
+    passive = V.union_providers(X.payloads(spark, d)).withColumn("input", F.concat(F.lit("https://"), "domain"))
     united = union_discoveries(
         rich_records(spark, d),
         root_records(maps, F.lit("sitemap"), F.lit("sitemap"), 9),
         root_records(robots, F.lit("robots"), F.lit("robots"), 10),
-        root_records(vt, F.concat(F.lit("passive-"), "provider"), F.col("provider"), 8),
+        root_records(passive, F.concat(F.lit("passive-"), "provider"), F.col("provider"), 8),
     )
     return united.select("input", "source", "type", "url", "step")
 
@@ -476,11 +476,11 @@ def summary_lines(source):
 
 @query("crawl_summary", over_records(f"""
     select *, metric || ': ' || value || case when ord = 6 then ' Urls' else '' end as line from (
-      {summary_lines('counted')} union all select 'https://' || domain, 6, 'virustotal', 'VirusTotal', count(*)
-      from virustotal_urls group by domain)""", COUNTED, *provider_tables("virustotal")))
+      {summary_lines('counted')} union all select 'https://' || domain, 6, provider, {S.provider_label('provider')}, count(*)
+      from united group by domain, provider)""", COUNTED, *_ALL, _UNION))
 def crawl_summary(spark, d):
-    vt = V.read_virustotal(X.derived(spark, d, "virustotal")).withColumn("input", F.concat(F.lit("https://"), "domain"))
-    return R.summary_text(R.crawl_summary(rich_records(spark, d), R.count_by_provider(vt, "input")))
+    passive = V.union_providers(X.payloads(spark, d)).withColumn("input", F.concat(F.lit("https://"), "domain"))
+    return R.summary_text(R.crawl_summary(rich_records(spark, d), R.count_by_provider(passive, "input")))
 
 
 # -- formats ----------------------------------------------------------------------------------------------------------
