@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 from hashlib import sha256
 
@@ -142,6 +143,50 @@ def test_pii_is_linear_and_redacts(spark):
     assert redact_pii(df.limit(0)).count() == 0
 
 
+def test_secrets_are_found_by_the_method(spark):
+    rng = random.Random(6)
+
+    def digest(n, letters="0123456789abcdef"):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kept = [f'token = "{digest(40)}"' for _ in range(20)] + [f"API_KEY: {digest(64).upper()}" for _ in range(5)] + [f"secret=ghp_{digest(36, mixed)};" for _ in range(5)]
+    left = ["folder/name/with/many/parts/and-1-digit", "a" * 50, "1" * 12, "no_secret_here_at_all_in_words", None, ""]
+    rows = find_pii(table(spark, kept + left).drop("pii")).select("text", "pii").collect()
+    for r in rows:
+        found = [r.text[s.start:s.end] for s in r.pii if s.kind == "secret" and not s.base]
+        want = re.findall(r"[A-Za-z0-9_]{36,}", r.text) if r.text in kept else []
+        assert found == want, r.text
+    assert all(x.count("[SECRET]") == 1 for x in (r.text for r in redact_pii(table(spark, kept)).collect()))
+
+
+def test_many_matches_in_one_text(spark):
+    seconds = []
+    for n in (10_000, 20_000):
+        df = table(spark, ["a@b.cc, " * n + "😀 1.2.3.4"])
+        began = time.perf_counter()
+        spans = find_pii(df).first().pii
+        assert len(spans) == n + 1 and [s.start for s in spans[:-1]] == list(range(0, 8 * n, 8))
+        assert redact_pii(df).first().text == "[EMAIL], " * n + "😀 [IP]"
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 3 * seconds[0] + 2
+
+
+def test_overlapping_spans_become_one(spark):
+    rng = random.Random(8)
+    parts = ["a@1.2.3.4", "+1 234 567 8901", "4111 1111-1111 1111", " ", "x", "1.2.3.4", "@b.c", "Mr Hans Peter", "token ", "0123456789abcdef" * 2]
+    df = table(spark, ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(200)])
+    marked = {r.text: r.pii for r in find_pii(df).select("text", "pii").collect()}
+    for before, after in zip(df.collect(), redact_pii(df).collect()):
+        out, at, open_end = "", 0, 0
+        for s in marked[before.text]:
+            if s.start >= open_end:
+                out += before.text[at:s.start] if s.start > at else ""
+                out += f"[{s.kind.upper()}]"
+            open_end = at = max(open_end, s.end)
+        assert after.text == out + before.text[at:]
+
+
 def test_benchmark_windows(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(200)]

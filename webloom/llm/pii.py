@@ -37,6 +37,9 @@ FIRST_NAMES = """James Mary John Patricia Robert Jennifer Michael Linda William
 Maria Anna Hans Peter Klaus Ursula Jürgen Sabine Pierre Jean Marie Claire Luc Sophie José Juan Carmen Carlos Lucía
 Pedro""".split()
 NAME = rf"\b(?:(?:{TITLES})\.?|{'|'.join(FIRST_NAMES)})\x20\p{{Lu}}\p{{Ll}}{{1,30}}+(?:\x20\p{{Lu}}\p{{Ll}}{{1,30}}+)?"
+# A run of key characters that holds a digit and is long; it can only start where such a run starts.
+KEY = "A-Za-z0-9+/_-"
+SECRET = rf"(?<![{KEY}])(?=[A-Za-z+/_-]*+[0-9])[{KEY}]{{20,}}+={{0,2}}+"
 TOP_DOMAINS = "com|org|net|edu|gov|mil|int|info|io|de|fr|es|uk|eu|at|ch|it|nl|pl|us|ca|br|mx|ar|jp|cn|in|au"
 DIAL_CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-9][0-9]|35[0-9]|37[0-9]|38[0-9]|42[0-9]"
 CUES = {
@@ -47,11 +50,12 @@ CUES = {
     "masked_email": "mail|contact|write|correo",
     "local_phone": r"\btel\b|phone|call|mobile|fax|ruf|téléphone|teléfono",
     "name": "name|by|from|dear|von|par|por",
+    "secret": r"token|key|passw|pwd|secret|credential|bearer|auth",
 }
 AGAINST = r"version|\bv\b|build|isbn|order|serial|invoice|section|figure"
 
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "masked_email": MASKED_EMAIL,
-            "local_phone": LOCAL_PHONE, "name": NAME}
+            "local_phone": LOCAL_PHONE, "name": NAME, "secret": SECRET}
 #: Cheap tests that hold wherever a pattern matches.
 MAY_HOLD = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -61,6 +65,7 @@ MAY_HOLD = {
     "masked_email": lambda t: t.rlike(r"[(\[](?:at|AT)[)\]]"),
     "local_phone": lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
     "name": lambda t: t.rlike(rf"\b(?:{TITLES}|{'|'.join(FIRST_NAMES)})\b"),
+    "secret": lambda t: t.rlike(rf"(?<![{KEY}])(?=[A-Za-z+/_-]*+[0-9])[{KEY}]{{20}}"),
 }
 KINDS = list(PATTERNS)
 VOTERS = ["format", "gazetteer", "context", "border"]
@@ -75,7 +80,8 @@ def _digits(s: Column) -> Column:
 
 
 def _format_vote(kind: str, s: Column) -> Column:
-    """The base formats' own checks; the further kinds have none."""
+    """The base formats' own checks. A secret is all hexadecimal, or has small and capital letters and digits; the other
+    kinds have no check."""
     if kind == "ip":
         return ~F.exists(F.split(s, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))).cast("int") > 3) & ~F.exists(
             F.split(s, r"\."), lambda p: F.coalesce(F.right(p, F.lit(3)).cast("int"), F.lit(0)) > 255)
@@ -83,6 +89,8 @@ def _format_vote(kind: str, s: Column) -> Column:
         return F.length(_digits(s)).between(12, 19) & F.call_function("luhn_check", _digits(s))
     if kind == "phone":
         return F.length(_digits(s)).between(9, 15)
+    if kind == "secret":
+        return s.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") | (s.rlike("[0-9]") & s.rlike("[a-z]") & s.rlike("[A-Z]"))
     return F.lit(True)
 
 
@@ -99,32 +107,63 @@ def _gazetteer_vote(kind: str, s: Column) -> Column:
         return _digits(s).rlike(f"^(?:{DIAL_CODES})")
     if kind == "local_phone":
         return _digits(s).rlike("^[2-9]")
+    if kind == "secret":  # lengths of digests in hexadecimal, and prefixes that issuers give their keys
+        return s.rlike("^(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{128})$") | s.rlike(
+            "^(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk[-_]|xox[abp]-|eyJ)")
     return s.rlike(rf"^(?:{'|'.join(FIRST_NAMES)})\b|\x20(?:{'|'.join(FIRST_NAMES)})\b")
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Running sums and greatest values go block by block, so that no array grows element by element.
+BLOCK = 128
+
+
+def _running(values: Column, start: int, step) -> Column:
+    """For each element what ``step`` makes of all elements before it, from ``start``."""
+    def over(x: Column) -> Column:
+        return F.aggregate(x, F.lit(start), step)
+
+    def by_blocks(blocks: Column) -> Column:
+        def inside(heads: Column) -> Column:
+            return F.flatten(F.zip_with(blocks, heads, lambda block, head: F.transform(
+                block, lambda x, j: step(head, over(F.slice(block, F.lit(1), j))))))
+
+        return _bound(F.transform(blocks, over), lambda sums: _bound(
+            F.transform(sums, lambda x, i: over(F.slice(sums, F.lit(1), i))), inside))
+
+    def of(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(numbers, lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(v) > 0, _bound(blocks, by_blocks)).otherwise(F.array().cast("array<int>"))
+
+    return _bound(values, of)
+
+
 def _spans(text: Column, kind: str) -> Column:
     """Spans of one kind: start, end (code points, end exclusive), the matched text and what stands on both sides.
 
     Matches and the pieces between them alternate, so lengths add up to places.
     """
     matches, gaps = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    both = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    after = F.transform(F.slice(gaps, F.lit(2), F.size(matches)), lambda g: F.left(g, F.lit(1)))
-    empty = F.array().cast("array<struct<start:int,end:int,found:string,before:string>>")
-    found = F.aggregate(
-        both, F.struct(F.lit(0).alias("at"), empty.alias("all")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["all"], F.array(F.struct(
-                (acc["at"] + F.length(x["g"])).alias("start"),
-                (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
-                x["m"].alias("found"), F.right(x["g"], F.lit(24)).alias("before")))).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
-    return F.zip_with(found, after, lambda s, a: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), s["before"].alias("before"),
-        a.alias("after")))
+
+    def placed(m: Column, g: Column) -> Column:
+        after = F.transform(F.slice(g, F.lit(2), F.size(m)), lambda x: F.left(x, F.lit(1)))
+        parts = F.zip_with(F.zip_with(m, F.slice(g, F.lit(1), F.size(m)), lambda x, y: F.struct(x.alias("m"), y.alias("g"))),
+                           after, lambda x, y: F.struct(x["m"].alias("m"), x["g"].alias("g"), y.alias("after")))
+
+        def joined(both: Column) -> Column:
+            lengths = F.transform(both, lambda x: F.length(x["g"]) + F.length(x["m"]))
+            return F.zip_with(both, _running(lengths, 0, lambda x, y: x + y), lambda x, at: F.struct(
+                (at + F.length(x["g"])).alias("start"), (at + F.length(x["g"]) + F.length(x["m"])).alias("end"),
+                x["m"].alias("found"), F.right(x["g"], F.lit(24)).alias("before"), x["after"].alias("after")))
+
+        return _bound(parts, joined)
+
+    return _bound(matches, lambda m: _bound(gaps, lambda g: placed(m, g)))
 
 
 def _side(c: Column) -> Column:
@@ -279,26 +318,41 @@ def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
     without spans, null ones included, are left as they are."""
     name, cut = free_name(df, "pii"), free_name(df, "pii_cut")
     marked = find_pii(df, text, name)
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    merged = F.aggregate(F.col(name), empty, lambda acc, s: F.when(
-        (F.size(acc) > 0) & (s["start"] < F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1))),
-        F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(
-            F.try_element_at(acc, F.lit(-1))["start"].alias("start"),
-            F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"),
-            F.try_element_at(acc, F.lit(-1))["kind"].alias("kind")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))))
-    marked = marked.withColumn(cut, F.when(F.size(name) > 0, merged))
-    t, cuts = text_of(text), F.col(cut)
-    ends = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda s: s["end"]))
+
+    def merged(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+
+        def opened(reach: Column) -> Column:
+            """Spans that start where all before them have ended, each with where these ended."""
+            return F.filter(F.zip_with(spans, reach, lambda s, r: F.struct(
+                s["start"].alias("start"), s["kind"].alias("kind"), r.alias("before"))), lambda x: x["start"] >= x["before"])
+
+        def closed(heads: Column) -> Column:
+            """A span ends where all before the next one have ended."""
+            ends_of = F.concat(F.transform(F.slice(heads, F.lit(2), F.size(heads)), lambda x: x["before"]),
+                               F.array(F.array_max(ends)))
+            return F.zip_with(heads, ends_of, lambda h, e: F.struct(
+                h["start"].alias("start"), e.alias("end"), h["kind"].alias("kind")))
+
+        return _bound(_running(ends, 0, lambda x, y: F.greatest(x, y)), lambda reach: _bound(opened(reach), closed))
+
+    marked = marked.withColumn(cut, F.when(F.size(name) > 0, _bound(F.col(name), merged)))
+    t = text_of(text)
     # Four bytes a character make every cut as long as the piece, however long the text is. An x in front keeps a piece
     # from being read as a byte order mark.
-    wide = F.encode(t, "UTF-32")
     mark = F.unhex(F.lit("00000078"))
-    piece = lambda start, length: F.substring(
-        F.decode(F.concat(mark, F.substring(wide, start * 4 + 1, length * 4)), "UTF-32"), F.lit(2), length)
-    pieces = F.zip_with(cuts, F.slice(ends, F.lit(1), F.size(cuts)), lambda s, e: F.concat(
-        piece(e, s["start"] - e), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = piece(F.element_at(ends, -1), F.length(t) - F.element_at(ends, -1))
-    redacted = F.concat(F.array_join(pieces, ""), tail)
-    return marked.withColumn(text, F.when(cuts.isNotNull(), redacted).otherwise(F.col(text))).select(*df.columns)
+
+    def redacted(wide: Column, cuts: Column) -> Column:
+        def piece(start: Column, length: Column) -> Column:
+            return F.substring(F.decode(F.concat(mark, F.substring(wide, start * 4 + 1, length * 4)), "UTF-32"), F.lit(2), length)
+
+        def put_together(ends: Column) -> Column:
+            pieces = F.zip_with(cuts, F.slice(ends, F.lit(1), F.size(cuts)), lambda s, e: F.concat(
+                piece(e, s["start"] - e), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            last = F.element_at(ends, -1)
+            return F.concat(F.array_join(pieces, ""), piece(last, F.floor(F.octet_length(wide) / 4).cast("int") - last))
+
+        return _bound(F.concat(F.array(F.lit(0)), F.transform(cuts, lambda s: s["end"])), put_together)
+
+    text_out = _bound(F.encode(t, "UTF-32"), lambda wide: _bound(F.col(cut), lambda cuts: redacted(wide, cuts)))
+    return marked.withColumn(text, F.when(F.col(cut).isNotNull(), text_out).otherwise(F.col(text))).select(*df.columns)
