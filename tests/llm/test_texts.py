@@ -103,6 +103,31 @@ def test_quality_rules(spark):
     assert got.script == "cjk" and got.byte_fallback_share > 0
 
 
+def test_each_band_rejects(spark):
+    """Usual texts make the rule; one text too far off by each measure goes, and so do few others."""
+    rng = random.Random(9)
+    words = "the of and to in is was for that with from this have they which their there would about other many time people year way".split()
+    usual = [" ".join(rng.choice(words) for _ in range(rng.randint(60, 200))) for _ in range(400)]
+    many = " ".join(rng.choice(words) for _ in range(150))
+    odd = {"chars_per_token": " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(120)),
+           "byte_fallback_share": " ".join(rng.choice(words) + "龘龘龘" for _ in range(120)),
+           "token_entropy": "".join(rng.choice(["the ", "the of ", "the and "]) for _ in range(300)).strip()}
+    rows = [(t, "en") for t in usual] + [(many, "en")] * 900 + [(t, "en") for t in odd.values()]
+    rows += [(t, None) for t in odd.values()] + [(t, "xx") for t in usual[:5]] + [(None, "en"), ("", None)]
+    df = spark.createDataFrame([(t, lang, 0) for t, lang in rows], "text string, lang string, usual int").repartition(5)
+    out = quality_rules(df, BYTE_VOCABULARY, PIECE_VOCABULARY).collect()
+    assert len(out) == len(rows) and all(r.usual == 0 for r in out)
+    by = {(r.text, r.lang): r for r in out}
+    assert sum(by[t, "en"].kept for t in usual) >= 395 and by[many, "en"].kept and all(by[t, "xx"].kept == by[t, "en"].kept for t in usual[:5])
+    for name, text in odd.items():
+        for lang in ("en", None):
+            assert by[text, lang].base_failed or not by[text, lang].kept, name
+    assert not by[odd["chars_per_token"], "en"].base_failed and not by[odd["byte_fallback_share"], "en"].base_failed
+    assert quality_rules(df.limit(0), BYTE_VOCABULARY, PIECE_VOCABULARY).count() == 0
+    few = quality_rules(df.where(F.col("text").isin(usual[:3])), BYTE_VOCABULARY, PIECE_VOCABULARY).collect()
+    assert all(r.kept for r in few)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -1,9 +1,14 @@
 """Quality rules: how well public vocabularies fit a text, besides counts of words, symbols and repetition.
 
 Fertility is measured with two public vocabularies: a byte-level BPE gives characters per token and the entropy of a
-text's tokens, a piece BPE with byte fallback gives the share of a text's bytes that it can only write as byte tokens. Bands per language, or
-per script where a language has none, reject texts that a vocabulary fits unusually badly or well. Every text is
-measured whole and by itself, so the work is one narrow pass.
+text's tokens, a piece BPE with byte fallback gives the share of a text's bytes that it can only write as byte tokens.
+Bands per language, or per script where a language has too few texts, reject texts that a vocabulary fits unusually badly
+or well.
+
+Every text is measured whole and by itself, in one narrow pass that leaves a small row. The bands are quantiles over all
+these rows: what is usual in a language is its median, how far texts lie from it is a high quantile of their distances, and
+a text is rejected at several times that. Copies count once there, so that no group of them makes itself the rule. Fixed
+outer bands hold besides, and alone where a script has too few texts.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.bpe import load_bpe
-from webloom.llm.common import free_name, map_texts
+from webloom.llm.common import free_name, map_texts, stored
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -29,6 +34,15 @@ WINDOW = 8
 ENTROPY_TOKENS = 64
 
 
+#: Different texts that a language or script needs for bands of its own.
+LEAST_TEXTS = 200
+#: A text is rejected at so many times the usual distance, which is this quantile of all distances, as a share of what the
+#: quantile is in a normal distribution. Distances of less than ``NEAR`` are never too far: a share of the median for
+#: characters per token, absolute for the two shares.
+TIMES, QUANTILE, OF_NORMAL = 4.5, 0.9, 1.645
+NEAR = 0.05
+
+
 @dataclass(frozen=True)
 class Band:
     """What a text may measure: characters per token, entropy as a share of its most, share of bytes written as byte tokens."""
@@ -40,7 +54,7 @@ class Band:
     bytes_high: float = 0.10
 
 
-#: By language, then by script. Measured on prose of these vocabularies' public uses, with room on both sides.
+#: Outer bands by language, then by script, with room on both sides; the limits of a table's own texts lie within.
 LANGUAGE_BANDS = {
     "en": Band(2.1, 7.0, 0.42),
     "de": Band(1.8, 6.0, 0.42),
@@ -159,9 +173,10 @@ def quality_rules(
 ) -> DataFrame:
     """Append base counts, fertility measures, ``base_failed`` and ``kept``.
 
-    Null texts count as empty: no words, ``base_failed``. A null, unknown or absent language takes the band of the
-    text's script. Texts of fewer than ``ENTROPY_TOKENS`` tokens are not judged by entropy. Columns of the table that
-    have the name of a measure are replaced. Equal rows get equal results; an empty table gives an empty table.
+    Null texts count as empty: no words, ``base_failed``. A null or absent language, or one with fewer than
+    ``LEAST_TEXTS`` different texts that pass the base rules, takes the bands of the text's script; a script with as few
+    has the fixed outer bands only. Texts of fewer than ``ENTROPY_TOKENS`` tokens are not judged by entropy. Columns of the
+    table that have the name of a measure are replaced. Equal rows get equal results; an empty table gives an empty table.
     """
     has_language = language is not None and language in df.columns
     tag = free_name(df, "band_language")
@@ -171,12 +186,80 @@ def quality_rules(
                          [*columns, tag])
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return measured.withColumns({"base_failed": failed, "kept": ~failed & fits_band(F.col(tag), F.col("script"))}) \
-        .drop(tag)
+    measured = stored(measured.withColumn("base_failed", failed), "measures")
+    fit = free_name(measured, "usual")
+    return judged(measured, tag, fit).withColumn(
+        "kept", ~F.col("base_failed") & fits_band(F.col(tag), F.col("script")) & F.col(fit)).drop(tag, fit)
+
+
+def _entropy_share() -> Column:
+    return F.col("token_entropy") / F.log2(F.greatest(F.col("n_tokens"), F.lit(2)))
+
+
+def _length_class() -> Column:
+    """Entropy as a share of its most falls with the length of a text; it is compared among texts of like length."""
+    return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(2)))).cast("int")
+
+
+def _key(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(kind + ":"), value)
+
+
+def band_limits(measured: DataFrame, language: str, least: int = LEAST_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """What is usual in each language and script with enough texts that pass the base rules.
+
+    ``key, chars, chars_far, entropy_far, bytes_most`` and ``key, length_class, entropy``: medians, and usual distances from
+    them. A text's characters per token spread less the more tokens it has, so its distance is weighed by their square root.
+    """
+    usable = measured.where(~F.col("base_failed") & (F.col("n_tokens") > 0)).select(
+        F.col(language).alias("language"), "script", "n_words", "word_chars", "n_tokens", "chars_per_token",
+        "byte_fallback_share", _entropy_share().alias("share"), _length_class().alias("length_class")).distinct()
+    keys = F.array_compact(F.array(_key("language", F.col("language")), _key("script", F.col("script"))))
+    rows = stored(usable.select(F.explode(keys).alias("key"), "n_tokens", "chars_per_token", "byte_fallback_share", "share",
+                                "length_class"), "usable")
+    centre = rows.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.percentile_approx("chars_per_token", 0.5).alias("chars"))
+    centre = centre.where(F.col("texts") >= least).drop("texts")
+    entropy = rows.groupBy("key", "length_class").agg(F.percentile_approx("share", 0.5).alias("entropy")).join(
+        centre.select("key"), "key", "left_semi")
+    far = rows.join(centre, "key").join(entropy, ["key", "length_class"]).groupBy("key", "chars").agg(
+        (F.percentile_approx(F.abs(F.col("chars_per_token") - F.col("chars")) * F.sqrt("n_tokens"), QUANTILE) / OF_NORMAL
+         ).alias("chars_far"),
+        (F.percentile_approx(F.abs(F.col("share") - F.col("entropy")), QUANTILE) / OF_NORMAL).alias("entropy_far"),
+        F.percentile_approx("byte_fallback_share", QUANTILE).alias("bytes_most"))
+    return far, entropy
+
+
+def judged(measured: DataFrame, language: str, out: str, least: int = LEAST_TEXTS) -> DataFrame:
+    """Append ``out``: whether a text lies within the limits of its language, else of its script, else true."""
+    limits, entropy = (stored(x, "limits") for x in band_limits(measured, language, least))
+    limits = limits.withColumnRenamed("key", "limit key")
+    own = measured.withColumns({"language key": _key("language", F.col(language)), "script key": _key("script", F.col("script")),
+                                "length class": _length_class()})
+
+    def named(prefix: str, by: str) -> DataFrame:
+        return limits.select(*[F.col(c).alias(f"{prefix} {c}") for c in limits.columns]).withColumnRenamed(
+            f"{prefix} limit key", by)
+
+    both = own.join(named("language", "language key"), "language key", "left").join(named("script", "script key"), "script key", "left")
+    by_language = F.col("language chars").isNotNull()
+    chosen = {c: F.when(by_language, F.col(f"language {c}")).otherwise(F.col(f"script {c}"))
+              for c in ("chars", "chars_far", "entropy_far", "bytes_most")}
+    key = F.when(by_language, F.col("language key")).when(F.col("script chars").isNotNull(), F.col("script key"))
+    centres = entropy.select(F.col("key").alias("chosen key"), F.col("length_class").alias("length class"),
+                             F.col("entropy").alias("usual entropy"))
+    whole = both.withColumn("chosen key", key).join(centres, ["chosen key", "length class"], "left")
+    chars_off = F.abs(F.col("chars_per_token") - chosen["chars"])
+    entropy_off = F.abs(_entropy_share() - F.col("usual entropy"))
+    odd = (
+        ((chars_off > NEAR * chosen["chars"]) & (chars_off * F.sqrt("n_tokens") > TIMES * chosen["chars_far"]))
+        | ((F.col("n_tokens") >= ENTROPY_TOKENS) & (entropy_off > F.greatest(F.lit(NEAR), TIMES * chosen["entropy_far"])))
+        | (F.col("byte_fallback_share") > F.greatest(F.lit(NEAR), 2 * chosen["bytes_most"]))
+    )
+    return whole.withColumn(out, ~F.coalesce(odd, F.lit(False))).select(*measured.columns, out)
 
 
 def fits_band(language: Column, script: Column) -> Column:
-    share = F.col("token_entropy") / F.log2(F.greatest(F.col("n_tokens"), F.lit(2)))
+    share = _entropy_share()
 
     def fits(b: Band) -> Column:
         return (
