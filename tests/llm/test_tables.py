@@ -1,5 +1,6 @@
 """Operators on whole tables: groups, joins, learned models, the pipeline."""
 
+import hashlib
 import random
 import zlib
 
@@ -14,6 +15,7 @@ from check import TABLES, compare
 from conftest import DATA
 from webloom.llm.chat import format_chats, read_chats
 from webloom.llm.components import connected_components
+from webloom.llm.decontam import drop_contaminated
 from webloom.llm.licenses import collision, find_licenses, template_table
 from webloom.llm.quality import classify_quality, labelled
 from webloom.llm.registry import RULES, SQL
@@ -196,11 +198,48 @@ def test_quality_separates(spark):
     assert {r.score for r in classify_quality(df, labels.limit(0)).collect()} == {0.5}
 
 
-def test_pipeline_on_whole_table(spark):
-    out = entry.queries()["pipeline"](spark, DATA)
+def test_pipeline_row_by_row(spark):
+    """Every stage on its own input: what goes, what stays, and what the texts become."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+    from webloom.llm.pii import find_pii
+    from webloom.llm.registry import BYTE_VOCABULARY
+    from webloom.llm.toxicity import fit_grammar
+
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    assert 0 < out.count() < docs.count() and out.select("doc_id").distinct().count() == out.count()
-    assert out.columns == [*[c for c in docs.columns if c != "text"], "ids"]
+    labels, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("labels", "benchmark"))
+    out = entry.queries()["pipeline"](spark, DATA)
+    assert out.columns == [*[c for c in docs.columns if c != "text"], "ids", "decoded_sha256"]
+    got = {r.doc_id: r for r in out.collect()}
+    left = {r.doc_id: r.text for r in docs.collect()}
+
+    grammar = fit_grammar(docs, labels)  # toxicity: the walk of one text at a time
+    left = {i: t for i, t in left.items() if grammar.score(t or "") < 0.5}
+
+    bits = {i: brute_fingerprint(t) for i, t in left.items()}  # near-duplicates: all pairs
+    group = groups([(a, b) for a in left for b in left if a < b and (bits[a] ^ bits[b]).bit_count() <= 3], left)
+    left = {i: t for i, t in left.items() if group[i] == i}
+
+    known = [" ".join(r.text.lower().split()) for r in items.collect() if r.text and r.text.split()]  # benchmark: exact copies go
+    exact = {i for i, t in left.items() if any(k in " ".join((t or "").lower().split()) for k in known)}
+    assert exact and not exact & got.keys()
+    kept = drop_contaminated(docs.where(F.col("doc_id").isin(list(left))), items, short_inside=True)
+    left = {r.doc_id: r.text for r in kept.collect()}
+    assert left.keys() == got.keys() and len(left) < docs.count()
+
+    spans = {r.doc_id: r.pii for r in find_pii(kept).select("doc_id", "pii").collect()}  # personal data: cut out by hand
+    library = Tokenizer.from_file(BYTE_VOCABULARY)
+    for i, text in left.items():
+        clean, at, end = "", 0, 0
+        for x in spans[i]:
+            if x.start >= end:
+                clean += text[at:x.start] + f"[{x.kind.upper()}]"
+            at = end = max(end, x.end)
+        clean += (text or "")[at:]
+        ids = library.encode(clean, add_special_tokens=False).ids
+        assert list(got[i].ids) == ids
+        assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_splits_without_rows(spark):
