@@ -352,6 +352,24 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "de
     return df.withColumn(text, decoded(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
+def bpe_encode_checked(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", digest: str = "decoded_sha256",
+                       keep: list[str] | None = None) -> DataFrame:
+    """As ``bpe_encode``, and append the SHA-256 of the text that the ids decode to; both in one pass, by one worker.
+    ``keep`` names the columns that go along (default: all)."""
+    from hashlib import sha256
+
+    def make():
+        codec = load_bpe(vocabulary)
+
+        def work(texts: list[str]) -> list[tuple]:
+            return [(np.frombuffer(b, "<u4").astype("<i4"), sha256(codec.decode(b).encode("utf-8", "replace")).hexdigest())
+                    for b in codec.encode_texts(texts)]
+
+        return work
+
+    return map_texts(df, text, [(ids, "array<int>"), (digest, "string")], make, keep)
+
+
 def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Encode each whole text and decode the ids again; append counts and digests instead of the ids themselves.
 
