@@ -7,9 +7,8 @@ Every stage takes the documents that the one before kept and returns a table; al
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from webloom.llm.bpe import bpe_decode, bpe_encode
+from webloom.llm.bpe import bpe_encode_checked
 from webloom.llm.common import stored
 from webloom.llm.decontam import drop_contaminated
 from webloom.llm.pii import redact_pii
@@ -40,8 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of the text that they decode to."""
-    coded = bpe_decode(bpe_encode(docs, BYTE_VOCABULARY).drop("text"), BYTE_VOCABULARY)
-    return coded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return bpe_encode_checked(docs, BYTE_VOCABULARY, keep=[c for c in docs.columns if c != "text"])
 
 
 STAGES = [
