@@ -51,9 +51,11 @@ def labelled(df: DataFrame, labels: DataFrame, label: str, sample: int, doc_id:
         .groupBy("id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
-    rows = df.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
-    return rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select(
-        "id", "text", "label")
+    rows = df.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).join(F.broadcast(chosen), "id")
+    most = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]  # reads no text
+    if (most or 0) > 1:
+        rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
+    return rows.select("id", "text", "label")
 
 
 class Terms:
