@@ -218,9 +218,10 @@ def band_limits(measured: DataFrame, language: str, least: int = LEAST_TEXTS) ->
     rows = stored(usable.select(F.explode(keys).alias("key"), "n_tokens", "chars_per_token", "byte_fallback_share", "share",
                                 "length_class"), "usable")
     centre = rows.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.percentile_approx("chars_per_token", 0.5).alias("chars"))
-    centre = centre.where(F.col("texts") >= least).drop("texts")
+    centre = stored(centre.where(F.col("texts") >= least).drop("texts"), "centres")  # written, so that joins know the size
     entropy = rows.groupBy("key", "length_class").agg(F.percentile_approx("share", 0.5).alias("entropy")).join(
         centre.select("key"), "key", "left_semi")
+    entropy = stored(entropy, "centres")
     far = rows.join(centre, "key").join(entropy, ["key", "length_class"]).groupBy("key", "chars").agg(
         (F.percentile_approx(F.abs(F.col("chars_per_token") - F.col("chars")) * F.sqrt("n_tokens"), QUANTILE) / OF_NORMAL
          ).alias("chars_far"),
