@@ -8,7 +8,7 @@ and the intervals of the tree that hold its ancestors: a character attends to th
 
 The order comes from a range partitioning by the digests, so one first turn that a third of all conversations share is
 spread over many tasks; places are running sums within partitions plus the sums of the partitions before. The unit that
-is handled as one row is a conversation.
+is handled as one row is a conversation; its digests, places and pieces are made in about linear time.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from webloom.llm.common import stored
 START, END = "<|im_start|>", "<|im_end|>\n"
 ANSWERS = "assistant"
 
+#: Items that ``scan`` folds before it starts another array.
+RUN = 128
+SPAN = "struct<start:bigint,end:bigint>"
+
 
 def escape(text: Column) -> Column:
     """No control string can stand in the result, and ``unescape`` gives the text back."""
@@ -41,6 +45,28 @@ def _unescape_role(role: Column) -> Column:
                      F.lit("&amp;"), F.lit("&"))
 
 
+def scan(items: Column, start: Column, step, kind: str) -> Column:
+    """All states of a fold, without the first: ``step(state, item)`` for each item, states of SQL type ``kind``.
+
+    An array that grows by one is copied whole each time, so states are collected in runs of ``RUN`` items, and the runs
+    are put together at the end.
+    """
+    states = F.array().cast(f"array<{kind}>")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")),
+                       lambda i: F.slice(items, i * RUN + 1, F.lit(RUN)))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+
+    def over(run: Column, first: Column) -> Column:
+        return F.aggregate(run, states, lambda acc, x: F.concat(
+            acc, F.array(step(F.when(F.size(acc) > 0, last(acc)).otherwise(first), x))))
+
+    empty = F.struct(start.cast(kind).alias("state"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+    step_run = lambda acc, run: F.transform(F.array(over(run, acc["state"])), lambda got: F.struct(
+        last(got).alias("state"), F.concat(acc["done"], F.array(got)).alias("done")))[0]
+    folded = F.aggregate(runs, empty, step_run, lambda acc: F.flatten(acc["done"]))
+    return F.when(F.size(items) > 0, folded).otherwise(states)
+
+
 def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
                  ) -> tuple[DataFrame, DataFrame]:
     """Chunks of the prefix trees, and which chunk ends each conversation.
@@ -60,8 +86,7 @@ def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
         F.lit(START), _escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END)))
     convs = convs.select("conv", rendered.alias("rendered"),
                          F.transform("turns", lambda t: t["role"] == ANSWERS).alias("answers"))
-    path = F.aggregate("rendered", F.array().cast("array<string>"), lambda acc, t: F.concat(
-        acc, F.array(F.md5(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), t)))))
+    path = scan(F.col("rendered"), F.lit(""), lambda digest, t: F.md5(F.concat(digest, t)), "string")
     convs = convs.withColumn("path", path).withColumn("chunk", F.element_at("path", -1))
     convs = stored(convs, "conversations")
     members = convs.select(F.col("conv").alias(conv_id), "chunk")
@@ -95,10 +120,8 @@ def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
         "open", F.last(F.col("base") + F.col("begun"), ignorenulls=True).over(before)).select("part", "base", "open")
     placed = placed.join(sums, "part").withColumn(
         "start", F.col("base") + F.col("at") - F.coalesce(F.col("base") + F.col("begins"), F.col("open")))
-    spans = F.aggregate("own", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda acc, n: F.concat(
-        acc, F.array(F.struct(
-            F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.col("start")).alias("start"),
-            (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.col("start")) + n).alias("end")))))
+    spans = scan(F.col("own"), F.struct(F.col("start").alias("start"), F.col("start").alias("end")), lambda before, n: F.struct(
+        before["end"].alias("start"), (before["end"] + n).alias("end")), SPAN)
     head = len(START) + len(ANSWERS) + 1
     placed = placed.withColumn("nodes", spans).withColumn("loss", F.filter(
         F.zip_with("nodes", "answers", lambda s, a: F.when(a, F.struct(
@@ -125,12 +148,20 @@ def read_chats(chunks: DataFrame, members: DataFrame, conv_id: str = "conv_id")
     ``formatted`` (the whole formatted text).
     """
     chunks = stored(chunks, "emitted")
-    cut = lambda s: F.substring(F.col("text"), (s["start"] - F.col("start") + 1).cast("int"),
-                                (s["end"] - s["start"]).cast("int"))
-    masked = lambda s: F.filter("loss", lambda x: (x["start"] >= s["start"]) & (x["end"] <= s["end"]))
-    nodes = chunks.select("tree", F.explode(F.transform("nodes", lambda s: F.struct(
-        s["start"].alias("at"), cut(s).alias("piece"),
-        F.transform(masked(s), lambda x: cut(x)).alias("answers")))).alias("n")).select("tree", "n.*")
+    # No text holds a control string, so the pieces end where one does; substrings would count from the chunk's begin.
+    pieces = F.split("text", r"(?<=<\|im_end\|>\n)")
+    # Answers lie in the order of the nodes, at most one in each: the next one, if it ends inside.
+    following = lambda at, s: F.when(F.get(F.col("loss"), at)["end"] <= s["end"], F.get(F.col("loss"), at))
+    masked = scan(F.col("nodes"), F.struct(F.lit(0).alias("next"), F.lit(None).cast(SPAN).alias("span")), lambda a, s: F.struct(
+        (a["next"] + following(a["next"], s).isNotNull().cast("int")).alias("next"),
+        following(a["next"], s).alias("span")), f"struct<next:int,span:{SPAN}>")
+    nodes = chunks.select("tree", F.explode(F.arrays_zip(
+        F.col("nodes").alias("node"), F.slice(pieces, F.lit(1), F.size("nodes")).alias("piece"),
+        masked.alias("answer"))).alias("n")).select(
+        "tree", F.col("n.node.start").alias("at"), "n.piece", F.col("n.answer.span").alias("span")).select(
+        "tree", "at", "piece", F.when(F.col("span").isNotNull(), F.array(F.substring(
+            F.col("piece"), (F.col("span.start") - F.col("at") + 1).cast("int"),
+            (F.col("span.end") - F.col("span.start")).cast("int")))).otherwise(F.array().cast("array<string>")).alias("answers"))
     steps = chunks.select("chunk", "tree", F.posexplode(F.concat("attend", "nodes")).alias("depth", "span")).select(
         "chunk", "tree", "depth", F.col("span.start").alias("at"))
     whole = steps.join(nodes, ["tree", "at"]).groupBy("chunk").agg(
