@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -13,13 +14,13 @@ from xxhash import xxh64_intdigest
 import __spark_entry__ as entry
 from check import TABLES, compare
 from conftest import DATA
-from webloom.llm.chat import format_chats, read_chats
+from webloom.llm.chat import RUN, START, format_chats, read_chats
 from webloom.llm.components import connected_components
 from webloom.llm.decontam import drop_contaminated
 from webloom.llm.licenses import collision, find_licenses, template_table
 from webloom.llm.quality import classify_quality, labelled
 from webloom.llm.registry import RULES, SQL
-from webloom.llm.simhash import drop_near_duplicates, fingerprint_links, near_duplicates
+from webloom.llm.simhash import divided_shards, drop_near_duplicates, fingerprint_links, near_duplicates
 from webloom.llm.toxicity import Grammar, classify_toxicity, drop_toxic, term_counts
 from webloom.llm.urlrules import judge_urls, rule_table
 
@@ -73,6 +74,29 @@ def test_links_are_exact(spark, max_bits, blocks):
     assert groups(got, nodes) == groups(pairs, nodes)
 
 
+@pytest.mark.parametrize("max_bits, blocks, depth", [(3, 4, 0), (3, 4, 2), (3, 2, 2), (2, 3, 1), (1, 1, 2), (0, 1, 2)])
+def test_divided_shards_lose_no_link(spark, max_bits, blocks, depth):
+    rng = random.Random(11)
+    # Blocks that a third of all fingerprints share make shards that stay large for more than one level.
+    fps = [rng.getrandbits(64) & (0xFFFF_FFFF if i % 3 else 0x0FFF) for i in range(150)]
+    fps = list({f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for f in fps for _ in range(6)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "f bigint")
+    got = [(r.a, r.b) for r in fingerprint_links(df, "f", max_bits, blocks, 3, split=8, depth=depth).collect()]
+    pairs = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2 ** 64 - 1)).bit_count() <= max_bits]
+    assert all(((a ^ b) & (2 ** 64 - 1)).bit_count() <= max_bits for a, b in got)
+    assert groups(got, signed) == groups(pairs, signed)
+
+
+def test_compared_pairs_grow_with_the_fingerprints(spark):
+    def compared(n):
+        rows = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        return divided_shards(rows, 4, 8, 3, split=8)[0].agg(F.sum(F.col("n") - 1) / 2).first()[0]
+
+    few, many = compared(100_000), compared(400_000)
+    assert many < 6 * few  # squares would be sixteen times as many
+
+
 def brute_fingerprint(text, n=3):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i:i + n]) for i in range(len(words) - n + 1)] or ([b" ".join(words)] if words else [])
@@ -132,6 +156,31 @@ def test_chats_share_prefixes(spark):
     assert read_chats(*format_chats(df.limit(0))).count() == 0
 
 
+def test_a_conversation_of_many_turns(spark):
+    n = 6 * RUN + 1  # states of a fold are put together from several runs, the last one short
+    want = [("assistant" if i % 3 else "user", f"é {i} <|im_end|>\n") for i in range(n)]
+    rows = [(c, i, *x) for c, size in ((1, n), (2, n - 1), (3, RUN), (4, RUN + 1)) for i, x in enumerate(want[:size])]
+    chunks, members = format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    got = {r.conv_id: r for r in read_chats(chunks, members).collect()}
+    for c, size in ((1, n), (2, n - 1), (3, RUN), (4, RUN + 1)):
+        assert [tuple(t) for t in got[c].turns] == want[:size]
+        assert got[c].answers == "".join(t for role, t in want[:size] if role == "assistant")
+        assert got[c].formatted.count(START) == size
+    assert sum(len(c.nodes) for c in chunks.collect()) == n
+
+
+def test_conversations_in_linear_time(spark):
+    def seconds(n):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+                                      F.concat(F.lit("some words of a turn "), F.col("id").cast("string")).alias("text"))
+        begun = time.monotonic()
+        assert len(read_chats(*format_chats(turns)).first().turns) == n
+        return time.monotonic() - begun
+
+    seconds(10)
+    assert seconds(24_000) < 3 * seconds(8_000) + 5  # squares would take nine times as long
+
+
 def test_url_rules(spark):
     urls = [None, "", "x", "http://COM/", "http://a.example.com/en/x?y=/", "http://www.example.com/en/", "http://www.example.com/EN/",
             "https://b.net/fr/", "https://net/fr", "ftp://netx/fr/", "http://a..net/es/#x", "http://u@www.Example.com/en/a", "http://com?x", "a://b://c.net/es/"]

@@ -6,12 +6,14 @@ fingerprints within ``max_bits`` of each other are within ``max_bits // blocks``
 distance on a block obeys the triangle inequality too. Each block has a tree whose levels split by the distance to a
 vantage point; a fingerprint belongs to one leaf, its shard, and is also asked in every other leaf that its ball can
 reach by the triangle bound. Inside a shard, rings around a further vantage point over all 64 bits bound which pairs
-are compared. Shards give a spanning set of links, not all pairs.
+are compared. A shard whose measured count is too large is divided by trees over blocks of the bits that its own block
+left out. Shards give a spanning set of links, not all pairs.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from itertools import product
 
 import numpy as np
@@ -27,6 +29,10 @@ BITS = 64
 STEP = 2_048
 #: Shards of up to so many rows are handled together.
 SMALL = 64
+#: Shards of more rows are divided by further blocks of bits, at most ``DEPTH`` times in a row. Comparing a row with so
+#: many others costs less than shuffling it once more for each block.
+SPLIT = 2_048
+DEPTH = 2
 #: Rows of a bucket of shards, on average.
 BUCKET_ROWS = 20_000
 
@@ -78,18 +84,22 @@ class BlockTrees:
     them. ``radius`` is what the pigeonhole principle leaves for a block.
     """
 
-    def __init__(self, blocks: int, levels: int, max_bits: int):
-        edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    def __init__(self, blocks: int, levels: int, max_bits: int, bits: int = BITS):
+        self.bits = bits
+        edges = [round(i * bits / blocks) for i in range(blocks + 1)]
         self.blocks = [(a, b - a) for a, b in zip(edges, edges[1:])]
         self.radius = max_bits // blocks
         rng = np.random.default_rng(20)
         self.points = [[int(rng.integers(0, 1 << w, dtype=np.uint64)) for _ in range(levels)] for _, w in self.blocks]
 
     def shards(self, fp: Column) -> Column:
-        """An array of (shard, whether it is the home shard) for a fingerprint."""
+        """An array of (shard, whether it is the home shard, the bits of other blocks side by side)."""
         found = []
         for k, ((shift, width), points) in enumerate(zip(self.blocks, self.points)):
-            bits = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(signed((1 << width) - 1)).cast("bigint"))
+            mask = lambda w: F.lit(signed((1 << w) - 1)).cast("bigint")
+            bits = F.shiftrightunsigned(fp, shift).bitwiseAND(mask(width))
+            above = F.shiftrightunsigned(fp, shift + width) if shift + width < self.bits else F.lit(0).cast("bigint")
+            rest = F.shiftleft(above, shift).bitwiseOR(fp.bitwiseAND(mask(shift)))
             away = [F.bit_count(bits.bitwiseXOR(F.lit(signed(p)).cast("bigint"))).cast("bigint") for p in points]
             # A ball around the fingerprint reaches ring d' only if |d - d'| is at most the radius.
             for steps in product(range(-self.radius, self.radius + 1), repeat=len(points)):
@@ -99,9 +109,15 @@ class BlockTrees:
                     ring = d + s
                     inside = inside & (ring >= 0) & (ring <= width)
                     leaf = leaf * 65 + ring
-                found.append(F.when(inside, F.struct(leaf.alias("shard"), F.lit(not any(steps)).alias("home"))))
+                found.append(F.when(inside, F.struct(
+                    leaf.alias("shard"), F.lit(not any(steps)).alias("home"), rest.alias("rest"))))
         return F.array_compact(F.array(*found))
 
+    @property
+    def left(self) -> int:
+        """The most bits that lie outside a block."""
+        return self.bits - min(width for _, width in self.blocks)
+
 
 def shard_links(fps: np.ndarray, home: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that connect all fingerprints of a shard that pairs within ``max_bits`` connect.
@@ -172,27 +188,62 @@ def bucket_links(shard: np.ndarray, fps: np.ndarray, home: np.ndarray, max_bits:
     return links
 
 
-def fingerprint_links(fps: DataFrame, fp: str, max_bits: int, blocks: int | None = None, levels: int = 8) -> DataFrame:
+def divided_shards(rows: DataFrame, blocks: int, levels: int, max_bits: int, split: int = SPLIT, depth: int = DEPTH
+                   ) -> tuple[DataFrame, int]:
+    """Shards of several fingerprints (``fp``, ``shard``, ``home`` and ``n``, the rows of the shard), and all their rows.
+
+    A shard of more than ``split`` rows is divided by a tree over the bits that its block left out. Two fingerprints of
+    one shard differ in at most ``max_bits`` of these, so they agree on one of ``max_bits`` + 1 blocks of them and meet
+    again; so it goes on while shards are too large, up to ``depth`` times. Equal shard numbers of different shards only
+    bring rows together that are too far from each other.
+    """
+    trees = BlockTrees(blocks, levels, max_bits)
+    rows = rows.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("bigint").alias("within"), F.lit(True).alias("own"))
+    parts, total = [], 0
+    for step in range(depth + 1):
+        placed = rows.select("fp", "within", "own", F.explode(trees.shards(F.col("rest"))).alias("s")).select(
+            "fp", (F.xxhash64("within", "s.shard") if step else F.col("s.shard")).alias("shard"),
+            (F.col("own") & F.col("s.home")).alias("home"), "s.rest")
+        # Shards of one fingerprint have no pair; they are left out before anything goes to Python.
+        sizes = stored(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard_sizes")
+        large = F.col("n") > (split if step < depth and trees.left else sys.maxsize)
+        counts = sizes.agg(F.sum(F.when(~large, F.col("n"))).alias("done"), F.sum(F.when(large, F.col("n"))).alias("large")
+                           ).first()
+        total += counts.done or 0
+        placed = placed.join(sizes, "shard")
+        parts.append(placed.where(~large).select("fp", "shard", "home", "n"))
+        if not counts.large:
+            break
+        rows = stored(placed.where(large).select(
+            "fp", "rest", F.xxhash64(F.lit(step), "shard").alias("within"), F.col("home").alias("own")), "large_shards")
+        trees = BlockTrees(max_bits + 1, levels, max_bits, trees.left)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole, total
+
+
+def fingerprint_links(fps: DataFrame, fp: str, max_bits: int, blocks: int | None = None, levels: int = 8,
+                      split: int = SPLIT, depth: int = DEPTH) -> DataFrame:
     """Links (``a``, ``b``) that connect different fingerprints exactly as all pairs within ``max_bits`` would.
 
     By default there is one block more than bits may differ, so that balls have radius 0 on a block and no fingerprint
-    is asked in a second shard; fewer blocks mean wider balls, which reach neighbouring shards.
+    is asked in a second shard; fewer blocks mean wider balls, which reach neighbouring shards. Shards of more than
+    ``split`` rows are divided (``divided_shards``), so that a row is compared with a bounded number of others, and
+    pairs grow as the fingerprints do.
     """
-    trees = BlockTrees(blocks or max_bits + 1, levels, max_bits)
     rows = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
-    placed = rows.select("fp", F.explode(trees.shards(F.col("fp"))).alias("s")).select("fp", "s.shard", "s.home")
+    placed, total = divided_shards(rows, blocks or max_bits + 1, levels, max_bits, split, depth)
 
     def linked(p: pd.DataFrame) -> pd.DataFrame:
         fps = p["fp"].to_numpy(np.int64).view(np.uint64)
         got = bucket_links(p["shard"].to_numpy(np.int64), fps, p["home"].to_numpy(bool), max_bits)
         return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
-    # Shards of one fingerprint have no pair; they are left out before anything goes to Python.
-    several = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard")
     # Shards are mostly small; whole shards go together into buckets of bounded average size.
-    buckets = max(1, math.ceil(rows.count() * len(trees.blocks) / BUCKET_ROWS))
+    buckets = max(1, math.ceil(total / BUCKET_ROWS))
     bucket = F.pmod(F.xxhash64("shard"), F.lit(buckets)).alias("bucket")
-    return placed.join(several, "shard", "left_semi").groupBy(bucket).applyInPandas(linked, "a bigint, b bigint")
+    return placed.select("fp", "shard", "home").groupBy(bucket).applyInPandas(linked, "a bigint, b bigint")
 
 
 def near_duplicates(
